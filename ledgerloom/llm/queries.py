@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_duplicates as dup
-from ledgerloom.llm import survivor
+from ledgerloom.llm import mixing, survivor, text_ops
+from ledgerloom.session import cut_lineage
 from ledgerloom.sources.tables import table
 
 SURVIVING = ["merchant", "category", "raw"]
@@ -37,9 +38,45 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(table(spark, folder, "ledger_transactions"), "id", best, SURVIVING)
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return text_ops.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's number of ids and the hash of the text decoded from them."""
+    ids = p7_ids(spark, folder)
+    texts = text_ops.decode(ids, "doc_id")
+    return texts.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def _sized(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    listed = table(spark, folder, "mix_targets").select("source").distinct()
+    return cut_lineage(text_ops.count_tokens(docs.join(listed, "source", "left_semi"), "text", ["id", "source"]))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of each target source in the mix, wanted and actual."""
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mix(_sized(spark, folder), targets), targets)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return text_ops.sentence_spans(table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_lines": p4_lines,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
