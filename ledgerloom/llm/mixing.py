@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of the hashed number in the histogram, and the largest number of sources it is taken for.
@@ -38,8 +39,8 @@ def thresholds(rate: float, cap: int) -> list[float]:
 
 def _tokens_at(hist: list[tuple[int, int]], rate: float, cap: int) -> float:
     """Tokens at a rate; a bucket that a threshold cuts counts by its part."""
-    at = [t * BUCKETS for t in thresholds(rate, cap)]
-    return sum(n * sum(min(1.0, max(0.0, b + 1 - t)) for t in at) for b, n in hist)
+    b, n = np.array(hist, dtype=float).reshape(-1, 2).T
+    return float(sum((n * np.clip(b + 1 - t * BUCKETS, 0.0, 1.0)).sum() for t in thresholds(rate, cap)))
 
 
 def solve_rate(hist: list[tuple[int, int]], target: float, cap: int) -> float:
@@ -114,7 +115,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = got.agg(F.sum("t").alias("tokens"), F.sum("c").alias("records"), F.count("*").alias("documents"), F.max("c").alias("most_copies"))
     want = targets.groupBy("source").agg(F.max(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("w")).where("source is not null")
     all_ = want.join(got, "source", "left").fillna(0, ["tokens", "records", "documents", "most_copies"])
-    sums = all_.agg(F.sum(F.when(F.col("tokens") > 0, F.col("w"))).alias("sw"), F.sum("tokens").alias("st"))
-    share = F.when(F.col("tokens") > 0, F.col("w") / F.col("sw")).otherwise(F.lit(0.0))
-    actual = F.when(F.col("st") > 0, F.col("tokens") / F.col("st")).otherwise(F.lit(0.0))
-    return all_.crossJoin(F.broadcast(sums)).select("source", share.alias("target_share"), actual.alias("actual_share"), "tokens", "records", "documents", "most_copies")
+    every = Window.partitionBy(F.lit(0))  # a row per target source
+    share = F.when(F.col("tokens") > 0, F.col("w") / F.sum(F.when(F.col("tokens") > 0, F.col("w"))).over(every)).otherwise(F.lit(0.0))
+    actual = F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(every)), F.lit(0.0))
+    return all_.select("source", share.alias("target_share"), actual.alias("actual_share"), "tokens", "records", "documents", "most_copies")

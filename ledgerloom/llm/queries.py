@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_duplicates as dup
-from ledgerloom.llm import mixing, survivor, text_ops
+from ledgerloom.llm import linkage, mixing, survivor, text_ops
 from ledgerloom.session import cut_lineage
 from ledgerloom.sources.tables import table
 
@@ -19,6 +19,16 @@ def _lines(spark: SparkSession, folder: str, carry=None) -> DataFrame:
     return dup.classed(table(spark, folder, "ledger_transactions"), "id", dup.ledger_cell(), "description", carry)
 
 
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every matching pair with its confidence."""
+    names = ("ledger_transactions", "accounts", "plaid_transactions", "plaid_accounts")
+    return linkage.link(*[table(spark, folder, n) for n in names])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_links(spark, folder).select("ledger_id", "plaid_transaction_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return dup.copy_pairs(_lines(spark, folder))
 
@@ -70,6 +80,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_links": p1_links,
     "p4_found": p4_found,
     "p4_lines": p4_lines,
     "p5_found": p5_found,
