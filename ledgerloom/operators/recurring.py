@@ -58,7 +58,7 @@ def patterns(rows: DataFrame) -> DataFrame:
     size = F.abs("amount").cast("double")
     first = F.min_by(F.struct("description", "category", "subcategory"), F.struct("date", "id"))
     sums = keyed.groupBy(*group).agg(
-        F.count("*").alias("n"), F.avg(size).alias("avg_amount"), F.stddev_pop(size).alias("sd_amount"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), first.alias("first")
+        F.count("*").alias("n"), (F.sum(F.abs("amount")).cast("double") / F.count("*")).alias("avg_amount"), F.stddev_pop(size).alias("sd_amount"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), first.alias("first")
     ).where(F.col("n") >= MIN_OCCURRENCES)
     days = keyed.groupBy(*group, "date").agg(F.count("*").alias("k"))
     # k rows of a day add k-1 intervals of 0 and one from the day before.
@@ -84,7 +84,7 @@ def patterns(rows: DataFrame) -> DataFrame:
     ahead = _frequency(m, cv, 3)
     return out.select(
         "owner", "merchant_key", "direction", F.concat(F.lit("rec_"), F.col("direction"), F.lit("_"), pattern_hash(F.col("merchant_key"))).alias("pattern_id"), "frequency",
-        F.round("mean", 1).alias("interval_days"), F.round("avg_amount", 2).alias("average_amount"), F.round("amount_cv", 4).alias("amount_variation"), (acv < FIXED_BELOW).alias("fixed_amount"),
+        F.round("mean", 1).alias("interval_days"), round_half_up(F.col("avg_amount")).alias("average_amount"), F.round("amount_cv", 4).alias("amount_variation"), (acv < FIXED_BELOW).alias("fixed_amount"),
         F.col("first.category").alias("category"), F.col("first.subcategory").alias("subcategory"), F.col("n").alias("occurrences"), "first_seen", "last_seen",
         F.date_add("last_seen", ahead.cast("int")).alias("expected_next"), F.least(F.lit(1.0), F.round(score, 2)).alias("confidence"), subscription.alias("subscription"),
     )
@@ -99,7 +99,7 @@ def summary(found: DataFrame, rows: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("frequency") == f).alias("n_" + f.replace("-", "_")) for f in [*[x[0] for x in FREQUENCIES], "irregular"]]
     per = found.groupBy("owner").agg(F.count("*").alias("patterns"), F.sum("occurrences").alias("recurring"), F.sum(cost).alias("monthly"), F.count_if("subscription").alias("subscriptions"), *counts)
     total = rows.groupBy("owner").agg(F.count("*").alias("rows"))
-    out = per.join(total, "owner").withColumn("share", round_half_up(F.col("recurring") / F.col("rows") * 100)).withColumn("annual", F.round(F.col("monthly") * 12, 2)).withColumn("monthly", F.round("monthly", 2))
+    out = per.join(total, "owner").withColumn("share", round_half_up(F.col("recurring") / F.col("rows") * 100)).withColumn("annual", round_half_up(F.col("monthly") * 12)).withColumn("monthly", round_half_up(F.round("monthly", 6)))
     return out.drop("rows")
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut_lineage
+
 LEAVES = "array<struct<path:string,kind:string,sig:bigint,blank:boolean>>"
 #: The lattice of leaf types, from the bottom: a field takes the least type above all that it was seen with.
 #: null < boolean, integer, number, date < string, and integer < number.
@@ -197,7 +199,7 @@ def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> Data
     several removed fields could have become an added one, the nearest name wins, one for one. A field
     that is null throughout is renamed only to a field of the same last name.
     """
-    heads = headers(df, id_, document)
+    heads = cut_lineage(headers(df, id_, document))  # read again for order, new and old
     usable = df.select(F.col(id_).alias("id"), F.col(group).alias("g"), F.col(at).alias("t")).join(heads.select("id", "leaves"), "id")
     order = with_previous(usable, "id", "g", "t").where("prev is not null")
     both = order.join(heads.withColumnRenamed("leaves", "new"), "id").join(heads.select(F.col("id").alias("prev"), F.col("leaves").alias("old")), "prev")

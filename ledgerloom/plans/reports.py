@@ -123,15 +123,15 @@ _KEY = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(description, '[
 _FREQ = "CASE WHEN cv > 0.4 THEN 'irregular' WHEN mean BETWEEN 5 AND 9 THEN 'weekly' WHEN mean BETWEEN 12 AND 16 THEN 'bi-weekly' WHEN mean BETWEEN 26 AND 35 THEN 'monthly' WHEN mean BETWEEN 85 AND 100 THEN 'quarterly' WHEN mean BETWEEN 170 AND 200 THEN 'semi-annual' WHEN mean BETWEEN 350 AND 380 THEN 'annual' ELSE 'irregular' END"
 _WORDS = " OR ".join(f"contains(d1, '{w}')" for w in recurring.SUBSCRIPTION_WORDS)
 RECURRING = f"""
-t AS (SELECT id, user_id AS owner, date, description, abs(amount)::DOUBLE AS a, lower(trim(direction)) AS direction, category, subcategory, {_KEY} AS tidy FROM ledger_transactions),
+t AS (SELECT id, user_id AS owner, date, description, abs(amount) AS ad, abs(amount)::DOUBLE AS a, lower(trim(direction)) AS direction, category, subcategory, {_KEY} AS tidy FROM ledger_transactions),
 k AS (SELECT *, array_to_string(list_slice(string_split(tidy, ' '), 1, CASE WHEN regexp_matches(tidy, '^zelle payment (from|to)( |$)') THEN 4 ELSE 3 END), ' ') AS merchant_key FROM t),
 w AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY owner, merchant_key, direction ORDER BY date, id), date) AS step FROM k WHERE length(merchant_key) >= 3),
-g AS (SELECT owner, merchant_key, direction, count(*) AS n, avg(a) AS aa, stddev_pop(a) AS sa, min(date) AS first_seen, max(date) AS last_seen, avg(step) AS mean0, count(step) AS m, sum(step) AS s1, sum(step * step) AS s2,
+g AS (SELECT owner, merchant_key, direction, count(*) AS n, CAST(sum(ad) AS DOUBLE) / count(*) AS aa, stddev_pop(a) AS sa, min(date) AS first_seen, max(date) AS last_seen, avg(step) AS mean0, count(step) AS m, sum(step) AS s1, sum(step * step) AS s2,
   arg_min_null(category, (date, id)) AS category, arg_min_null(subcategory, (date, id)) AS subcategory, lower(arg_min(description, (date, id))) AS d1 FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 h AS (SELECT *, s1::DOUBLE / m AS mean1, CASE WHEN m < 2 THEN 0 ELSE sqrt(greatest(0, s2::DOUBLE / m - (s1::DOUBLE / m) * (s1::DOUBLE / m))) END AS sd FROM g),
 c AS (SELECT *, round(mean1, 9) AS mean, round(CASE WHEN mean1 > 0 THEN sd / mean1 ELSE 1 END, 9) AS cv, round(CASE WHEN aa > 0 THEN sa / aa ELSE 0 END, 9) AS acv, CASE WHEN aa > 0 THEN sa / aa ELSE 0 END AS acv0 FROM h),
 q AS (SELECT *, {_FREQ} AS frequency FROM c WHERE cv <= 0.3 OR n >= 6),
-p AS (SELECT owner, merchant_key, direction, frequency, round(mean1, 1) AS interval_days, round(aa, 2) AS average_amount, acv < 0.01 AS fixed_amount, category, subcategory, n AS occurrences, first_seen, last_seen,
+p AS (SELECT owner, merchant_key, direction, frequency, round(mean1, 1) AS interval_days, floor(aa * 100 + 0.5::DOUBLE) / 100 AS average_amount, acv < 0.01 AS fixed_amount, category, subcategory, n AS occurrences, first_seen, last_seen,
   CAST(CASE frequency WHEN 'weekly' THEN last_seen + 7 WHEN 'bi-weekly' THEN last_seen + 14 WHEN 'monthly' THEN last_seen + 30 WHEN 'quarterly' THEN last_seen + 91 WHEN 'semi-annual' THEN last_seen + 182 WHEN 'annual' THEN last_seen + 365 END AS DATE) AS expected_next,
   least(1.0::DOUBLE, round(0.5::DOUBLE + CASE WHEN n >= 3 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n >= 6 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN n >= 12 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN cv < 0.1 THEN 0.1::DOUBLE WHEN cv < 0.2 THEN 0.05::DOUBLE ELSE 0 END
    + CASE WHEN acv < 0.01 THEN 0.1::DOUBLE WHEN acv < 0.05 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN frequency <> 'irregular' THEN 0.05::DOUBLE ELSE 0 END, 2)) AS confidence,
@@ -147,7 +147,7 @@ def recurring_patterns(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {RECURRING}, u AS (SELECT user_id AS owner, count(*) AS total FROM ledger_transactions GROUP BY 1),
 z AS (SELECT owner, count(*) AS patterns, CAST(sum(occurrences) AS BIGINT) AS recurring, count(*) FILTER (subscription) AS subscriptions,
  sum(CASE WHEN direction = 'debit' THEN average_amount * CASE frequency WHEN 'weekly' THEN 4.33::DOUBLE WHEN 'bi-weekly' THEN 2.17::DOUBLE WHEN 'quarterly' THEN 1::DOUBLE / 3 WHEN 'semi-annual' THEN 1::DOUBLE / 6 WHEN 'annual' THEN 1::DOUBLE / 12 ELSE 1 END ELSE 0 END) AS monthly FROM p GROUP BY 1)
-SELECT z.owner, patterns, recurring, subscriptions, round(monthly, 2) AS monthly FROM z""")
+SELECT z.owner, patterns, recurring, subscriptions, floor(round(monthly, 6) * 100 + 0.5::DOUBLE) / 100 AS monthly FROM z""")
 def recurring_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = owned(spark, folder)
     return recurring.summary(recurring.patterns(rows), rows).select("owner", "patterns", "recurring", "subscriptions", "monthly")
