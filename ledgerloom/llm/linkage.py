@@ -74,16 +74,20 @@ def _bank(c: str) -> Column:
     return F.substring(F.regexp_replace(F.lower(F.col(c)), "[^a-z]", ""), 1, 5)
 
 
-def ledger_lines(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, members): a row for each line, with its least id's fields, and the ids of all its copies.
+def ledger_rows(ledger: DataFrame) -> DataFrame:
+    """(id, class, account_id, date, cents, credit) of every row; rows of a class are copies of one line.
 
-    Rows that lack account, date or amount match nothing and are left out of the lines.
+    Rows that lack account, date or amount match nothing and are left out.
     """
-    carry = {c: F.col(c) for c in ("account_id", "date", "description")}
-    carry |= {"cents": F.abs(F.col("amount") * 100).cast("bigint"), "credit": F.lower(F.trim("direction")).startswith("c")}
-    rows = classed(ledger, "id", ledger_cell(), "description", carry)
-    lines = rows.groupBy("class").agg(F.min_by(F.struct(*carry), "id").alias("x")).select("class", "x.*").where("account_id is not null and date is not null and cents is not null")
-    return lines, rows.select("class", "id")
+    carry = {"account_id": F.col("account_id"), "date": F.col("date"), "cents": F.abs(F.col("amount") * 100).cast("bigint"), "credit": F.lower(F.trim("direction")).startswith("c")}
+    return classed(ledger, "id", ledger_cell(), "description", carry).where("account_id is not null and date is not null and cents is not null")
+
+
+def own_lines(rows: DataFrame, ledger: DataFrame, linked: DataFrame) -> DataFrame:
+    """(class, account_id, date, cents, credit, description) of each line of the linked accounts, as its least id has it."""
+    mine = rows.join(linked.select("account_id").distinct(), "account_id", "left_semi")
+    least = mine.groupBy("class").agg(F.min("id").alias("id"))
+    return mine.join(least, ["class", "id"]).join(ledger.select("id", "description"), "id").drop("id")
 
 
 def feed_payments(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +110,7 @@ def _day_blocks(day: Column) -> Column:
     return F.explode(F.sequence(F.floor((day - DAYS_AHEAD) / BLOCK_DAYS), F.floor((day + DAYS_BEHIND) / BLOCK_DAYS)))
 
 
-def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, lines: DataFrame, payments: DataFrame) -> DataFrame:
+def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, rows: DataFrame, payments: DataFrame) -> DataFrame:
     """(feed_account, account_id): the ledger account of each feed account that has one.
 
     Accounts of the same institution and kind are compared by how many payments agree in amount and
@@ -118,7 +122,7 @@ def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, lines: DataFram
     sub = F.when(F.col("type") == "credit", F.array(F.lit("credit"))).when(F.lower("subtype").isin("checking", "savings"), F.array(F.lower("subtype"))).otherwise(F.array(F.lit("checking"), F.lit("savings")))
     theirs = feed_accounts.select(F.col("account_id").alias("feed_account"), _bank("institution_name").alias("bank"), F.explode(sub).alias("kind"), F.col("mask").alias("feed_mask"))
     odd = F.col("cents") % 100 != 0
-    a = lines.where(odd).join(ours, "account_id").select("bank", "kind", "cents", "credit", F.col("account_id"), "mask", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).alias("block"))
+    a = rows.where(odd).join(ours, "account_id").select("bank", "kind", "cents", "credit", F.col("account_id"), "mask", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).alias("block"))
     p = payments.where(odd).select(F.col("account_id").alias("feed_account"), "cents", "credit", _day("date").alias("feed_day"))
     counts = p.groupBy("feed_account").agg(F.count("*").alias("payments"))
     b = p.join(theirs, "feed_account").select("*", _day_blocks(F.col("feed_day")).alias("block"))
@@ -130,39 +134,48 @@ def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, lines: DataFram
     return best
 
 
-def candidates(lines: DataFrame, payments: DataFrame) -> DataFrame:
-    """Pairs of a line and a payment of the same account and direction worth voting on, with their votes.
-
-    Two equi-joins on narrow keys: account, direction, exact amount and block of days; and account,
-    direction, beginning of a word, block of days and class of amount. No key gathers an account.
-    """
-    width = math.log(MOST_RATIO / LEAST_RATIO)
-    text = F.coalesce("description", F.lit(""))
+def features(lines: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the candidate joins and the matching functions need of each side, once."""
     starts = lambda w: F.array_distinct(F.transform(w, lambda x: F.substring(x, 1, 4)))
+    text = F.coalesce("description", F.lit(""))
     a = lines.select(
-        "class", "account_id", "credit", "cents", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).alias("block"),
+        "class", "account_id", "credit", "cents", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).cast("int").alias("block"),
         _letters(text).alias("l_letters"), _kind(text).alias("l_kind"), starts(_words(text)).alias("l_words"),
     )
     who = F.concat_ws(" ", "merchant_name", "name")
     b = payments.select(
         "payment", "account_id", "credit", F.col("cents").alias("p_cents"), _day("date").alias("p_day"), _day("authorized_date").alias("p_auth"),
-        F.array_except(_words(F.regexp_replace(F.coalesce("merchant_name", "name"), r"(?i)\(online\)", "")), F.array(F.lit("x"))).alias("p_words"),
+        _words(F.regexp_replace(F.coalesce("merchant_name", "name"), r"(?i)\(online\)", "")).alias("p_words"),
         _letters(F.regexp_replace(F.coalesce("merchant_name", F.lit("")), r"(?i)\(online\)|\bllc\b|\binc\b", "")).alias("p_merchant"), _letters(F.col("name")).alias("p_name"),
         F.when(F.lower("name").rlike("pebblepay"), "person").otherwise(_kind(F.coalesce("name", F.lit("")))).alias("p_kind"), starts(_words(who)).alias("p_starts"), _letters(F.col("city")).alias("p_city"),
     )
+    return cut_lineage(a), cut_lineage(b)
+
+
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(class, payment) of the same account and direction worth voting on, each once.
+
+    Two equi-joins on narrow keys: account, direction, exact amount and block of days; and account,
+    direction, beginning of a word, block of days and class of amount. No key gathers an account.
+    """
+    width = math.log(MOST_RATIO / LEAST_RATIO)
     near = F.col("day").between(F.col("p_day") - DAYS_AHEAD, F.col("p_day") + DAYS_BEHIND)
-    exact = a.join(b.select("*", _day_blocks(F.col("p_day")).alias("block")).withColumn("cents", F.col("p_cents")), ["account_id", "credit", "cents", "block"]).where(near)
+    left, right = a.select("class", "account_id", "credit", "cents", "day", "block"), b.select("payment", "account_id", "credit", "p_cents", "p_day")
+    exact = left.join(right.select("*", _day_blocks(F.col("p_day")).alias("block")).withColumnRenamed("p_cents", "cents"), ["account_id", "credit", "cents", "block"]).where(near).select("class", "payment")
 
     size = lambda c, by: F.floor(F.log(F.col(c) * by + 1.0) / width)
-    keyed = a.select("class", "account_id", "credit", "cents", "day", "block", F.explode("l_words").alias("word"), size("cents", 1.0).alias("size"))
-    asked = b.select("payment", "account_id", "credit", "p_cents", "p_day", F.explode("p_starts").alias("word"), F.sequence(size("p_cents", LEAST_RATIO), size("p_cents", MOST_RATIO)).alias("sizes"))
-    asked = asked.select("payment", "account_id", "credit", "p_cents", "p_day", "word", F.explode("sizes").alias("size"))
+    keyed = a.select("class", "account_id", "credit", "cents", "day", "block", F.explode("l_words").alias("word")).withColumn("size", size("cents", 1.0))
+    asked = b.select("payment", "account_id", "credit", "p_cents", "p_day", F.explode("p_starts").alias("word"))
+    asked = asked.select("*", F.explode(F.sequence(size("p_cents", LEAST_RATIO), size("p_cents", MOST_RATIO))).alias("size"))
     asked = asked.select("*", _day_blocks(F.col("p_day")).alias("block"))
     ratio = F.col("cents") / F.col("p_cents")
     close = keyed.join(asked, ["account_id", "credit", "word", "size", "block"]).where(near & (F.col("cents") != F.col("p_cents")) & ratio.between(LEAST_RATIO, MOST_RATIO))
-    close = close.select("class", "payment").distinct().join(a, "class").join(b.drop("account_id", "credit"), "payment")
-    cols = ["class", "payment", *[c for c in a.columns if c not in ("class", "block", "account_id", "credit")], *[c for c in b.columns if c not in ("payment", "account_id", "credit")]]
-    return _voted(exact.select(*cols).unionByName(close.select(*cols)))
+    return exact.unionByName(close.select("class", "payment").distinct())
+
+
+def vote(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The matching functions' votes on each pair."""
+    return _voted(pairs.join(a.drop("account_id", "credit", "block", "l_words"), "class").join(b.drop("account_id", "credit", "p_starts"), "payment"))
 
 
 def _voted(pairs: DataFrame) -> DataFrame:
@@ -246,13 +259,12 @@ def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts:
 
     Empty tables, payments without text, ties and repeated rows are all allowed; extra columns are ignored.
     """
-    lines, copies = ledger_lines(ledger)
+    rows = ledger_rows(ledger)
     payments, ids = feed_payments(feed)
-    payments = cut_lineage(payments)
-    linked = cut_lineage(link_accounts(accounts, feed_accounts, lines, payments))
-    own = lines.join(linked.select("account_id").distinct(), "account_id", "left_semi")
+    linked = cut_lineage(link_accounts(accounts, feed_accounts, rows, payments))
     theirs = payments.withColumnRenamed("account_id", "feed_account").join(linked, "feed_account").drop("feed_account")
-    voted = cut_lineage(candidates(own, theirs))
-    pairs = matched(voted)
+    a, b = features(own_lines(rows, ledger, linked), theirs)
+    pairs = matched(cut_lineage(vote(candidates(a, b), a, b)))
+    copies = rows.select("class", "id")
     out = pairs.join(copies, "class").join(ids, "payment")
     return out.select(F.col("id").alias("ledger_id"), F.col("transaction_id").alias("plaid_transaction_id"), "confidence")
