@@ -19,7 +19,7 @@ from ledgerloom.llm.label_model import LabelModel, fit
 from ledgerloom.session import cut_lineage
 
 #: Days by which the ledger may be behind or ahead of the feed, and the range of ledger/feed amounts.
-DAYS_BEHIND, DAYS_AHEAD = 6, 3
+DAYS_BEHIND, DAYS_AHEAD = 6, 1
 LEAST_RATIO, MOST_RATIO = 0.95, 1.27
 BLOCK_DAYS = 8
 CONFIDENCE = 0.5
@@ -38,6 +38,7 @@ KINDS = {
     "fee": r"\bfee\b|interest|\bcharged\b",
     "pay": r"payroll|salary|dir dep|\bppd\b",
 }
+NAMELESS = ("atm", "check", "transfer", "fee")
 VOTES = ["amount", "gap", "authorized", "words", "start", "kind", "place"]
 SIZES = [5, 7, 4, 4, 3, 3, 3]
 ABSTAIN = [-1, -1, 0, 0, 0, 0, 0]
@@ -137,17 +138,20 @@ def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, rows: DataFrame
 def features(lines: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What the candidate joins and the matching functions need of each side, once."""
     starts = lambda w: F.array_distinct(F.transform(w, lambda x: F.substring(x, 1, 4)))
+    # Kinds that name no party are words of their own, so that such lines can meet at differing amounts too.
+    with_kind = lambda w, k: F.when(k.isin(*NAMELESS), F.array_append(w, F.concat(F.lit("="), k))).otherwise(w)
     text = F.coalesce("description", F.lit(""))
     a = lines.select(
         "class", "account_id", "credit", "cents", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).cast("int").alias("block"),
-        _letters(text).alias("l_letters"), _kind(text).alias("l_kind"), starts(_words(text)).alias("l_words"),
+        _letters(text).alias("l_letters"), _kind(text).alias("l_kind"), with_kind(starts(_words(text)), _kind(text)).alias("l_words"),
     )
     who = F.concat_ws(" ", "merchant_name", "name")
+    p_kind = F.when(F.lower("name").rlike("pebblepay"), "person").otherwise(_kind(F.coalesce("name", F.lit(""))))
     b = payments.select(
         "payment", "account_id", "credit", F.col("cents").alias("p_cents"), _day("date").alias("p_day"), _day("authorized_date").alias("p_auth"),
         _words(F.regexp_replace(F.coalesce("merchant_name", "name"), r"(?i)\(online\)", "")).alias("p_words"),
         _letters(F.regexp_replace(F.coalesce("merchant_name", F.lit("")), r"(?i)\(online\)|\bllc\b|\binc\b", "")).alias("p_merchant"), _letters(F.col("name")).alias("p_name"),
-        F.when(F.lower("name").rlike("pebblepay"), "person").otherwise(_kind(F.coalesce("name", F.lit("")))).alias("p_kind"), starts(_words(who)).alias("p_starts"), _letters(F.col("city")).alias("p_city"),
+        p_kind.alias("p_kind"), with_kind(starts(_words(who)), p_kind).alias("p_starts"), _letters(F.col("city")).alias("p_city"),
     )
     return cut_lineage(a), cut_lineage(b)
 
@@ -168,7 +172,7 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     asked = b.select("payment", "account_id", "credit", "p_cents", "p_day", F.explode("p_starts").alias("word"))
     asked = asked.select("*", F.explode(F.sequence(size("p_cents", LEAST_RATIO), size("p_cents", MOST_RATIO))).alias("size"))
     asked = asked.select("*", _day_blocks(F.col("p_day")).alias("block"))
-    ratio = F.col("cents") / F.col("p_cents")
+    ratio = F.try_divide(F.col("cents"), F.col("p_cents"))  # a zero amount meets only zero, exactly
     close = keyed.join(asked, ["account_id", "credit", "word", "size", "block"]).where(near & (F.col("cents") != F.col("p_cents")) & ratio.between(LEAST_RATIO, MOST_RATIO))
     return exact.unionByName(close.select("class", "payment").distinct())
 
@@ -182,7 +186,7 @@ def _voted(pairs: DataFrame) -> DataFrame:
     """The votes of the matching functions, each a small number; 0 abstains where a function can."""
     gap = F.col("day") - F.col("p_day")
     off = F.abs(F.col("cents") - F.col("p_cents"))
-    ratio = F.col("cents") / F.col("p_cents")
+    ratio = F.try_divide(F.col("cents"), F.col("p_cents"))  # a zero amount meets only zero, exactly
     skel = _skeleton(F.col("l_letters"))
     hit = lambda w: F.contains(F.col("l_letters"), w) | ((F.length(w) >= 8) & F.contains(F.col("l_letters"), F.substring(w, 1, 7))) | ((F.length(_skeleton(w)) >= 3) & F.contains(skel, _skeleton(w)))
     n, hits = F.size("p_words"), F.size(F.filter("p_words", hit))
