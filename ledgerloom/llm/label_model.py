@@ -1,7 +1,7 @@
 """A generative model of matching functions' votes.
 
 Each candidate has a hidden class, match or not. Every function votes one of a few values; a function's
-votes depend on the class and on one other function, its parent in a tree that is learned per round from
+votes depend on the class and at most one other function, its parent in a forest that is learned from
 the votes' mutual information given the class. So the model learns how often each function errs and which
 functions err together. It is fitted by EM on counts of vote patterns, whose number depends on the
 functions alone, never on the number of candidates.
@@ -13,6 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Mutual information, in nats a vote, from which on two functions are taken to depend on each other.
+LEAST_SHARED = 0.05
+
 
 @dataclass
 class LabelModel:
@@ -40,7 +43,11 @@ class LabelModel:
 
 
 def _tree(patterns: np.ndarray, weight: np.ndarray, sizes: list[int], abstain: list[int]) -> list[int]:
-    """A maximum spanning tree over the functions by conditional mutual information; parents, -1 for the root."""
+    """A maximum spanning forest over the functions by conditional mutual information; parents, -1 for roots.
+
+    Only pairs that share LEAST_SHARED nats or more given the class are tied: weaker ties would let the
+    model explain by dependence what the class explains.
+    """
     n = len(sizes)
     info = np.zeros((n, n))
     for i in range(n):
@@ -56,7 +63,7 @@ def _tree(patterns: np.ndarray, weight: np.ndarray, sizes: list[int], abstain: l
     parent, inside = [-1] * n, {0}
     while len(inside) < n:
         i, j = max(((i, j) for i in inside for j in range(n) if j not in inside), key=lambda e: info[e])
-        parent[j] = i
+        parent[j] = i if info[i, j] >= LEAST_SHARED * weight.sum() else -1
         inside.add(j)
     return parent
 
@@ -72,7 +79,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, sizes: list[int], start: np.nd
     model = None
     for step in range(rounds):
         weight = np.stack([1 - p, p], axis=1) * counts[:, None]
-        if step in (5, 20):
+        if step in (0, 5, 20):
             parent = _tree(patterns, weight, sizes, abstain)
         tables = []
         for i, up in enumerate(parent):

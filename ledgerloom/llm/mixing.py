@@ -101,7 +101,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     spark = docs.sparkSession
     rows = [(r["source"], [float(t) for t in r["at"]]) for r in plan(docs, targets, total, seed)]
     at = spark.createDataFrame(rows, "source string, at array<double>")  # at most MAX_SOURCES rows
-    drawn = docs.join(F.broadcast(at), "source").withColumn("u", uniform(F.col("id"), seed))
+    drawn = docs.select("id", "source", "n_tokens").join(F.broadcast(at), "source").withColumn("u", uniform(F.col("id"), seed))
     copies = F.size(F.filter("at", lambda t: F.col("u") >= t))
     drawn = drawn.withColumn("copies", copies).where("copies > 0")
     out = drawn.select("id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import format_duplicates as dup
 from ledgerloom.llm import linkage, mixing, survivor, text_ops
+from ledgerloom.llm.sql import ORACLE  # noqa: F401
 from ledgerloom.session import cut_lineage
 from ledgerloom.sources.tables import table
 

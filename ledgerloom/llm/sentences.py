@@ -225,7 +225,7 @@ class _Block:
             a, b = m.span()
             end = b
             while True:
-                if end < hi and text[end] in CLOSERS and not (text[end] in "“" and self._opens(end)) and not (text[end] == '"' and self._opens(end)):
+                if end < hi and text[end] in CLOSERS and not (text[end] == "“" and not self._low_quote_open(end)) and not (text[end] == '"' and self._opens(end)):
                     end += 1
                 elif end + 1 < hi and text[end] in "\xa0\u202f " and text[end + 1] == "»":
                     end += 2
@@ -262,6 +262,10 @@ class _Block:
         right = text[i + 1] if i + 1 < self.hi else " "
         return (left.isspace() or left in "([{—–-:=„«") and not right.isspace() or left in SENTENCE_MARKS and right.isalnum() and text.count(text[i], self.lo, i) % 2 == 0
 
+    def _low_quote_open(self, i: int) -> bool:
+        """Whether “ closes a quotation that began with „."""
+        return self.text.rfind("„", self.lo, i) > max(self.text.rfind("“", self.lo, i), self.text.rfind("”", self.lo, i))
+
     def _rate(self, a: int, b: int, end: int, nxt: int) -> float:
         quoted = any(c in CLOSERS and c != "'" for c in self.text[b:end])
         close = _closing(self.text, self.lo, a, b, end, nxt, self.hi)
@@ -283,8 +287,7 @@ class _Block:
             if c == '"':
                 out.append('+"' if self._opens(i) else '-"')
             elif c == "“":
-                left = text[i - 1] if i > self.lo else " "
-                out.append("+“" if left.isspace() or i + 1 < self.hi and not text[i + 1].isspace() and text[i + 1] not in SENTENCE_MARKS + ",;:" else "-„")
+                out.append("-„" if self._low_quote_open(i) else "+“")
             elif c in OPEN_OF:
                 out.append("-" + OPEN_OF[c])
             else:

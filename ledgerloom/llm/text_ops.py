@@ -17,7 +17,7 @@ CHUNK_CHARS = 2_000_000
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        sizes = b["text"].str.len().fillna(0).cumsum() // CHUNK_CHARS
+        sizes = pd.Series([len(x) if x else 0 for x in b["text"]], index=b.index).cumsum() // CHUNK_CHARS
         for _, part in b.groupby(sizes, sort=False):
             yield part
 
