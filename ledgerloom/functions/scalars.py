@@ -46,7 +46,7 @@ def parse_us_date(text: Column, year: Column) -> Column:
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(named, 1)))
     m = F.coalesce(part(full, 1), part(short, 1), F.when(month > 0, month.cast("string")))
     d = F.coalesce(part(full, 2), part(short, 2), part(named, 2))
-    return F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+    return F.concat(F.lpad(y, 4, "0"), F.lit("-"), F.lpad(m, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 def is_iso_date(text: Column) -> Column:

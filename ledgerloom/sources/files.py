@@ -14,15 +14,20 @@ TAB_GAP, BLANK_GAP = 18.0, 2.5
 
 
 def statement_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, length, skipped) of the folder's PDF files, not below it.
+    """(path, name, length, skipped) of the folder's PDF files, not below it, in order of name.
 
-    Temporary and hidden files and empty ones are marked with the reason they are skipped. Contents are
-    not read. A folder without such files gives no rows.
+    Temporary and hidden files and empty ones are marked with the reason they are skipped. Only the
+    folder is listed, as a scan would do itself (which leaves out empty files); contents are not read. A
+    folder without such files gives no rows, a missing folder an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "false").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    rows = sorted((f.getPath().getName(), f.getPath().toString(), f.getLen()) for f in found if f.isFile())
+    rows = [(p, n, size) for n, p, size in rows if n.lower().endswith(".pdf")]
+    name = F.col("name")
     reason = F.when(F.startswith(name, F.lit("~$")) | F.startswith(name, F.lit(".")), "temporary").when(F.col("length") == 0, "empty")
-    return files.select("path", name.alias("name"), "length", reason.alias("skipped"))
+    return spark.createDataFrame(rows, "path string, name string, length bigint").withColumn("skipped", reason)
 
 
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
