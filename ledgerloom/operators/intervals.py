@@ -25,8 +25,11 @@ def boundaries(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
         F.struct(F.lit(1).alias("side"), F.col("t").alias("day")),
     )
     days = ok.select("e", F.explode(marks).alias("m")).groupBy("e", "m.side", "m.day").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("e", "side").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = days.withColumn("upto", F.sum("n").over(w))
+    # What is left of an entity is no longer than the calendar; placed by entity once, all that follows stays in place.
+    days = days.repartition("e")
+    w = Window.partitionBy("e", "side").orderBy("day")
+    ranked = days.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     # A start meets the end of the rank before its own; only the first of equal starts and the last of
     # equal ends can lie at a gap.
     k = F.when(F.col("side") == 0, F.col("upto") - F.col("n")).otherwise(F.col("upto"))
@@ -36,14 +39,13 @@ def boundaries(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
         .agg(
             F.max(F.when(F.col("side") == 1, F.col("day"))).alias("end_day"),
             F.max(F.when(F.col("side") == 0, F.col("day"))).alias("start_day"),
-            F.max(F.when(F.col("side") == 1, F.col("upto"))).alias("ended"),
+            F.max("total").alias("total"),
         )
     )
-    total = ok.groupBy("e").agg(F.count("*").alias("total"))
     opens = (F.col("k") == 0) & F.col("start_day").isNotNull()
     closes = F.col("end_day").isNotNull() & (F.col("k") == F.col("total"))
     apart = F.col("start_day") > F.date_add("end_day", 1)
-    return met.join(total, "e").where(opens | closes | apart).select(F.col("e").alias(entity), "k", "end_day", "start_day")
+    return met.where(opens | closes | apart).select(F.col("e").alias(entity), "k", "end_day", "start_day")
 
 
 def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
