@@ -111,28 +111,39 @@ def _day_blocks(day: Column) -> Column:
     return F.explode(F.sequence(F.floor((day - DAYS_AHEAD) / BLOCK_DAYS), F.floor((day + DAYS_BEHIND) / BLOCK_DAYS)))
 
 
-def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, rows: DataFrame, payments: DataFrame) -> DataFrame:
+def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, ledger: DataFrame, payments: DataFrame) -> DataFrame:
     """(feed_account, account_id): the ledger account of each feed account that has one.
 
     Accounts of the same institution and kind are compared by how many payments agree in amount and
-    days, whole units aside; an equal mask counts as much again, since masks may be missing, wrong or
-    shared. A link needs a seventh of the feed account's payments to agree, and without an equal mask at
-    least three.
+    days, amounts in whole units aside. Those of an equal mask come first: mask and amount together make
+    keys that do not fill up as tables grow. Masks may be missing, wrong or shared; feed accounts that
+    found nothing are compared with the ledger accounts left, by amount and the beginning of a word of
+    the name. A link needs a seventh of the feed account's payments to agree, and three without an equal
+    mask. Accounts without institution or kind are linked to nothing.
     """
     ours = accounts.select(F.col("id").alias("account_id"), _bank("institution").alias("bank"), F.lower("account_type").alias("kind"), F.regexp_extract("account_number_masked", r"(\d{4})\s*$", 1).alias("mask"))
     sub = F.when(F.col("type") == "credit", F.array(F.lit("credit"))).when(F.lower("subtype").isin("checking", "savings"), F.array(F.lower("subtype"))).otherwise(F.array(F.lit("checking"), F.lit("savings")))
-    theirs = feed_accounts.select(F.col("account_id").alias("feed_account"), _bank("institution_name").alias("bank"), F.explode(sub).alias("kind"), F.col("mask").alias("feed_mask"))
+    theirs = feed_accounts.select(F.col("account_id").alias("feed_account"), _bank("institution_name").alias("bank"), F.explode(sub).alias("kind"), "mask")
     odd = F.col("cents") % 100 != 0
-    a = rows.where(odd).join(ours, "account_id").select("bank", "kind", "cents", "credit", F.col("account_id"), "mask", _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).alias("block"))
-    p = payments.where(odd).select(F.col("account_id").alias("feed_account"), "cents", "credit", _day("date").alias("feed_day"))
+    cents, credit = F.abs(F.col("amount") * 100).cast("bigint").alias("cents"), F.lower(F.trim("direction")).startswith("c").alias("credit")
+    a = ledger.where("account_id is not null and date is not null").select("account_id", cents, credit, _day("date").alias("day"), F.floor(_day("date") / BLOCK_DAYS).alias("block"), "description").where(odd)
+    p = payments.where(odd).select(F.col("account_id").alias("feed_account"), "cents", "credit", _day("date").alias("feed_day"), F.concat_ws(" ", "merchant_name", "name").alias("who"))
     counts = p.groupBy("feed_account").agg(F.count("*").alias("payments"))
-    b = p.join(theirs, "feed_account").select("*", _day_blocks(F.col("feed_day")).alias("block"))
-    met = a.join(b, ["bank", "kind", "cents", "credit", "block"]).where(F.col("day").between(F.col("feed_day") - DAYS_AHEAD, F.col("feed_day") + DAYS_BEHIND))
-    met = met.groupBy("feed_account", "account_id", (F.col("mask") == F.col("feed_mask")).alias("same_mask")).agg(F.count("*").alias("agree"))
-    met = met.join(counts, "feed_account").withColumn("same", F.coalesce("same_mask", F.lit(False)).cast("int"))
-    met = met.where((F.col("agree") * 7 >= F.col("payments")) & ((F.col("same") == 1) | (F.col("agree") >= 3)))
-    best = met.groupBy("feed_account").agg(F.max_by("account_id", F.struct(F.col("agree") * (1 + F.col("same")), "same", "account_id")).alias("account_id"))
-    return best
+    b = p.select("*", _day_blocks(F.col("feed_day")).alias("block"))
+    key = ["bank", "kind", "cents", "credit", "block"]
+
+    def agreeing(left: DataFrame, right: DataFrame, by: list[str], least: int) -> DataFrame:
+        near = F.col("day").between(F.col("feed_day") - DAYS_AHEAD, F.col("feed_day") + DAYS_BEHIND)
+        n = left.join(right, by).where(near).groupBy("feed_account", "account_id").agg(F.count_distinct("cents", "feed_day").alias("agree")).join(counts, "feed_account")
+        n = n.where((F.col("agree") * 7 >= F.col("payments")) & (F.col("agree") >= least))
+        return cut_lineage(n.groupBy("feed_account").agg(F.max_by("account_id", F.struct("agree", "account_id")).alias("account_id")))
+
+    masked = agreeing(a.drop("description").join(ours.where("mask != ''"), "account_id"), b.drop("who").join(theirs, "feed_account"), [*key, "mask"], 1)
+    open_ours, open_theirs = ours.drop("mask").join(masked, "account_id", "left_anti"), theirs.drop("mask").join(masked, "feed_account", "left_anti")
+    word = lambda c: F.explode(F.array_distinct(F.transform(_words(F.col(c)), lambda x: F.substring(x, 1, 4))))
+    left = a.join(open_ours, "account_id").select("*", word("description").alias("word")).drop("description")
+    right = b.join(open_theirs, "feed_account").select("*", word("who").alias("word")).drop("who")
+    return masked.unionByName(agreeing(left, right, [*key, "word"], 3))
 
 
 def features(lines: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +276,7 @@ def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts:
     """
     rows = ledger_rows(ledger)
     payments, ids = feed_payments(feed)
-    linked = cut_lineage(link_accounts(accounts, feed_accounts, rows, payments))
+    linked = cut_lineage(link_accounts(accounts, feed_accounts, ledger, payments))
     theirs = payments.withColumnRenamed("account_id", "feed_account").join(linked, "feed_account").drop("feed_account")
     a, b = features(own_lines(rows, ledger, linked), theirs)
     pairs = matched(cut_lineage(vote(candidates(a, b), a, b)))
