@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON, ERROR_ABOVE = 0.01, 1.00
@@ -56,3 +56,40 @@ def violations(df: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFram
     """(id, path, keyword) of each failed check. checks: path -> (keyword, condition that must hold; null fails)."""
     all_ = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(word).alias("keyword"))) for path, (word, ok) in checks.items()])
     return df.select("id", F.explode(F.array_compact(all_)).alias("v")).select("id", "v.path", "v.keyword")
+
+
+def anchored_balances(ledger: DataFrame, statements: DataFrame) -> DataFrame:
+    """(account_id, ending_balance, starting_balance, total_credits, total_debits, period_start, period_end).
+
+    The latest statement with an ending balance is the anchor; later rows are added to it. Without one
+    the end is credits less debits. The start is what makes the balance equation hold. Rows should be
+    deduplicated before; accounts without rows are left out.
+    """
+    anchor = statements.where("ending_balance is not null").groupBy("account_id").agg(F.max_by(F.struct("period_end", "ending_balance"), F.struct("period_end", "id")).alias("a"))
+    size = F.abs("amount")
+    credit = F.lower(F.trim("direction")) == "credit"
+    x = ledger.where("account_id is not null").join(anchor, "account_id", "left")
+    signed = F.when(credit, size).otherwise(-size)
+    sums = x.groupBy("account_id").agg(
+        F.sum(F.when(credit, size).otherwise(F.lit(0))).alias("c"), F.sum(F.when(credit, F.lit(0)).otherwise(size)).alias("d"), F.sum(F.when(F.col("date") > F.col("a.period_end"), signed).otherwise(F.lit(0))).alias("later"),
+        F.first("a.ending_balance").alias("known"), F.min("date").alias("period_start"), F.max("date").alias("period_end"),
+    )
+    end = F.coalesce(F.col("known") + F.col("later"), F.col("c") - F.col("d"))
+    return sums.select("account_id", end.cast("double").alias("ending_balance"), (end - F.col("c") + F.col("d")).cast("double").alias("starting_balance"), F.col("c").cast("double").alias("total_credits"), F.col("d").cast("double").alias("total_debits"), "period_start", "period_end")
+
+
+def running_statement_balances(statements: DataFrame) -> DataFrame:
+    """(id, account_id, balance): credits less debits accumulated over an account's statements in order of period.
+
+    An account with a single statement has its printed balance instead. An account's statements are
+    summed by day of beginning first, so its window is no longer than the calendar.
+    """
+    net = _money("total_credits") - F.abs(_money("total_debits"))
+    days = statements.groupBy("account_id", "period_start").agg(F.sum(net).alias("net"), F.count("*").alias("k"))
+    w = Window.partitionBy("account_id").orderBy("period_start")
+    upto = F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    many = F.sum("k").over(Window.partitionBy("account_id"))
+    days = days.select("account_id", "period_start", upto.alias("upto"), many.alias("many"))
+    x = statements.join(days, ["account_id", "period_start"])
+    balance = F.when((F.col("many") == 1) & F.col("ending_balance").isNotNull(), F.col("ending_balance")).otherwise(F.col("upto"))
+    return x.select("id", "account_id", balance.cast("double").alias("balance"))

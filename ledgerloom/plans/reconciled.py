@@ -76,3 +76,21 @@ def enrich_with_feed(spark: SparkSession, folder: str) -> DataFrame:
 AND replace(a.account_number_masked, '*', '') = f.mask GROUP BY 1) SELECT * FROM k""")
 def account_links_by_mask(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.accounts_by_mask(table(spark, folder, "accounts"), table(spark, folder, "plaid_accounts"))
+
+
+@query("""SELECT p.feed_seq, CAST(abs(p.amount) AS DOUBLE) AS amount, CASE WHEN p.amount > 0 THEN 'debit' ELSE 'credit' END AS direction, p.name AS description, coalesce(p.merchant_name, p.name) AS merchant, coalesce(p.authorized_date, p.date) AS posted_date,
+CASE lower(p.payment_channel) WHEN 'online' THEN 'ONLINE_BANKING_TRANSFER' WHEN 'in store' THEN 'CHECKCARD' ELSE 'OTHER' END AS channel,
+upper(CASE WHEN f.type = 'credit' THEN 'credit' WHEN lower(f.subtype) = 'savings' THEN 'savings' ELSE 'checking' END) || '-' || coalesce(f.mask, '0000') || '-' || strftime(p.date, '%Y%m') || '01-' || strftime(last_day(p.date), '%Y%m%d') AS statement_key,
+'tx_' || substr(sha256(p.transaction_id || p.account_id || CAST(p.date AS VARCHAR) || CAST(p.amount AS VARCHAR)), 1, 24) AS transaction_key FROM plaid_transactions p JOIN plaid_accounts f ON f.account_id = p.account_id""")
+def feed_normalized(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed rows in the ledger's terms; rows of unknown accounts are left out. A zero amount is a credit."""
+    kind = F.when(F.col("type") == "credit", "credit").when(F.lower("subtype") == "savings", "savings").otherwise("checking")
+    f = table(spark, folder, "plaid_accounts").select("account_id", kind.alias("kind"), F.coalesce("mask", F.lit("0000")).alias("mask"))
+    p = table(spark, folder, "plaid_transactions").join(f, "account_id")
+    channel = F.when(F.lower("payment_channel") == "online", "ONLINE_BANKING_TRANSFER").when(F.lower("payment_channel") == "in store", "CHECKCARD").otherwise("OTHER")
+    period = F.concat(F.date_format("date", "yyyyMM"), F.lit("01-"), F.date_format(F.last_day("date"), "yyyyMMdd"))
+    key = F.concat(F.lit("tx_"), F.substring(F.sha2(F.concat("transaction_id", "account_id", F.col("date").cast("string"), F.col("amount").cast("string")), 256), 1, 24))
+    return p.select(
+        "feed_seq", F.abs("amount").cast("double").alias("amount"), F.when(F.col("amount") > 0, "debit").otherwise("credit").alias("direction"), F.col("name").alias("description"), F.coalesce("merchant_name", "name").alias("merchant"),
+        F.coalesce("authorized_date", "date").alias("posted_date"), channel.alias("channel"), F.concat_ws("-", F.upper("kind"), "mask", period).alias("statement_key"), key.alias("transaction_key"),
+    )

@@ -267,3 +267,19 @@ def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {GAPS} SELECT t.id FROM ledger_transactions t WHERE EXISTS (SELECT 1 FROM gaps g WHERE g.account_id = t.account_id AND t.date BETWEEN g.gap_start AND g.gap_end)")
 def gap_semi_join(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.rows_in_gaps(_ledger(spark, folder), "account_id", "date", _gaps(spark, folder)).select("id")
+
+
+@query("""WITH a AS (SELECT account_id, arg_max(period_end, (period_end, id)) AS pe, arg_max(ending_balance, (period_end, id)) AS eb FROM statements WHERE ending_balance IS NOT NULL GROUP BY 1),
+x AS (SELECT t.account_id, t.date, abs(t.amount) AS s, lower(trim(t.direction)) = 'credit' AS c, a.pe, a.eb FROM (SELECT *, row_number() OVER (PARTITION BY account_id, date, amount, direction, description ORDER BY created_at DESC, id) AS n FROM ledger_transactions) t LEFT JOIN a ON a.account_id = t.account_id WHERE t.n = 1),
+s AS (SELECT account_id, sum(CASE WHEN c THEN s ELSE 0 END) AS tc, sum(CASE WHEN c THEN 0 ELSE s END) AS td, sum(CASE WHEN date > pe THEN CASE WHEN c THEN s ELSE -s END ELSE 0 END) AS later, any_value(eb) AS eb, min(date) AS period_start, max(date) AS period_end FROM x GROUP BY 1)
+SELECT account_id, CAST(coalesce(eb + later, tc - td) AS DOUBLE) AS ending_balance, CAST(coalesce(eb + later, tc - td) - tc + td AS DOUBLE) AS starting_balance, CAST(tc AS DOUBLE) AS total_credits, CAST(td AS DOUBLE) AS total_debits, period_start, period_end FROM s""")
+def anchored_balances(spark: SparkSession, folder: str) -> DataFrame:
+    """Each account's balances reckoned from its latest statement, over deduplicated rows."""
+    return integrity.anchored_balances(dedup.latest(_ledger(spark, folder), "id"), table(spark, folder, "statements"))
+
+
+@query("""WITH n AS (SELECT *, coalesce(total_credits, 0) - abs(coalesce(total_debits, 0)) AS net FROM statements)
+SELECT id, account_id, CAST(CASE WHEN count(*) OVER (PARTITION BY account_id) = 1 AND ending_balance IS NOT NULL THEN ending_balance
+ELSE sum(net) OVER (PARTITION BY account_id ORDER BY period_start RANGE UNBOUNDED PRECEDING) END AS DOUBLE) AS balance FROM n""")
+def statement_running_balance(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.running_statement_balances(table(spark, folder, "statements"))

@@ -192,3 +192,72 @@ def within_period(rows: DataFrame, head: DataFrame) -> DataFrame:
     x = rows.join(head.select("file", "period_start", "period_end"), "file")
     ok = F.col("period_start").isNull() | F.col("period_end").isNull() | F.col("date").between(F.col("period_start"), F.col("period_end"))
     return x.where(ok).drop("period_start", "period_end")
+
+
+# ---- other grammars ----
+
+DATED = r"^(\d{2}/\d{2}(?:/\d{2,4})?)\s*"
+#: What goes on from a dated line: lower case, a place, or a short line.
+GOES_ON = r"^[a-z]|^[A-Z]{2,}\s+[A-Z]{2}\s*$|^[A-Z0-9].{0,58}$"
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """(file, page, line_index, date, description, amount, original_text): dated lines with what goes on from them.
+
+    The description is all text of the row, the amount the last one in it. Lines before any date, and
+    long ones that carry neither date nor amount, are left out.
+    """
+    x = lines.withColumn("t", F.trim("line")).where("t != ''")
+    x = x.withColumn("dated", F.col("t").rlike(DATED)).withColumn("a", extract(F.col("t"), rf"({AMOUNT})$"))
+    w = Window.partitionBy("file").orderBy("page", "line_index")
+    x = x.withColumn("g", F.sum(F.col("dated").cast("int")).over(w)).where((F.col("g") > 0) & (F.col("dated") | F.col("a").isNotNull() | F.col("t").rlike(GOES_ON)))
+    told = F.when(F.col("dated") | F.col("t").rlike(GOES_ON), F.col("t")).otherwise(F.trim(F.regexp_replace("t", rf"{AMOUNT}$", "")))
+    parts = F.array_sort(F.collect_list(F.struct("page", "line_index", told.alias("t"), "a")))
+    rows = x.groupBy("file", "g").agg(parts.alias("p"))
+    texts = F.filter(F.transform("p", lambda r: r["t"]), lambda s: s != "")
+    amounts = F.filter(F.transform("p", lambda r: r["a"]), lambda a: a.isNotNull())
+    first = F.col("p")[0]
+    return rows.select("file", first["page"].alias("page"), first["line_index"].alias("line_index"), F.regexp_extract(first["t"], DATED, 1).alias("date"), F.array_join(texts, " ").alias("description"), parse_amount(F.try_element_at(amounts, F.lit(-1))).alias("amount"), F.array_join(texts, "\n").alias("original_text"))
+
+
+# A printed list of account activity.
+DETAILS_KIND = r"(?i)Online Banking \| Deposit \| Print Transaction Details"
+DETAILS_TYPES = "Debit Card|Transfer|Other|Check|Deposit|Virtual Card|Bank Charge|Credit"
+DETAILS_ROW = rf"(?i)^(\d{{2}}/\d{{2}}/\d{{4}})\s+(.+?)\s+({DETAILS_TYPES})\s+(-?\$?[\d,]+\.\d{{2}})$"
+DETAILS_PLAIN = r"^(\d{2}/\d{2}/\d{4})\s+(.+?)\s+(-?\$?[\d,]+\.\d{2})$"
+DETAILS_SKIP = r"(?i)^Cleared$|^Pending$|^Posting date|^Transactions$|^View:|^https://|^\d+/\d+$|^\d{1,2}/\d{1,2}/\d{2},\s+\d{1,2}:\d{2}\s+[AP]M"
+DETAILS_HEADS = r"(?i)^(Posting|Transactions|View|Balance|Showing)"
+
+
+def is_details(text: Column) -> Column:
+    """Whether a file's text is a list of account activity rather than a statement."""
+    return text.rlike(DETAILS_KIND)
+
+
+def details_rows(lines: DataFrame) -> DataFrame:
+    """(file, page, line_index, date, description, type, amount, original_text) of a list of account activity.
+
+    A row takes the short lines after it that are no heads; amounts keep their sign.
+    """
+    x = lines.withColumn("t", F.trim("line")).where("t != ''").where(~F.col("t").rlike(DETAILS_SKIP))
+    t = F.col("t")
+    cut = lambda p, d, s, k, a: F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, d).alias("day"), F.trim(F.regexp_extract(t, p, s)).alias("text"), F.regexp_extract(t, p, k).alias("type") if k else F.lit(None).cast("string").alias("type"), F.regexp_extract(t, p, a).alias("amount")))
+    x = x.withColumn("row", F.coalesce(cut(DETAILS_ROW, 1, 2, 3, 4), cut(DETAILS_PLAIN, 1, 2, 0, 3)))
+    w = Window.partitionBy("file").orderBy("page", "line_index")
+    x = x.withColumn("g", F.sum(F.col("row").isNotNull().cast("int")).over(w)).where("g > 0")
+    on = F.col("row").isNull() & ~t.rlike(r"^\d{2}/\d{2}/\d{4}") & ~t.rlike(r"\$[\d,]+\.\d{2}") & (F.length(t) < 50) & ~t.rlike(DETAILS_HEADS)
+    parts = F.array_sort(F.collect_list(F.struct("page", "line_index", "row", "t")))
+    rows = x.where(F.col("row").isNotNull() | on).groupBy("file", "g").agg(parts.alias("p"))
+    head, rest = F.col("p")[0], F.transform(F.slice("p", 2, F.size("p")), lambda r: r["t"])
+    return rows.select(
+        "file", head["page"].alias("page"), head["line_index"].alias("line_index"), parse_us_date(head["row"]["day"], F.lit(None).cast("int")).alias("date"), F.array_join(F.concat(F.array(head["row"]["text"]), rest), " ").alias("description"),
+        head["row"]["type"].alias("type"), parse_amount(head["row"]["amount"]).alias("amount"), F.array_join(F.concat(F.array(head["t"]), rest), " | ").alias("original_text"),
+    )
+
+
+def details_balance(rows: DataFrame, ending: DataFrame) -> DataFrame:
+    """(file, starting_balance, ending_balance, total_credits, total_debits): the start is reckoned back from a known end, 0 without one."""
+    sums = rows.groupBy("file").agg(F.sum(F.when(F.col("amount") > 0, F.col("amount").cast("decimal(14,2)")).otherwise(F.lit(0))).alias("c"), F.sum(F.when(F.col("amount") < 0, -F.col("amount").cast("decimal(14,2)")).otherwise(F.lit(0))).alias("d"))
+    x = sums.join(ending.select("file", F.col("ending_balance").cast("decimal(14,2)").alias("e")), "file", "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    start = F.when(F.col("e") > 0, F.col("e") - F.col("c") + F.col("d")).otherwise(F.lit(0))
+    return x.select("file", start.cast("double").alias("starting_balance"), F.col("e").cast("double").alias("ending_balance"), F.col("c").cast("double").alias("total_credits"), F.col("d").cast("double").alias("total_debits"))

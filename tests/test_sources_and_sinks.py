@@ -176,3 +176,19 @@ def test_positions(spark):
     r = positions.owners(o).first()
     assert (r.name, r.email, r.phone) == ("A B, C", "p@q", None)
     assert spark.range(1).select(positions.masked(F.lit("123456")).alias("m")).first().m == "**3456"
+
+
+def test_merged_lines(spark):
+    text = "Header of a page\n01/05 BIG STORE\nSEATTLE WA\n12.00\n01/06 SMALL SHOP 3.50\nx continues\n" + "LONG " * 30 + "\n01/07/24 NO AMOUNT"
+    rows = sl.merged_lines(lines(spark, text)).orderBy("line_index").collect()
+    assert [(r.date, r.description, r.amount) for r in rows] == [("01/05", "01/05 BIG STORE SEATTLE WA 12.00", 12.0), ("01/06", "01/06 SMALL SHOP 3.50 x continues", 3.5), ("01/07/24", "01/07/24 NO AMOUNT", None)]
+
+
+def test_details(spark):
+    text = "Some Bank | Online Banking | Deposit | Print Transaction Details\nShowing results\n01/05/2024 COFFEE PLACE Debit Card -$4.50\nGLENDALE CA\nCleared\n1/5\n01/06/2024 PAYROLL 500.00\nBalance now\n"
+    df = lines(spark, text)
+    assert df.select(sl.is_details(F.col("line")).alias("d")).first().d
+    rows = sl.details_rows(df).orderBy("line_index").collect()
+    assert [(r.date, r.description, r.type, r.amount) for r in rows] == [(date(2024, 1, 5), "COFFEE PLACE GLENDALE CA", "Debit Card", -4.5), (date(2024, 1, 6), "PAYROLL", None, 500.0)]
+    b = sl.details_balance(sl.details_rows(df), spark.createDataFrame([("a.pdf", 1000.0)], "file string, ending_balance double")).first()
+    assert (b.starting_balance, b.total_credits, b.total_debits) == (504.5, 500, 4.5)
