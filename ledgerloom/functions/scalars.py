@@ -112,6 +112,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
+def similarity_from(a: str, b: str, least: float) -> Column:
+    """The similarity of two columns that are trimmed and in lower case already, 0 where it is under `least`.
+
+    The edit distance stops as soon as it is too large.
+    """
+    longest = F.greatest(F.length(a), F.length(b))
+    distance = F.expr(f"levenshtein(`{a}`, `{b}`, cast(floor(greatest(length(`{a}`), length(`{b}`)) * {1 - least!r} + 1e-9) as int))")
+    close = F.least(F.length(a), F.length(b)) >= longest * (least - 1e-9)
+    return F.when(F.col(a) == F.col(b), 1.0).when((F.length(a) > 0) & (F.length(b) > 0) & close, F.when(distance >= 0, 1 - distance / longest).otherwise(0.0)).otherwise(0.0)
+
+
 def csv_field(c: Column, delimiter: str = ",") -> Column:
     """Quoted only if it holds the delimiter, a quote or a line break; empty for null."""
     s = F.coalesce(c.cast("string"), F.lit(""))

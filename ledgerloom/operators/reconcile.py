@@ -15,12 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import similarity
+from ledgerloom.functions.scalars import similarity_from
 from ledgerloom.session import cut_lineage
 
 DAYS, AMOUNT_SHARE, LIKENESS = 3, 0.01, 0.6
 ALIKE = 0.9
 FLOOR = 0.5
+#: Rounds of assignment in one job before it is seen whether any edge was lost.
+ROUNDS_A_JOB = 4
 # Points of each signal.
 POINTS = {"amount": (0.4, 0.3), "date": (0.3, 0.2), "merchant": (0.3, 0.2)}
 
@@ -50,11 +52,12 @@ def _near(x: Column, y: Column, share: float) -> Column:
 
 def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
     """Pairs with confidence, match_type and differences; those under the floor are left out."""
-    a = left.select(F.col("id").alias("left_id"), F.col("date").alias("l_date"), F.col("amount").cast("double").alias("l_amount"), "description", F.coalesce("merchant", "description").alias("l_merchant"))
-    b = right.select(F.col("id").alias("right_id"), F.col("date").alias("r_date"), F.abs(F.col("amount").cast("double")).alias("r_amount"), "name", F.coalesce("merchant_name", "name").alias("r_merchant"))
+    tidy = lambda c: F.lower(F.trim(c))
+    l_who, r_who = F.coalesce("merchant", "description"), F.coalesce("merchant_name", "name")
+    a = left.select(F.col("id").alias("left_id"), F.col("date").alias("l_date"), F.col("amount").cast("double").alias("l_amount"), l_who.alias("l_merchant"), tidy(l_who).alias("l1"), tidy(F.col("description")).alias("l2"))
+    b = right.select(F.col("id").alias("right_id"), F.col("date").alias("r_date"), F.abs(F.col("amount").cast("double")).alias("r_amount"), r_who.alias("r_merchant"), tidy(r_who).alias("r1"), tidy(F.col("name")).alias("r2"))
     x = pairs.join(a, "left_id").join(b, "right_id")
-    like = F.greatest(*[similarity(F.col(p), F.col(q)) for p, q in (("l_merchant", "r_merchant"), ("l_merchant", "name"), ("description", "name"), ("description", "r_merchant"))])
-    x = x.withColumn("like", like)
+    x = x.withColumn("like", F.greatest(*[similarity_from(p, q, likeness) for p in ("l1", "l2") for q in ("r1", "r2")]))
     same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
     same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
     alike, likely = F.col("like") >= ALIKE, F.col("like") >= likeness
@@ -80,15 +83,19 @@ def assign(edges: DataFrame) -> DataFrame:
     that edge and ask again, until no edge is lost. Every step is a pair of windows over single rows'
     edges; nothing is gathered by account.
     """
+    cols = edges.columns
     asks = Window.partitionBy("left_id").orderBy(F.desc("confidence"), "r_date", "right_id")
-    keeps = Window.partitionBy("right_id").orderBy("l_date", "left_id")
+    keeps = Window.partitionBy("right_id", F.col("n") == 1).orderBy("l_date", "left_id")
+    lost = (F.col("n") == 1) & (F.col("m") > 1)
     edges = cut_lineage(edges)
     while True:
-        asked = cut_lineage(edges.withColumn("n", F.row_number().over(asks)).where("n = 1").withColumn("m", F.row_number().over(keeps)))
-        lost = asked.where("m > 1").select("left_id", "right_id")
-        if lost.isEmpty():
-            return asked.select(*edges.columns)
-        edges = cut_lineage(edges.join(lost, ["left_id", "right_id"], "left_anti"))
+        for _ in range(ROUNDS_A_JOB):
+            edges = edges.select(cols).withColumn("n", F.row_number().over(asks)).withColumn("m", F.row_number().over(keeps)).where(~lost)
+        edges = edges.select(cols).withColumn("n", F.row_number().over(asks)).withColumn("m", F.row_number().over(keeps))
+        edges = cut_lineage(edges)
+        if edges.where(lost).isEmpty():
+            return edges.where("n = 1").select(cols)
+        edges = edges.where(~lost)
 
 
 def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
