@@ -67,19 +67,19 @@ def _words_sql(types: tuple) -> str:
 
 @query(_rules_sql())
 def categorize_v2(spark: SparkSession, folder: str) -> DataFrame:
-    return _ledger(spark, folder).select("id", classify.categorize(F.col("description")).alias("c")).select("id", "c.*")
+    return classify.with_category(_ledger(spark, folder).select("id", "description"), "description").drop("description")
 
 
 @query(_older_sql())
 def categorize_v1(spark: SparkSession, folder: str) -> DataFrame:
-    return _ledger(spark, folder).select("id", classify.categorize_older(F.col("description")).alias("c")).select("id", "c.category", "c.subcategory", "c.confidence")
+    return classify.with_category(_ledger(spark, folder).select("id", "description"), "description", older=True).drop("description", "rule_id")
 
 
 @query()
 def categorize_by_channel(spark: SparkSession, folder: str) -> DataFrame:
     """The rules with each line's channel, which then restricts them."""
     t = _ledger(spark, folder).withColumn("channel_type", classify.channel(F.col("description"))["type"])
-    return t.select("id", "channel_type", classify.categorize(F.col("description"), F.col("channel_type")).alias("c")).select("id", "channel_type", "c.*")
+    return classify.with_category(t.select("id", "description", "channel_type"), "description", "channel_type").drop("description")
 
 
 @query(_feed_sql())

@@ -17,5 +17,5 @@ def hybrid_categories(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "ledger_transactions").select("id", "description", "category")
     known = t.where(~F.lower(F.trim("category")).isin("", "n/a", "unknown", "uncategorized"))
     model = ml.fit(known, "id", "category")
-    x = ml.predict(model, t.select("id", "description")).withColumn("rule", classify.categorize(F.col("description")))
-    return x.select("id", ml.combined(F.col("rule.category"), F.col("rule.confidence"), F.col("ml_category"), F.col("ml_confidence")).alias("c"), "ml_category").select("id", "c.*", "ml_category")
+    x = classify.with_category(ml.predict(model, t.select("id", "description")), "description")
+    return x.select("id", ml.combined(F.col("category"), F.col("confidence"), F.col("ml_category"), F.col("ml_confidence")).alias("c"), "ml_category").select("id", "c.*", "ml_category")

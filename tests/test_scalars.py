@@ -104,3 +104,4 @@ def test_merchant(spark):
     rows = {r.description: r for r in classify.with_merchant(df, "description").collect()}
     a, b = rows["CHECKCARD 0601 STARBUCKS STORE 123 SEATTLE WA"], rows["PURCHASE JOES DINER 800-555-1234 AUSTIN TX"]
     assert a.normalized_name == "Starbucks" and a.state == "WA" and b.phone == "800-555-1234" and rows["x"].name is None and rows[None].name is None
+
