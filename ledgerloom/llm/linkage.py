@@ -23,6 +23,8 @@ DAYS_BEHIND, DAYS_AHEAD = 6, 1
 LEAST_RATIO, MOST_RATIO = 0.95, 1.27
 BLOCK_DAYS = 8
 CONFIDENCE = 0.5
+#: Rounds of taking mutually best pairs in one job.
+ROUNDS_A_JOB = 2
 # Words of bank lines that name no party.
 STOP_WORDS = (
     "purchase", "checkcard", "card", "term", "payment", "transfer", "online", "banking", "confirmation", "from", "with", "withdrwl", "withdrawal",
@@ -256,17 +258,18 @@ def matched(voted: DataFrame) -> DataFrame:
     worth = F.struct(
         F.round(-F.col("confidence"), 3).alias("a"), F.least("off", F.lit(3)).alias("b"), F.round(-F.col("share"), 2).alias("c"), F.abs(F.col("days") - 0.4).alias("d"), F.col("off").alias("e"), F.col("class").alias("f"), F.col("payment").alias("g"),
     )
-    edges = cut_lineage(scored.select("class", "payment", "confidence", worth.alias("worth")))
-    taken = None
+    by_line, by_payment = Window.partitionBy("class"), Window.partitionBy("payment")
+    best = (F.col("worth") == F.col("for_line")) & (F.col("worth") == F.col("for_payment"))
+    edges = scored.select("class", "payment", "confidence", worth.alias("worth"))
     while True:
-        best = edges.withColumn("for_line", F.min("worth").over(Window.partitionBy("class"))).withColumn("for_payment", F.min("worth").over(Window.partitionBy("payment")))
-        best = best.where((F.col("worth") == F.col("for_line")) & (F.col("worth") == F.col("for_payment")))
-        now = cut_lineage(best.select("class", "payment", "confidence"))
-        taken = now if taken is None else taken.unionByName(now)
-        rest = edges.join(now.select("class"), "class", "left_anti").join(now.select("payment"), "payment", "left_anti")
-        edges = cut_lineage(rest.select("class", "payment", "confidence", "worth"))
-        if edges.isEmpty():
-            return taken
+        for _ in range(ROUNDS_A_JOB):
+            edges = edges.withColumn("for_line", F.min("worth").over(by_line)).withColumn("for_payment", F.min("worth").over(by_payment)).withColumn("hit", best)
+            gone = F.max("hit").over(by_payment) | F.max("hit").over(by_line)
+            edges = edges.withColumn("gone", gone).where(F.col("hit") | ~F.col("gone")).drop("for_line", "for_payment", "gone")
+        edges = cut_lineage(edges)
+        # A pair that was taken stands alone from then on; the rest are still to be decided.
+        if edges.where(~F.col("hit")).isEmpty():
+            return edges.select("class", "payment", "confidence")
 
 
 def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts: DataFrame) -> DataFrame:
