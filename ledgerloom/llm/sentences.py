@@ -241,9 +241,13 @@ class _Block:
             if not gap and not wide:
                 # Without a space only a new capital, or a letter of a script without case, can begin a sentence.
                 before, after = text[a - 1] if a > lo else "", text[nxt]
-                cased = (before.islower() or before.isdigit() or before in ")”»\"%€") and after.isupper() and (nxt + 1 >= hi or text[nxt + 1].islower() or text[nxt + 1].isspace())
+                ended = before.islower() or before.isdigit() or before in ")”»\"%€₽$"
+                follow = text[nxt + 1] if nxt + 1 < hi else " "
+                # An initial or a short title only after a word: "u.S" and the like stay whole.
+                cased = ended and after.isupper() and (follow.islower() or follow.isspace() or follow in "'’" or follow == "." and (text[b - 1] in "!?" or len(_word_before(text, lo, a)) > 3))
+                cased |= ended and (after in "“«¿¡„" or after == '"' and self._opens(nxt) or after == "(" and follow.isupper())
                 caseless = before.isalpha() and after.isalpha() and not (after.isupper() or after.islower()) and not (before.isupper() or before.islower()) and len(_word_before(text, lo, a)) > 1 and "…" not in text[a:b] and b - a == 1
-                if not (cased or caseless or after in "“«¿¡" and before.islower()):
+                if not (cased or caseless):
                     continue
             at.append((a, b, end, nxt))
         found = {end: self._rate(a, b, end, nxt) for a, b, end, nxt in at}

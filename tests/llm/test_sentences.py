@@ -18,6 +18,7 @@ CASES = [
     "It froze as shown on p. 9.‖ Both cards, Nos. 66 and 58, were lost.",
     "frozen by the team.‖Last week it moved.‖ Version 5.4.1 of stmt_2024-03.pdf reads No. 7 as a deposit.",
     "No way!!!‖ Really?!‖ Ok.",
+    "It is in the office.‖Dr. Ambrick left.‖J. R. Okanvar stayed!‖M. Tarkell went to the U.S.A. by plane.‖“Why?” Bram asked.",
     "Finished after 21.52 ms.‖ With option --strict it failed.",
     "Am 6. Juni sperrte Fr. Brellin die Karte z. B. lt. S. 25.‖ Die Filiale in der Yorvanestr. 15 hat um 9.30 Uhr geöffnet.",
     "„Bitte stornieren!“, schrieb Fr. Okanvar an die Bank.‖ Danke.",
