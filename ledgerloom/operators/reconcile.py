@@ -152,9 +152,47 @@ def enriched(left: DataFrame, right: DataFrame, found: DataFrame, replace_mercha
     return x.select("id", "account", "date", "amount", merchant.alias("merchant"), F.col("right_id").alias("feed_id"), "match_type", "confidence", "differences")
 
 
+def _feed_keys(feed_accounts: DataFrame) -> DataFrame:
+    """(feed_account, kind, mask, feed_bank) of the feed accounts with a mask."""
+    kind = F.when(F.col("type") == "credit", "credit").when(F.lower("subtype") == "savings", "savings").otherwise("checking")
+    return feed_accounts.where("mask is not null").select(F.col("account_id").alias("feed_account"), kind.alias("kind"), "mask", _bank("institution_name").alias("feed_bank"))
+
+
+def _bank(c: str) -> Column:
+    """The beginning of an institution's name, which its spellings have in common."""
+    return F.substring(F.regexp_replace(F.lower(F.col(c)), "[^a-z]", ""), 1, 5)
+
+
+def accounts_of_mask(accounts: DataFrame, feed_accounts: DataFrame) -> DataFrame:
+    """(feed_account, account, same_bank): every ledger account of equal kind and mask."""
+    a = accounts.select(F.col("id").alias("account"), F.lower("account_type").alias("kind"), F.regexp_replace("account_number_masked", r"\*", "").alias("mask"), _bank("institution").alias("bank"))
+    same = F.coalesce((F.col("bank") == F.col("feed_bank")) & (F.col("bank") != ""), F.lit(False))
+    return _feed_keys(feed_accounts).join(a, ["kind", "mask"]).select("feed_account", "account", same.alias("same_bank"))
+
+
 def accounts_by_mask(accounts: DataFrame, feed_accounts: DataFrame) -> DataFrame:
     """(feed_account, account): equal kind and mask; of several ledger accounts the least id."""
-    kind = F.when(F.col("type") == "credit", "credit").when(F.lower("subtype") == "savings", "savings").otherwise("checking")
-    f = feed_accounts.where("mask is not null").select(F.col("account_id").alias("feed_account"), kind.alias("kind"), "mask")
-    a = accounts.select(F.col("id").alias("account"), F.lower("account_type").alias("kind"), F.regexp_replace("account_number_masked", r"\*", "").alias("mask"))
-    return f.join(a, ["kind", "mask"]).groupBy("feed_account").agg(F.min("account").alias("account"))
+    return accounts_of_mask(accounts, feed_accounts).groupBy("feed_account").agg(F.min("account").alias("account"))
+
+
+def linked_accounts(accounts: DataFrame, feed_accounts: DataFrame, ledger: DataFrame, feed: DataFrame, days: int = DAYS) -> DataFrame:
+    """(feed_account, account): of all ledger accounts of equal kind and mask the feed account's own.
+
+    One of the same institution comes first, then the one with which more of the feed account's payments
+    agree in amount, direction and days, then the least id. ledger: account, date, amount, direction.
+    feed: feed_account, date, amount, debits positive. Payments are looked at only where there is a choice,
+    and equal ones of a day once, so a key holds no more rows than days.
+    """
+    pairs = accounts_of_mask(accounts, feed_accounts)
+    several = pairs.withColumn("n", F.count("*").over(Window.partitionBy("feed_account", "same_bank"))).where("n > 1").select("feed_account", "account")
+    block, cents = 2 * days + 1, F.abs(F.col("amount") * 100).cast("bigint").alias("cents")
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    a = ledger.join(several.select("account").distinct(), "account", "left_semi").select("account", cents, F.lower(F.trim("direction")).startswith("c").alias("credit"), day.alias("day")).distinct()
+    b = feed.select("feed_account", cents, (F.col("amount") < 0).alias("credit"), day.alias("feed_day")).distinct().join(several, "feed_account")
+    a = a.withColumn("block", F.floor(F.col("day") / block))
+    b = b.withColumn("block", F.explode(F.sequence(F.floor((F.col("feed_day") - days) / block), F.floor((F.col("feed_day") + days) / block))))
+    near = a.join(b, ["account", "cents", "credit", "block"]).where(F.abs(F.col("day") - F.col("feed_day")) <= days)
+    agree = near.groupBy("feed_account", "account").agg(F.count_distinct("cents", "credit", "feed_day").alias("agree"))
+    ranked = pairs.join(agree, ["feed_account", "account"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)))
+    first = Window.partitionBy("feed_account").orderBy(F.desc("same_bank"), F.desc("agree"), "account")
+    return ranked.withColumn("n", F.row_number().over(first)).where("n = 1").select("feed_account", "account")

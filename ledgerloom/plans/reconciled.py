@@ -12,15 +12,17 @@ from ledgerloom.session import cut_lineage
 from ledgerloom.sources.tables import table
 
 
-def sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Ledger and feed rows of accounts that agree in kind and mask, amounts by size."""
-    pairs = reconcile.accounts_by_mask(table(spark, folder, "accounts"), table(spark, folder, "plaid_accounts"))
-    left = table(spark, folder, "ledger_transactions").withColumnRenamed("account_id", "account").join(pairs.select("account").distinct(), "account", "left_semi")
-    left = left.select("id", "account", "date", "posted_date", F.abs("amount").alias("amount"), "description", F.get_json_object("merchant", "$.name").alias("merchant"), "category", "confidence")
+def sides(spark: SparkSession, folder: str, by_mask: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ledger and feed rows of linked accounts, amounts by size; by_mask: as SIDES links them, by the least id of equal kind and mask."""
+    ledger = table(spark, folder, "ledger_transactions").withColumnRenamed("account_id", "account")
     feed = table(spark, folder, "plaid_transactions").where("not pending")
     last = feed.groupBy("transaction_id").agg(F.max_by(F.struct("account_id", "date", "authorized_date", "amount", "name", "merchant_name", "pfc_primary", "pfc_detailed"), "feed_seq").alias("x")).select(F.col("transaction_id").alias("id"), "x.*")
-    right = last.join(pairs, last["account_id"] == pairs["feed_account"]).drop("feed_account", "account_id")
-    return left, right
+    last = last.withColumnRenamed("account_id", "feed_account")
+    accounts, feed_accounts = table(spark, folder, "accounts"), table(spark, folder, "plaid_accounts")
+    pairs = reconcile.accounts_by_mask(accounts, feed_accounts) if by_mask else cut_lineage(reconcile.linked_accounts(accounts, feed_accounts, ledger, last))
+    left = ledger.join(pairs.select("account").distinct(), "account", "left_semi")
+    left = left.select("id", "account", "date", "posted_date", F.abs("amount").alias("amount"), "description", F.get_json_object("merchant", "$.name").alias("merchant"), "category", "confidence")
+    return left, last.join(pairs, "feed_account").drop("feed_account")
 
 
 SIDES = """pairs AS (SELECT f.account_id AS feed_account, min(a.id) AS account FROM plaid_accounts f JOIN accounts a ON lower(a.account_type) = CASE WHEN f.type = 'credit' THEN 'credit' WHEN lower(f.subtype) = 'savings' THEN 'savings' ELSE 'checking' END
@@ -32,7 +34,7 @@ r AS (SELECT p.transaction_id AS id, pairs.account, p.date, CAST(abs(p.amount) A
 @query(f"""WITH {SIDES} SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r ON r.account = l.account
 WHERE abs(date_diff('day', l.date, r.date)) <= 3 OR l.amount = r.amount OR (l.amount <> 0 AND r.amount <> 0 AND abs(l.amount - r.amount) / ((abs(l.amount) + abs(r.amount)) / 2) <= 0.01::DOUBLE)""")
 def reconcile_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return reconcile.candidates(*sides(spark, folder))
+    return reconcile.candidates(*sides(spark, folder, by_mask=True))
 
 
 def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:

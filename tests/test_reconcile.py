@@ -115,3 +115,37 @@ def test_merge_and_enrich(spark):
     assert rows["1"].category == "Travel" and rows["1"].confidence == 0.7 and rows["1"].origin == "both" and rows["2"].category == "Dining" and rows["plaid_y"].origin == "feed"
     e = {r.id: r for r in rc.enriched(a, b, found, replace_merchant=True).collect()}
     assert e["1"].feed_id == "x" and e["2"].feed_id is None and e["2"].merchant == "Starbucks"
+
+
+def test_own_account_among_equal_masks(spark):
+    """Least ids belong to strangers: another bank's account (f, g), another user's of the same bank (h)."""
+    accounts = spark.createDataFrame(
+        [("a1", "Harbor Bank", "checking", "****1234"), ("a2", "Meadow Credit Union", "CHECKING", "****1234"), ("a3", "Meadow Credit Union", "checking", "****7777"), ("a4", "Meadow Credit Union", "checking", "****7777"), ("a5", "Other", "savings", "****1234")],
+        "id string, institution string, account_type string, account_number_masked string",
+    )
+    feed_accounts = spark.createDataFrame(
+        [("f", "MEADOW C.U.", "depository", "checking", "1234"), ("g", "Harbor", "depository", "checking", "1234"), ("h", "Meadow Credit Union", "depository", "checking", "7777"), ("i", "Elsewhere", "depository", "savings", "1234"), ("j", "Meadow", "depository", "checking", None)],
+        "account_id string, institution_name string, type string, subtype string, mask string",
+    )
+    ledger = spark.createDataFrame([("a3", D0, Decimal("-5.25"), "debit"), ("a4", D0, Decimal("-9.75"), " Debit"), ("a4", D0 + timedelta(40), Decimal("8.10"), "credit")], "account string, date date, amount decimal(14,2), direction string")
+    feed = spark.createDataFrame([("h", D0 + timedelta(2), Decimal("9.75")), ("h", D0 + timedelta(41), Decimal("-8.10")), ("h", D0, Decimal("5.25"))], "feed_account string, date date, amount decimal(14,2)")
+    got = {r.feed_account: r.account for r in rc.linked_accounts(accounts, feed_accounts, ledger, feed).collect()}
+    assert got == {"f": "a2", "g": "a1", "h": "a4", "i": "a5"}
+    assert {tuple(r) for r in rc.accounts_of_mask(accounts, feed_accounts).where("feed_account = 'f'").collect()} == {("f", "a1", False), ("f", "a2", True)}
+
+
+def test_registered_matches_use_the_own_account(spark, tmp_path):
+    account = "id string, institution string, account_type string, account_number_masked string"
+    feed_account = "account_id string, institution_name string, type string, subtype string, mask string"
+    lines = "id string, account_id string, date date, posted_date date, amount decimal(14,2), direction string, description string, merchant string, category string, confidence double"
+    rows = "feed_seq bigint, transaction_id string, account_id string, date date, authorized_date date, amount decimal(14,2), name string, merchant_name string, pfc_primary string, pfc_detailed string, pending boolean"
+    for name, data, schema in (
+        ("accounts", [("a1", "Harbor Bank", "checking", "****1234"), ("a2", "Meadow Bank", "checking", "****1234")], account),
+        ("plaid_accounts", [("f", "Meadow Bank", "depository", "checking", "1234")], feed_account),
+        ("ledger_transactions", [("l", "a2", D0, None, Decimal("-5.25"), "debit", "BLUE CAFE", None, None, None)], lines),
+        ("plaid_transactions", [(1, "x", "f", D0, None, Decimal("5.25"), "Blue Cafe", None, None, None, False)], rows),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    from ledgerloom.plans.reconciled import reconcile_matches
+
+    assert [(r.left_id, r.right_id) for r in reconcile_matches(spark, str(tmp_path)).collect()] == [("l", "x")]
