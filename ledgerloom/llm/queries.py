@@ -45,8 +45,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     """The surviving record of each group of copies."""
-    best = p5_found(spark, folder)
-    return survivor.survivors(table(spark, folder, "ledger_transactions"), "id", best, SURVIVING)
+    lines = _lines(spark, folder, survivor.carried(survivor.ledger_fields()))
+    best = survivor.best_fields(lines, SURVIVING)
+    return survivor.survivors(table(spark, folder, "ledger_transactions"), "id", best, SURVIVING, lines)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,9 +71,16 @@ def best_fields(members: DataFrame, fields: list[str], trust: Column | None = No
     return best.agg(F.max_by("id", F.struct("rank", "votes")).alias("source_id")).select("group_id", "field_name", "source_id")
 
 
-def survivors(df: DataFrame, id_: str, best: DataFrame, fields: list[str]) -> DataFrame:
-    """(group_id, each field): the surviving record of each group; null where no copy holds a value."""
+def survivors(df: DataFrame, id_: str, best: DataFrame, fields: list[str], members: DataFrame | None = None) -> DataFrame:
+    """(group_id, each field): the surviving record of each group; null where no copy holds a value.
+
+    members (id, class) names all groups, of two rows or more; without it those of `best` count.
+    """
     values = df.select(F.col(id_).alias("source_id"), *fields)
     value = F.coalesce(*[F.when(F.col("field_name") == f, F.col(f).cast("string")) for f in fields])
     picked = best.join(values, "source_id").select("group_id", "field_name", value.alias("value"))
-    return picked.groupBy("group_id").pivot("field_name", fields).agg(F.first("value"))
+    out = picked.groupBy("group_id").pivot("field_name", fields).agg(F.first("value"))
+    if members is None:
+        return out
+    groups = members.groupBy("class").agg(F.min("id").alias("group_id"), F.count("*").alias("copies")).where("copies > 1")
+    return groups.select("group_id").join(out, "group_id", "left")

@@ -129,3 +129,20 @@ def test_votes_decide_equal_ranks(spark):
     """Two rows of equal rank: the value for which more copies vote."""
     rows = [line("1", "x", category="B", confidence=0.5), line("2", "x", category="A", confidence=0.5), line("3", "x", category="A", confidence=0.4)]
     assert best(spark, rows)["1", "category"] == "2"
+
+
+def test_group_without_values_keeps_its_record(spark):
+    """A group in which no copy holds a value gives a record of nulls; a line without copies gives none."""
+    rows = [line("2", "x", category=" "), line("1", "x"), line("4", "y", category="A"), line("3", "y"), line("9", "alone", category="A")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    members = dup.classed(df, "id", dup.ledger_cell(), "description", survivor.carried(survivor.ledger_fields()))
+    fields = ["merchant", "category", "raw"]
+    found = survivor.best_fields(members, fields)
+    assert sorted(map(tuple, survivor.survivors(df, "id", found, fields, members).collect()), key=str) == [("1", None, None, None), ("3", None, "A", None)]
+
+
+def test_registered_survivors_hold_every_group(spark, tmp_path):
+    from ledgerloom.llm.queries import p5_survivors
+
+    spark.createDataFrame([line("2", "x"), line("1", "x")], SCHEMA).write.parquet(f"{tmp_path}/ledger_transactions.parquet")
+    assert [tuple(r) for r in p5_survivors(spark, str(tmp_path)).collect()] == [("1", None, None, None)]
