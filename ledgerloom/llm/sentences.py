@@ -57,8 +57,8 @@ _LINE = regex.compile(r"[^\r\n]*(?>\r\n|\n|\r|$)")
 _BULLET, _NUMBERED = regex.compile(r"\s*[-*•‣◦▪·]\s+\S"), regex.compile(r"\s*(?:\d{1,3}[.)]|[a-zA-Z]\))\s+\S")
 _CANDIDATE = regex.compile(rf"[{SENTENCE_MARKS}]+")
 _SPACE_TRIM = "\ufeff\u200b"
-#: Candidates that one sentence may hold inside; longer spans never win.
-MAX_SPAN = 48
+#: Scores of a span: lost for each quote or bracket left open or stray, for each character beyond LONG, and for next to nothing.
+UNBALANCED, BY_LENGTH, LONG, TINY = 7.0, 0.002, 250, 1.5
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -303,10 +303,18 @@ class _Block:
         if n == 2:
             return [(self.lo, self.hi)]
         best, back = [0.0] + [float("-inf")] * (n - 1), [0] * n
+        # Exact stops. Where a span from i passes j, one from j to the same end scores as much but for what is
+        # unbalanced before j, the length, and best[j] for best[i]; closers still to come may balance some.
+        passed = [float("-inf")] * n
+        closers = [0] * n
+        for j in range(n - 2, -1, -1):
+            closers[j] = closers[j + 1] + sum(e[0] == "-" for e in self.events[j])
         for i in range(n - 1):
+            if passed[i] >= best[i]:
+                continue  # an earlier start, with nothing unbalanced between, is as good for every end
             stack: list[str] = []
             stray = 0
-            for j in range(i + 1, min(n, i + 1 + MAX_SPAN) if n > MAX_SPAN else n):
+            for j in range(i + 1, n):
                 for e in self.events[j - 1]:
                     kind = e[1]
                     if e[0] == "+":
@@ -315,11 +323,15 @@ class _Block:
                         stack.pop()
                     elif kind not in "([（【":
                         stray += 1
-                score = best[i] + self.score[j] - 7.0 * (len(stack) + stray)
+                score = best[i] + self.score[j] - UNBALANCED * (len(stack) + stray)
                 length = self.ends[j] - self.ends[i]
-                score -= 0.002 * max(0, length - 250) + (1.5 if length < 3 else 0.0)
+                score -= BY_LENGTH * max(0, length - LONG) + (TINY if length < 3 else 0.0)
                 if score > best[j]:
                     best[j], back[j] = score, i
+                if not stack and not stray:
+                    passed[j] = max(passed[j], best[i] - BY_LENGTH * length)
+                if best[j] - TINY > best[i] - UNBALANCED * (len(stack) + stray - 2 * min(len(stack), closers[j])):
+                    break  # a start at j is better for every later end
         out, j = [], n - 1
         while j > 0:
             out.append((self.ends[back[j]], self.ends[j]))

@@ -69,6 +69,14 @@ def test_long_text_without_and_with_marks():
     assert len(sentences("An “open quote. " + "One ends here. " * 500)) > 450
 
 
+def test_sentence_of_many_marks_is_whole():
+    many = "They lost cards " + ", ".join(f"No. {i}" for i in range(1, 121)) + " in May."
+    text = many + " We know."
+    assert [text[a:b] for a, b in sentences(text)] == [many, "We know."]
+    assert len(sentences(", ".join(f"No. {i}" for i in range(20_000)))) == 1
+    assert len(sentences("An “open. " * 20_000)) > 1
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "Ab cd. Ef!", 1), (2, None, 2), (3, "", 3), (1, "Ab cd. Ef!", 4), (4, "😀 ok. Fine.", 5)], "doc_id bigint, text string, start_char int")
     got = sorted(tuple(r) for r in sentence_spans(df, "doc_id", "text").collect())
