@@ -9,6 +9,8 @@ by the words that attribute a quotation, loses against the longer span.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import regex
 
 # Fixed values. Abbreviations that stand before a name or the rest of a phrase and never end a sentence.
@@ -59,6 +61,8 @@ _CANDIDATE = regex.compile(rf"[{SENTENCE_MARKS}]+")
 _SPACE_TRIM = "\ufeff\u200b"
 #: Scores of a span: lost for each quote or bracket left open or stray, for each character beyond LONG, and for next to nothing.
 UNBALANCED, BY_LENGTH, LONG, TINY = 7.0, 0.002, 250, 1.5
+#: Lost for a boundary inside a quotation that closes: more than it can earn, 7 by its words and BY_LENGTH * LONG by length.
+INSIDE = 8.0
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -206,6 +210,10 @@ def _opening(text: str, end: int, nxt: int, hi: int, quoted: bool) -> float:
     return 0.5
 
 
+def _closes(kind: str, opened: str) -> bool:
+    return opened == kind or kind == "“" and opened == "„" or kind == "„" and opened == "“"
+
+
 class _Block:
     """Candidates of a block and their scores."""
 
@@ -217,6 +225,8 @@ class _Block:
         self.ends.append(hi)
         self.score.append(0.0)
         self.events = [self._quotes(a, b) for a, b in zip(self.ends, self.ends[1:])]
+        for j in self._inside():
+            self.score[j] -= INSIDE
 
     def _find(self) -> None:
         text, lo, hi = self.text, self.lo, self.hi
@@ -298,6 +308,21 @@ class _Block:
                 out.append("+" + c)
         return out
 
+    def _inside(self) -> list[int]:
+        """Candidates inside a quotation that closes in this block, each once."""
+        stack: list[tuple[str, int]] = []
+        change = [0] * (len(self.ends) + 1)
+        for j, events in enumerate(self.events, 1):
+            for e in events:
+                if e[0] == "+":
+                    stack.append((e[1], j))
+                elif stack and _closes(e[1], stack[-1][0]):
+                    kind, opened = stack.pop()
+                    if kind in QUOTES:
+                        change[opened] += 1
+                        change[j] -= 1
+        return [j for j, depth in enumerate(accumulate(change)) if depth]
+
     def spans(self) -> list[tuple[int, int]]:
         n = len(self.ends)
         if n == 2:
@@ -319,7 +344,7 @@ class _Block:
                     kind = e[1]
                     if e[0] == "+":
                         stack.append(kind)
-                    elif stack and (stack[-1] == kind or kind == "“" and stack[-1] == "„" or kind == "„" and stack[-1] == "“"):
+                    elif stack and _closes(kind, stack[-1]):
                         stack.pop()
                     elif kind not in "([（【":
                         stray += 1

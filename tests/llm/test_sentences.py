@@ -77,6 +77,13 @@ def test_sentence_of_many_marks_is_whole():
     assert len(sentences("An “open. " * 20_000)) > 1
 
 
+@pytest.mark.parametrize("quoted", ["One came. " * 4 + "Two left.", "No way! " * 3 + "Never!", "One came. " * 300 + "Two left."])
+def test_quotation_of_many_sentences_is_whole(quoted):
+    for a, b in ("“”", '""', "«»", "„“"):
+        text = f"Bram wrote: {a}{quoted}{b} We did. Yes."
+        assert [text[x:y] for x, y in sentences(text)] == [text[: -len(" We did. Yes.")], "We did.", "Yes."]
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "Ab cd. Ef!", 1), (2, None, 2), (3, "", 3), (1, "Ab cd. Ef!", 4), (4, "😀 ok. Fine.", 5)], "doc_id bigint, text string, start_char int")
     got = sorted(tuple(r) for r in sentence_spans(df, "doc_id", "text").collect())
