@@ -191,6 +191,19 @@ def _name(path: Column) -> Column:
     return F.lower(F.regexp_replace(F.element_at(F.split(path, r"\."), -1), r"[^A-Za-z0-9]", ""))
 
 
+def _one_for_one(cand: DataFrame) -> DataFrame:
+    """Candidates that are the best of both their fields, then the best of what is left, until nothing is."""
+    by_new, by_old = Window.partitionBy("id", "x.path"), Window.partitionBy("id", "y.path")
+    best = (F.col("rank") == F.min("rank").over(by_new)) & (F.col("rank") == F.min("rank").over(by_old))
+    while True:
+        cand = cand.withColumn("hit", best)
+        gone = F.max("hit").over(by_new) | F.max("hit").over(by_old)
+        cand = cut_lineage(cand.withColumn("gone", gone).where(F.col("hit") | ~F.col("gone")).drop("gone"))
+        # A pair that was taken stands alone from then on; the rest are still to be decided.
+        if cand.where(~F.col("hit")).isEmpty():
+            return cand.drop("hit")
+
+
 def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> DataFrame:
     """(id, field_path, change_kind) of each document against the one before it in its group.
 
@@ -217,9 +230,7 @@ def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> Data
     cand = cand.where(~F.col("x.blank") | (_name(a) == _name(b)))
     near = F.levenshtein(_name(a), _name(b)) / F.greatest(F.length(_name(a)), F.length(_name(b)), F.lit(1)) + F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) / 10
     cand = cand.select("id", "x", "y", F.struct(near.alias("far"), a.alias("a"), b.alias("b")).alias("rank"))
-    by_new, by_old = Window.partitionBy("id", "x.path"), Window.partitionBy("id", "y.path")
-    cand = cand.withColumn("for_new", F.min("rank").over(by_new)).withColumn("for_old", F.min("rank").over(by_old))
-    pairs = cand.where((F.col("rank") == F.col("for_new")) & (F.col("rank") == F.col("for_old")))
+    pairs = _one_for_one(cand)
     types_too = F.array_compact(F.array(F.lit("renamed"), F.when(said(F.col("x"), F.col("y")), F.lit("retyped"))))
     renamed = pairs.groupBy("id").agg(F.collect_list(F.struct(a.alias("new"), b.alias("old"), types_too.alias("kinds"))).alias("renamed"))  # at most a document's fields
 

@@ -51,6 +51,13 @@ def test_nearest_name_wins_among_equal_values(spark):
     assert got == [("r1", "end_balance", "renamed"), ("r1", "start_balance", "renamed")]
 
 
+def test_renames_leave_no_pair_of_equal_values_over(spark):
+    """(ab, abx) is best, and both other fields are nearer to it than to each other."""
+    assert diff(spark, {"ab": 5, "abpqrs": 5}, {"abx": 5, "abuvwxyz": 5}) == [("r1", "abuvwxyz", "renamed"), ("r1", "abx", "renamed")]
+    got = diff(spark, {f"f{i}": 0 for i in range(6)}, {f"g{'h' * i}": 0 for i in range(5)})
+    assert [k for *_, k in got].count("renamed") == 5 and [k for *_, k in got].count("removed") == 1
+
+
 def test_broken_null_and_scalar_documents_are_left_out(spark):
     assert diff(spark, {"a": 1}, '{"a": ', None, "5", {"b": 2}) == [("r4", "a", "removed"), ("r4", "b", "added")]
     assert diff(spark) == []
