@@ -5,7 +5,7 @@ from decimal import Decimal
 import numpy as np
 import pytest
 from ledgerloom.llm.label_model import fit
-from ledgerloom.llm.linkage import link
+from ledgerloom.llm.linkage import Rules, candidates, common_words, features, feed_payments, kinds, ledger_rows, link, own_lines
 
 LEDGER = "id string, account_id string, date date, amount decimal(14,2), direction string, description string, class string, cents string"
 ACCOUNTS = "id string, institution string, account_type string, account_number_masked string"
@@ -73,6 +73,60 @@ def test_empty_tables_and_nulls(spark, planted):
     assert not any(a.startswith("n") or b == "n" for a, b in got) and len(got) > 200
 
 
+@pytest.mark.parametrize("masked", [True, False])
+def test_accounts_that_pay_whole_amounts_only(spark, planted, masked):
+    ledger, accounts, feed, feed_accounts, truth = planted
+    whole = lambda x: Decimal(round(x))
+    ledger = [(*r[:3], whole(r[3]), *r[4:]) for r in ledger]
+    feed = [(*r[:3], whole(r[3]), *r[4:]) for r in feed]
+    if not masked:
+        feed_accounts = [(*r[:4], None) for r in feed_accounts]
+    got = {(r.ledger_id, r.plaid_transaction_id) for r in run(spark, ledger, accounts, feed, feed_accounts)}
+    assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
+
+
+def fares(n):
+    """n equal fares of one account within three days, in both tables, beside a year of other payments."""
+    day = lambda i: date(2024, 3, 1) + timedelta(i % 3)
+    ledger = [(f"f{i:05}", "A", day(i), Decimal("-2.75"), "debit", f"CHECKCARD {1000 + i} CITY TRAM", "c", "d") for i in range(n)]
+    feed = [(i, f"t{i:05}", "FA", Decimal("2.75"), day(i), None, "City Tram", "City Tram", False, None, None, None, "x") for i in range(n)]
+    return ledger, feed
+
+
+def test_equal_fares_grow_linearly_and_each_is_taken_once(spark, planted):
+    _, accounts, _, feed_accounts, _ = planted
+    seen = {}
+    for n in (300, 600):
+        ledger, feed = fares(n)
+        t = [spark.createDataFrame(r, s) for r, s in ((ledger, LEDGER), (feed, FEED), (accounts, ACCOUNTS))]
+        payments, _ = feed_payments(t[1])
+        a, b = features(own_lines(ledger_rows(t[0]), t[0], t[2].selectExpr("id as account_id")), payments.replace("FA", "A", "account_id"))
+        assert a.count() == b.count() == n
+        seen[n] = candidates(kinds(a, "l_key", "class"), kinds(b, "p_key", "payment")).count()
+    assert seen[300] == seen[600] <= 9  # three days on either side
+    ledger, feed = fares(300)
+    rows = run(spark, ledger, accounts, feed[:290], feed_accounts)
+    assert len(rows) == len({r.ledger_id for r in rows}) == len({r.plaid_transaction_id for r in rows}) == 290
+
+
+def test_windows_are_parameters(spark, planted):
+    ledger, accounts, feed, feed_accounts, truth = planted
+    late = [(*r[:2], r[2] + timedelta(20), *r[3:]) for r in ledger]
+    tables = [spark.createDataFrame(rows, s) for rows, s in ((late, LEDGER), (accounts, ACCOUNTS), (feed, FEED), (feed_accounts, FEED_ACCOUNTS))]
+    got = {(r.ledger_id, r.plaid_transaction_id) for r in link(*tables, Rules(days_behind=25)).collect()}
+    assert len(got & truth) / len(truth) > 0.9
+    assert len(link(*tables).collect()) < len(got) / 2
+
+
+def test_common_words_are_learned(spark):
+    names = [f"{a} {b}" for a in ("Amber", "Blue", "Copper", "Dusky", "Ember", "Gilded") for b in ("Otter", "Falcon", "Heron")]
+    feed = [(i, f"t{i}", "FA", Decimal(1), date(2024, 1, 1), None, "x", f"{n} {k}", False, None, None, None, "x") for i, (n, k) in enumerate((n, k) for n in names for k in ("Books", "Grill"))]
+    ledger = [(f"l{i}", "A", date(2024, 1, 1), Decimal(1), "debit", f"KAARTBETALING {r[7]} UTRECHT", "c", "d") for i, r in enumerate(feed)]
+    payments, _ = feed_payments(spark.createDataFrame(feed, FEED))
+    assert common_words(spark.createDataFrame(ledger, LEDGER), payments) == ["books", "grill", "kaartbetaling", "utrecht"]
+    assert common_words(spark.createDataFrame([], LEDGER), payments) == []
+
+
 def test_label_model_learns_accuracies_and_correlations():
     rnd = np.random.default_rng(3)
     n = 40_000
