@@ -13,30 +13,8 @@ from itertools import accumulate
 
 import regex
 
-# Fixed values. Abbreviations that stand before a name or the rest of a phrase and never end a sentence.
-NEVER_LAST = frozenset("""
-mr mrs ms messrs dr drs prof st mt lt sgt capt col gen gov sen rep rev hon fr hr sr sra srta dra dña mme mlle mgr
-e.g i.e eg ie cf vs viz approx ca bzw vgl ggf evtl inkl exkl zzgl lt sog aprox pág págs núm núms fig figs stmt acct conf amt max min resp incl excl
-ext para tel estd ref dept no nos nr núm art abs sec ch vol pp p ex av bd ee al env lit
-г-н г-жа см стр ул тыс млн млрд напр рис гл пер просп корп
-रु सं पृ डॉ श्री प्रो
-ص د أ
-""".split())
-# Fixed values. Before a number these abbreviate; before anything else they may be words.
-BEFORE_NUMBER = frozenset("""
-no nos nr p pp s abs art sec ch fig vol ext para pág núm стр п д г гл jan feb mar apr jun jul aug sep sept oct nov dec ene abr ago set out dez
-janv févr avr juil déc
-""".split())
-# Fixed values. Abbreviations that may also be a sentence's last word.
-MAYBE_LAST = frozenset("""
-etc usw u.s u.k u.s.a a.m p.m a.p.r a.p.y inc ltd co corp llc plc bros ave blvd rd sq jr gmbh ag uu ee.uu p.s b.c a.d
-jan feb mar apr jun jul aug sep sept oct nov dec mio mrd std руб коп г гг др т.д т.п м.д
-""".split())
-# Fixed values. Months after a day's ordinal point.
-MONTHS = frozenset("""
-januar jänner februar märz april mai juni juli august september oktober november dezember
-""".split())
-ORDINAL_BEFORE = frozenset("am zum vom der den dem das im beim bis ab seit die".split())
+from ledgerloom.llm.abbreviations import BEFORE_NUMBER, MAYBE_LAST, MONTHS, NEVER_LAST, ORDINAL_BEFORE
+
 # Fixed values. Verbs that attribute a quotation, by their beginnings.
 SAYING = regex.compile(
     r"\b(?:ask|wrote|writ|said|say|told|tell|repl|answer|shout|call(?:ed|s)|add(?:ed|s)|not(?:ed|es)\b|warn|explain|insist|claim|exclaim|whisper|demand"
@@ -59,6 +37,12 @@ _LINE = regex.compile(r"[^\r\n]*(?>\r\n|\n|\r|$)")
 _BULLET, _NUMBERED = regex.compile(r"\s*[-*•‣◦▪·]\s+\S"), regex.compile(r"\s*(?:\d{1,3}[.)]|[a-zA-Z]\))\s+\S")
 _CANDIDATE = regex.compile(rf"[{SENTENCE_MARKS}]+")
 _SPACE_TRIM = "\ufeff\u200b"
+_HALF_DAY = regex.compile(r"\b[ap]\.\s+$")
+_POINTED, _LETTER = regex.compile(r"(?:\p{L}\.)+\p{L}"), regex.compile(r"\p{L}\p{M}*")
+_LETTERS, _WORD = regex.compile(r"\p{L}+"), regex.compile(r"[\p{L}']+")
+_QUOTE_OR_BRACKET = regex.compile("[" + "".join(regex.escape(c) for c in sorted(QUOTES | set(OPEN_OF) | OPENERS)) + "]")
+#: The clause after a quotation ends at the next quotation, pause or end of a sentence, however far.
+_CLAUSE_END = regex.compile(rf"[\"“”„«»「」『』,;:，、；：،؛]|(?<![\p{{Lu}}\s]\p{{L}}?|\b\p{{Lu}}\p{{L}}{{0,2}})[{SENTENCE_MARKS}](?=\s|$)|[。！？।]")
 #: Scores of a span: lost for each quote or bracket left open or stray, for each character beyond LONG, and for next to nothing.
 UNBALANCED, BY_LENGTH, LONG, TINY = 7.0, 0.002, 250, 1.5
 #: Lost for a boundary inside a quotation that closes: more than it can earn, 7 by its words and BY_LENGTH * LONG by length.
@@ -142,7 +126,7 @@ def _closing(text: str, lo: int, a: int, b: int, end: int, nxt: int, hi: int) ->
         return 0.0 if not first or first.isupper() or first in "¿¡«“\"" else -4.0
     word = _word_before(text, lo, a)
     bare = word.rstrip("’'").lower()
-    tail = bare.rsplit("-", 1)[-1].rsplit("–", 1)[-1]
+    tail = bare.rsplit("-", 1)[-1].rsplit("–", 1)[-1].rsplit("'", 1)[-1].rsplit("’", 1)[-1]
     number = first.isdigit() or first in "#№$€£¥₹"
     if not bare:
         return 3.0
@@ -150,15 +134,15 @@ def _closing(text: str, lo: int, a: int, b: int, end: int, nxt: int, hi: int) ->
         return -10.0  # Thai writes points in abbreviations only
     if tail in BEFORE_NUMBER and number:
         return -10.0
-    if bare == "m" and lo < a - 3 and regex.search(r"\b[ap]\.\s+$", text[max(lo, a - 9) : a - 1]) or tail in MAYBE_LAST or regex.fullmatch(r"(?:\p{L}\.)+\p{L}", bare) and tail not in NEVER_LAST:
+    if bare == "m" and lo < a - 3 and _HALF_DAY.search(text[max(lo, a - 9) : a - 1]) or tail in MAYBE_LAST or "." in bare and _POINTED.fullmatch(bare) and tail not in NEVER_LAST:
         if bare in ("e.g", "i.e", "z.b", "u.a", "d.h", "т.е", "p.ex"):
             return -10.0
         return 0.5
-    if regex.fullmatch(r"\p{L}\p{M}*", bare):
+    if len(bare) < 4 and _LETTER.fullmatch(bare):
         # A single letter: an initial, or a part of an abbreviation in several words.
         before = _word_before(text, lo, _back(text, lo, a - len(word)))
-        if bare in ("д", "п") and before.lower() == "т." or bare == "г" and before[-1:].isdigit():
-            return 0.5
+        if bare in ("д", "п") and before.lower() == "т." or word.islower() and before[-1:].isdigit():
+            return 0.5  # a unit after its number may be the last word
         return -8.0
     if tail == "ms" and word.islower():
         return 4.0  # milliseconds
@@ -171,7 +155,7 @@ def _closing(text: str, lo: int, a: int, b: int, end: int, nxt: int, hi: int) ->
     if "ऀ" <= bare[-1] <= "ॿ" and len(bare) <= 3:
         return -10.0
     if bare.isdigit() and len(bare) <= 2:
-        following = regex.match(r"\p{L}+", text[nxt : nxt + 20])
+        following = _LETTERS.match(text, nxt, hi)
         before = _word_before(text, lo, _back(text, lo, a - len(word))).lower()
         if following and following[0].lower() in MONTHS or before in ORDINAL_BEFORE and first.isalpha() and before != "die":
             return -10.0
@@ -197,7 +181,7 @@ def _opening(text: str, end: int, nxt: int, hi: int, quoted: bool) -> float:
     if first.isdigit():
         return 0.5 if gap else -9.0
     if first.islower():
-        word = regex.match(r"[\p{L}']+", text[nxt : nxt + 24])[0].lower()
+        word = _WORD.match(text, nxt, hi)[0].lower()
         if quoted or not gap:
             return -9.0
         if word in CHAT_OPENERS or word == "and" and text.startswith("and now", nxt):
@@ -219,6 +203,7 @@ class _Block:
 
     def __init__(self, text: str, lo: int, hi: int):
         self.text, self.lo, self.hi = text, lo, hi
+        self.low = text.find("„", lo, hi) >= 0
         self.ends: list[int] = [lo]
         self.score: list[float] = [0.0]
         self._find()
@@ -278,10 +263,10 @@ class _Block:
 
     def _low_quote_open(self, i: int) -> bool:
         """Whether “ closes a quotation that began with „."""
-        return self.text.rfind("„", self.lo, i) > max(self.text.rfind("“", self.lo, i), self.text.rfind("”", self.lo, i))
+        return self.low and self.text.rfind("„", self.lo, i) > max(self.text.rfind("“", self.lo, i), self.text.rfind("”", self.lo, i))
 
     def _rate(self, a: int, b: int, end: int, nxt: int) -> float:
-        quoted = any(c in CLOSERS and c != "'" for c in self.text[b:end])
+        quoted = b < end and any(c in CLOSERS and c != "'" for c in self.text[b:end])
         close = _closing(self.text, self.lo, a, b, end, nxt, self.hi)
         if quoted and close < 0 and "…" in self.text[a:b]:
             close = 1.0
@@ -293,11 +278,9 @@ class _Block:
 
     def _quotes(self, a: int, b: int) -> list[str]:
         """Quotes and brackets between two candidates as +x and -x, turned to their kinds."""
-        out, text = [], self.text
-        for i in range(a, b):
-            c = text[i]
-            if c not in QUOTES and c not in OPEN_OF and c not in OPENERS:
-                continue
+        out = []
+        for m in _QUOTE_OR_BRACKET.finditer(self.text, a, b):
+            i, c = m.start(), m[0]
             if c == '"':
                 out.append('+"' if self._opens(i) else '-"')
             elif c == "“":
@@ -333,7 +316,7 @@ class _Block:
         passed = [float("-inf")] * n
         closers = [0] * n
         for j in range(n - 2, -1, -1):
-            closers[j] = closers[j + 1] + sum(e[0] == "-" for e in self.events[j])
+            closers[j] = closers[j + 1] + (sum(e[0] == "-" for e in self.events[j]) if self.events[j] else 0)
         for i in range(n - 1):
             if passed[i] >= best[i]:
                 continue  # an earlier start, with nothing unbalanced between, is as good for every end
@@ -379,10 +362,8 @@ class _Block:
     def _attributed(self, end: int) -> bool:
         """Whether the words after a quotation say whose it is."""
         a = _next_char(self.text, end, self.hi)
-        words = self.text[a : a + 120]
-        cut = regex.search(rf"[\"“”„«»「」『』]|(?<![\p{{Lu}}\s]\p{{L}}?|\b\p{{Lu}}\p{{L}}{{0,2}})[{SENTENCE_MARKS}](?=\s|$)|[。！？।]", words)
-        words = words[: cut.start()] if cut else words
-        return bool(SAYING.search(words[:14] if _wide(words[:1]) else " ".join(words.split()[:7])))
+        cut = _CLAUSE_END.search(self.text, a, self.hi)
+        return SAYING.search(self.text, a, cut.start() if cut else self.hi) is not None
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,9 @@ def sentence_spans(df: DataFrame, id_: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _chunks(batches):
-            rows = [(i, a, b) for i, x in zip(part["id"], part["text"]) for a, b in sentences(x)]
-            yield pd.DataFrame(rows, columns=["id", "start_char", "end_char"])
+            spans = [sentences(x) for x in part["text"]]
+            flat = np.array([v for x in spans for v in x], dtype="int32").reshape(-1, 2)
+            yield pd.DataFrame({"id": part["id"].repeat([len(x) for x in spans]).to_numpy(), "start_char": flat[:, 0], "end_char": flat[:, 1]})
 
     kind = df.schema[id_].dataType.simpleString()
     out = df.select(F.col(id_).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, start_char int, end_char int")

@@ -38,6 +38,18 @@ CASES = [
     "* one‖\n* two. And more‖\n\nEnd.",
     "so they closed it at like 3 a.m.‖ got charged twice lol 😂!‖ hmm... not sure.‖ ok thanks",
     "No final mark here",
+    # Held out: vocabulary of other domains than the test tables'.
+    "“Is it late?” the very old and rather tired keeper of the lighthouse on the northernmost of the three small islands beyond the grey harbour wall of the fishing village asked.‖ The gulls were silent.",
+    "“Land ahead!”‖ The crew ran to the rail.‖ Later the captain said nothing.",
+    "Prof. Lindqvist found 3.2 mg of copper in sample No. 14.‖ Was it an error?‖ The lab in Apt. 5 on Elm St. says no.",
+    "The orchestra (est. 1902) played Op. 5 and an encore.‖ Tickets, incl. fees, cost €12.50.‖ Nobody complained!",
+    "Il Sig. Bianchi abita a Torino.‖ L'Ing. Greco arriva alle 9.‖ Perché?",
+    "Zakład Młyn Sp. z o.o. działa od 1999 r. bez przerwy.‖ Dyrektor mieszka przy ul. Lipowej 3.",
+    "„Komm sofort!“, rief der Bäcker von der anderen Seite des Marktplatzes.‖ Am 3. März regnete es.",
+    "The rocket rose at 6 a.m. over Cape Verde.‖ \"Beautiful. Simply beautiful. I could cry. Truly,\" whispered the engineer.‖ Then it was gone.",
+    "Le train arrive à 8 h.‖ « Où est Mme Leroux ? » demanda le contrôleur.‖ Personne ne répondit.",
+    "La reina habló.‖ «Nunca. Jamás. Ni hoy ni mañana.», dijo.‖ Después calló.",
+    "桜が咲いた。‖「きれいだ。本当に。もう一度見たい。」と祖母は言った。‖春だった。",
     "﻿ Leading mark.‖ Next.",
 ]
 
