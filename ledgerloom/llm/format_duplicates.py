@@ -17,9 +17,11 @@ from ledgerloom.session import cut_lineage
 FIELD_LABELS = ("CO ID", "DES", "INDN", "ID")
 BLANK = r"[\s\p{Z}]"
 NOT_TEXT = r"[^\p{L}\p{M}\p{N}]+"
-#: A class with more copies than this is salted.
-HOT_COPIES = 5_000
+#: A class is hot if it has more copies than this and more than a MOST_HOT-th of all rows, so there are at most MOST_HOT hot classes.
+HOT_COPIES, MOST_HOT = 5_000, 10_000
 SALTS = 32
+#: Copies of a small table that a large one with perhaps hot keys is joined to.
+SPREAD = 8
 
 
 def text_key(text: Column) -> Column:
@@ -55,45 +57,82 @@ def classed(df: DataFrame, id_: str, cell: list[Column], text: str, carry: dict[
         key(field_key(F.col(text))).alias("by_field"),
         *[c.alias(k) for k, c in (carry or {}).items()],
     )
+    rows = cut_lineage(rows)  # the texts are read once; their keys three times
     # Rows whose letters agree but whose fields are cut differently tie two field keys together.
-    keys = rows.select("in_order", "by_field").distinct()
-    tied = keys.groupBy("in_order").agg(F.min("by_field").alias("least"), F.count("*").alias("ways")).where("ways > 1")
-    links = keys.join(tied.select("in_order", "least"), "in_order").where("by_field != least").select("by_field", "least")
+    tied = rows.groupBy("in_order").agg(F.min("by_field").alias("least"), F.max("by_field").alias("most")).where("least < most").select("in_order", "least")
+    links = spread(rows.select("in_order", "by_field"), tied, "in_order").where("by_field != least").select("by_field", "least").distinct()
     moved = roots(links, "by_field", "least")
-    out = rows.join(moved, rows["by_field"] == moved["node"], "left")
+    out = spread(rows, moved.select(F.col("node").alias("by_field"), "root"), "by_field", "left")
     return cut_lineage(out.select("id", F.coalesce("root", "by_field").alias("class"), *(carry or {})))
 
 
+def salt(id_: str, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(salts))
+
+
+def spread(large: DataFrame, small: DataFrame, key: str, how: str = "inner", id_: str | None = None, salts: int = SPREAD) -> DataFrame:
+    """Join a large table, some of whose keys may hold a third of it, to a small one with a row for each
+    key: the large side is salted, the small one repeated for each salt, so no task holds a key."""
+    salted = large.withColumn("salt", salt(id_ or large.columns[0 if large.columns[0] != key else 1], salts))
+    repeated = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(repeated, [key, "salt"], how).drop("salt")
+
+
 def hot_classes(members: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
-    """(class, copies) of the classes with more than `hot` copies, counted exactly; at most rows/hot of them."""
-    return members.groupBy("class").agg(F.count("*").alias("copies")).where(F.col("copies") > hot)
+    """(class, copies) of the hot classes, counted exactly by partial counts; at most MOST_HOT of them."""
+    least = max(hot, members.count() // MOST_HOT)
+    return members.groupBy("class").agg(F.count("*").alias("copies")).where(F.col("copies") > least)
 
 
-def collapse(members: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
-    """(id, copies) of each class: its least id and its number of rows.
+def marked(members: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
+    """members with whether each row's class is hot; the hot classes are few enough to broadcast at any size."""
+    heavy = hot_classes(members, hot).select("class", F.lit(True).alias("hot"))
+    return members.join(F.broadcast(heavy), "class", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def lines(rows: DataFrame, also: dict[str, str] | None = None) -> DataFrame:
+    """(class, hot, representative, copies) of each class of marked rows: its least id and number of rows.
 
-    Hot classes are found by exact partial counts and aggregated in two levels, first by class and salt;
-    the rest goes through one shuffle.
+    Hot classes are aggregated in two levels, first by class and salt; the rest goes through one shuffle.
+    also: names of further columns, each with the column whose maximum it is.
     """
-    heavy = hot_classes(members, hot).select("class")
-    marked = members.select("class", "id").join(heavy.withColumn("heavy", F.lit(True)), "class", "left")
-    least = [F.min("id").alias("id"), F.count("*").alias("copies")]
-    rest = marked.where("heavy is null").groupBy("class").agg(*least)
-    salted = marked.where("heavy").groupBy("class", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(*least)
-    return rest.unionByName(salted.groupBy("class").agg(F.min("id").alias("id"), F.sum("copies").alias("copies"))).select("id", "copies")
+    also = also or {}
+    first = [F.min("id").alias("representative"), F.count("*").alias("copies"), *[F.max(c).alias(k) for k, c in also.items()]]
+    second = [F.min("representative").alias("representative"), F.sum("copies").alias("copies"), *[F.max(k).alias(k) for k in also]]
+    rest = rows.where("not hot").groupBy("class").agg(*first)
+    salted = rows.where("hot").groupBy("class", salt("id").alias("salt")).agg(*first).groupBy("class").agg(*second)
+    out = ["class", "hot", "representative", "copies", *also]
+    return rest.withColumn("hot", F.lit(False)).select(out).unionByName(salted.withColumn("hot", F.lit(True)).select(out))
+
+
+def collapse(members: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
+    """(id, copies) of each class: its least id and its number of rows."""
+    return lines(marked(members, hot)).select(F.col("representative").alias("id"), "copies")
+
+
+def with_lines(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Each marked row with its line; rows of hot classes meet it by class and salt, so no task holds a class."""
+    cold = rows.where("not hot").join(of.where("not hot").drop("hot"), "class")
+    return cold.unionByName(spread(rows.where("hot"), of.where("hot").drop("hot"), "class", id_="id", salts=SALTS), allowMissingColumns=False)
+
+
+def copies(members: DataFrame, hot: int = HOT_COPIES, least: int = 1) -> DataFrame:
+    """(id, representative, copies, hot) of every row of a class with `least` rows or more."""
+    rows = marked(members.select("class", "id"), hot)
+    return with_lines(rows, lines(rows).where(F.col("copies") >= least)).select("id", "representative", "copies", "hot")
 
 
 def copy_pairs(members: DataFrame, hot: int = HOT_COPIES) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of rows of one class.
+    """(id_a, id_b), id_a < id_b: all pairs of rows with the same representative.
 
     Only rows of classes with two rows or more are joined. Within a hot class one side is salted and
     the other repeated for each salt, so no task holds the class.
     """
-    size = members.groupBy("class").agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = members.select("class", "id").join(size, "class")
-    few, many = rows.where(F.col("copies") <= hot), rows.where(F.col("copies") > hot)
-    a, b = few.select("class", F.col("id").alias("id_a")), few.select("class", F.col("id").alias("id_b"))
-    cold = a.join(b, "class")
-    a = many.select("class", F.col("id").alias("id_a"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    b = many.select("class", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-    return cold.unionByName(a.join(b, ["class", "salt"]).drop("salt")).where("id_a < id_b").select("id_a", "id_b")
+    rows = cut_lineage(copies(members, hot, 2))
+    a = lambda r: r.select("representative", F.col("id").alias("id_a"))
+    b = lambda r: r.select("representative", F.col("id").alias("id_b"))
+    few, many = rows.where("not hot"), rows.where("hot")
+    cold = a(few).join(b(few), "representative")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    crowded = a(many).withColumn("salt", salt("id_a")).join(b(many).select("*", every), ["representative", "salt"]).drop("salt")
+    return cold.unionByName(crowded).where("id_a < id_b").select("id_a", "id_b")

@@ -39,15 +39,21 @@ def p4_lines(spark: SparkSession, folder: str) -> DataFrame:
     return dup.collapse(_lines(spark, folder))
 
 
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with the least id of its line and the line's number of copies."""
+    return dup.copies(_lines(spark, folder)).select("id", "representative", "copies")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.best_fields(_lines(spark, folder, survivor.carried(survivor.ledger_fields())), SURVIVING)
 
 
 def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving record of each group of copies."""
-    lines = _lines(spark, folder, survivor.carried(survivor.ledger_fields()))
-    best = survivor.best_fields(lines, SURVIVING)
-    return survivor.survivors(table(spark, folder, "ledger_transactions"), "id", best, SURVIVING, lines)
+    """The surviving record of each line: by votes where it has copies, its own values where it has none."""
+    fields, ledger = survivor.ledger_fields(), table(spark, folder, "ledger_transactions")
+    members = _lines(spark, folder, survivor.carried(fields, source=survivor.ledger_source(ledger)))
+    best = survivor.voted_fields(members, SURVIVING)
+    return survivor.survivors(ledger, "id", best, SURVIVING, members).unionByName(survivor.single_records(ledger, "id", members, {k: v[0] for k, v in fields.items()}))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_links": p1_links,
     "p4_found": p4_found,
     "p4_lines": p4_lines,
+    "p4_members": p4_members,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
     "p7_ids": p7_ids,

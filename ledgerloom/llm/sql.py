@@ -19,7 +19,30 @@ g AS (SELECT a AS id, least(a, min(b)) AS group_id FROM r GROUP BY a)
 _COUNT = lambda c: f"""(SELECT id, count(*) FILTER (v IS NOT NULL AND {_TIDY('v')} <> '' AND {_TIDY('v')} NOT IN ({_WORDS})) AS n FROM
   (SELECT id, json_extract_string({c}, '$."' || key || '"') AS v FROM (SELECT id, {c}, unnest(json_keys({c})) AS key FROM ledger_transactions WHERE {c} IS NOT NULL)) GROUP BY 1)"""
 
+_TEXT = lambda c: f"""(SELECT id, count(*) AS n, string_agg(key || '=' || trim(regexp_replace(lower(v), '[\\s\\p{{Z}}]+', ' ', 'g')), '~' ORDER BY key) AS v FROM
+  (SELECT id, key, json_extract_string({c}, '$."' || key || '"') AS v FROM (SELECT id, {c}, unnest(json_keys({c})) AS key FROM ledger_transactions WHERE {c} IS NOT NULL))
+  WHERE v IS NOT NULL AND {_TIDY('v')} <> '' AND {_TIDY('v')} NOT IN ({_WORDS}) GROUP BY 1)"""
+_HOLDS_CATEGORY = f"t.category IS NOT NULL AND {_TIDY('t.category')} <> '' AND {_TIDY('t.category')} NOT IN ({_WORDS}, {', '.join(f"'{x}'" for x in UNCATEGORIZED)})"
+
 ORACLE: dict[str, str] = {
+    "p4_members": f"""WITH RECURSIVE {CLASSES}, x AS (SELECT t.id, coalesce(g.group_id, t.id) AS representative FROM ledger_transactions t LEFT JOIN g ON g.id = t.id)
+SELECT id, representative, count(*) OVER (PARTITION BY representative) AS copies FROM x""",
+    "p5_survivors": f"""WITH RECURSIVE {CLASSES},
+c AS (SELECT t.id, coalesce(g.group_id, t.id) AS group_id, g.group_id IS NOT NULL AS copied, CASE WHEN isnan(t.confidence) THEN NULL ELSE t.confidence END AS confidence, t.created_at,
+  coalesce(nullif(lower(regexp_extract(t.rule_id, '^([A-Za-z]+)', 1)), ''), 'none') || CASE WHEN t.statement_db_id IS NULL THEN '' ELSE '+statement' END AS source,
+  t.merchant, t.category, t.raw, coalesce(m.n, 0) AS mn, m.v AS mv, coalesce(w.n, 0) AS wn, w.v AS wv, CASE WHEN {_HOLDS_CATEGORY} THEN 1 ELSE 0 END AS cn, trim(regexp_replace(lower(t.category), '[\\s\\p{{Z}}]+', ' ', 'g')) AS cv
+  FROM ledger_transactions t LEFT JOIN g ON g.id = t.id LEFT JOIN {_TEXT('merchant')} m ON m.id = t.id LEFT JOIN {_TEXT('raw')} w ON w.id = t.id),
+s AS (SELECT *, max(created_at) OVER (PARTITION BY group_id) AS newest FROM c WHERE copied),
+l AS (SELECT id, group_id, source, confidence, created_at, newest, 'merchant' AS f, mn AS held, mv AS v, merchant AS kept FROM s UNION ALL
+  SELECT id, group_id, source, confidence, created_at, newest, 'category', cn, cv, category FROM s UNION ALL SELECT id, group_id, source, confidence, created_at, newest, 'raw', wn, wv, raw FROM s),
+h AS (SELECT *, count(*) OVER (PARTITION BY group_id, f, v) AS same FROM l WHERE held > 0),
+tr AS (SELECT source, (count(*) FILTER (same > 1) + 1) / CAST(count(*) + 2 AS DOUBLE) AS trust FROM h GROUP BY 1),
+vo AS (SELECT h.*, round(sum(trust * held * power(2.0, -(epoch_us(newest) - epoch_us(created_at)) / 1e6 / 86400 / 180)) OVER (PARTITION BY group_id, f, v), 6) AS votes FROM h JOIN tr USING (source)),
+o AS (SELECT *, row_number() OVER (PARTITION BY group_id, f, v ORDER BY held DESC, coalesce(confidence, -1) DESC, created_at DESC, id) AS q FROM vo),
+p AS (SELECT *, row_number() OVER (PARTITION BY group_id, f ORDER BY votes DESC, held DESC, coalesce(confidence, -1) DESC, created_at DESC, id) AS p FROM o WHERE q = 1)
+SELECT g2.group_id, (SELECT kept FROM p WHERE p.p = 1 AND p.group_id = g2.group_id AND f = 'merchant') AS merchant, (SELECT kept FROM p WHERE p.p = 1 AND p.group_id = g2.group_id AND f = 'category') AS category,
+  (SELECT kept FROM p WHERE p.p = 1 AND p.group_id = g2.group_id AND f = 'raw') AS raw FROM (SELECT DISTINCT group_id FROM s) g2
+UNION ALL SELECT id, CASE WHEN mn > 0 THEN merchant END, CASE WHEN cn > 0 THEN category END, CASE WHEN wn > 0 THEN raw END FROM c WHERE NOT copied""",
     "p4_found": f"WITH RECURSIVE {CLASSES} SELECT DISTINCT a AS id_a, b AS id_b FROM r WHERE a < b",
     "p4_lines": f"WITH RECURSIVE {CLASSES} SELECT coalesce(g.group_id, t.id) AS id, count(*) AS copies FROM ledger_transactions t LEFT JOIN g ON g.id = t.id GROUP BY 1",
     "p5_found": f"""WITH RECURSIVE {CLASSES},

@@ -146,3 +146,44 @@ def test_registered_survivors_hold_every_group(spark, tmp_path):
 
     spark.createDataFrame([line("2", "x"), line("1", "x")], SCHEMA).write.parquet(f"{tmp_path}/ledger_transactions.parquet")
     assert [tuple(r) for r in p5_survivors(spark, str(tmp_path)).collect()] == [("1", None, None, None)]
+
+
+def voted(spark, rows):
+    df = spark.createDataFrame([(*r, rule, st) for r, rule, st in rows], SCHEMA + ", rule_id string, statement_db_id string")
+    fields = survivor.ledger_fields()
+    members = dup.classed(df, "id", dup.ledger_cell(), "description", survivor.carried(fields, source=survivor.ledger_source(df)))
+    best = survivor.voted_fields(members, ["merchant", "category", "raw"])
+    return {(r.group_id, r.field_name): r.source_id for r in best.collect()}, df, members, fields
+
+
+def test_votes_of_many_outweigh_a_single_one(spark):
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(line(str(i), "x", category="Food", confidence=0.3, at=day(i)), "card-1", None) for i in (1, 2, 3)] + [(line("4", "X.", category="Fuel", confidence=0.9, at=day(4)), "card-2", None)]
+    assert voted(spark, rows)[0] == {("1", "category"): "3"}
+
+
+def test_old_votes_and_distrusted_sources_weigh_less(spark):
+    old, new = datetime(2020, 1, 1), datetime(2024, 1, 1)
+    rows = [(line("1", "x", category="Food", at=old), "card-1", None), (line("2", "x", category="food ", at=old), "card-1", None), (line("3", "x", category="Fuel", at=new), "card-1", None)]
+    assert voted(spark, rows)[0] == {("1", "category"): "3"}
+    # A source whose values no other copy ever confirms loses against one whose values are confirmed.
+    rows = [(line(f"{g}{i}", f"row {g}", category=f"C{g}", at=new), "ach-1", "s") for g in "abcd" for i in (1, 2)]
+    rows += [(line(f"{g}3", f"row {g}", category=f"{g}", at=new), "check-1", None) for g in "abcd"]
+    rows += [(line("z1", "last", category="A", confidence=0.1, at=new), "ach-2", "t"), (line("z2", "last", category="B", confidence=0.9, at=new), "check-3", None)]
+    assert voted(spark, rows)[0]["z1", "category"] == "z1"
+
+
+def test_attributes_vote_whatever_their_order(spark):
+    rows = [(line("1", "x", merchant='{"a": "V", "b": "w"}', confidence=0.1), None, None), (line("2", "x", merchant='{"b": "W", "a": " v"}', confidence=0.2), None, None), (line("3", "x", merchant='{"a": "q", "b": "w"}', confidence=0.9), None, None)]
+    got, df, members, fields = voted(spark, [*rows, (line("9", "alone", merchant='{"a": "q"}', category="n/a"), None, None)])
+    assert got == {("1", "merchant"): "2"}
+    one = survivor.single_records(df, "id", members, {k: v[0] for k, v in fields.items()}).collect()
+    assert [tuple(r) for r in one] == [("9", '{"a": "q"}', None, None)]
+    assert voted(spark, [])[0] == {}
+
+
+def test_members_of_hot_and_other_classes(spark):
+    rows = [line(f"{i:03}", "SAME; LINE" if i % 2 else "line|same") for i in range(60)] + [line("y", "two"), line("x", "TWO"), line("z", "other")]
+    want = sorted([(f"{i:03}", "000", 60) for i in range(60)] + [("x", "x", 2), ("y", "x", 2), ("z", "z", 1)])
+    for hot in (10, dup.HOT_COPIES):
+        assert sorted(tuple(r)[:3] for r in dup.copies(classes(spark, rows), hot).collect()) == want
