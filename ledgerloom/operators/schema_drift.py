@@ -1,16 +1,18 @@
 """JSON documents whose fields drift between runs.
 
-Headers (leaf path, JSON types, signature of the values) are read from all documents in parallel, folded
-through a type-promotion lattice into one union schema, and the documents are cast to it. Each document
-is compared with the one before it of its source, and the ordered differences are logged.
+Headers (leaf path, type, signature of the values) are read from all documents in parallel and folded
+through a type-promotion lattice into one union schema, and documents are cast to it. Each document is
+compared with the one before it of its source, and the ordered differences are logged.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,52 +20,92 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import cut_lineage
 
-LEAVES = "array<struct<path:string,kind:string,sig:bigint,blank:boolean>>"
-#: The lattice of leaf types, from the bottom: a field takes the least type above all that it was seen with.
-#: null < boolean, integer, number, date < string, and integer < number.
-PROMOTED = {
-    frozenset(["integer", "number"]): "number",
+LEAVES = "array<struct<path:string,type:string,kind:string,sig:bigint,blank:boolean>>"
+#: The lattice of leaf types: what each can hold, the narrower first. A field takes the first type that holds
+#: all it was seen with. number is exact, with as many digits as WHOLE and FRACTION; real is any other.
+HOLDS = {
+    "null": {"null"},
+    "boolean": {"null", "boolean"},
+    "integer": {"null", "integer"},
+    "number": {"null", "integer", "number"},
+    "real": {"null", "integer", "number", "real"},
+    "date": {"null", "date"},
+    "string": {"null", "boolean", "integer", "number", "real", "date", "string"},
 }
-SQL_TYPES = {"null": "string", "boolean": "boolean", "integer": "bigint", "number": "double", "date": "date", "string": "string"}
+WHOLE, FRACTION = 26, 12
+SQL_TYPES = {"null": "string", "boolean": "boolean", "integer": "bigint", "number": f"decimal({WHOLE + FRACTION},{FRACTION})", "real": "double", "date": "date", "string": "string"}
+#: The type among string, number and boolean that JSON itself has.
+JSON_KIND = {"null": "", "boolean": "boolean", "integer": "number", "number": "number", "real": "number", "date": "string", "string": "string"}
 _DATE, _NUMBER, _VERSION = re.compile(r"\d{4}-\d\d-\d\d"), re.compile(r"[-+]?(\d[\d,]*\.?\d*|\.\d+)([eE][-+]?\d+)?"), re.compile(r"[vV](\d+(\.\d+)?)")
+#: Values a worker remembers the meaning of before it forgets all.
+REMEMBERED = 100_000
+
+
+class Number(str):
+    """A JSON number as it was written."""
+
+    __slots__ = ()
 
 
 def promote(a: str, b: str) -> str:
     """The least upper bound of two leaf types."""
-    if a == b or b == "null":
-        return a
-    return b if a == "null" else PROMOTED.get(frozenset([a, b]), "string")
+    return a if a == b else next(t for t, held in HOLDS.items() if a in held and b in held)
+
+
+def promoted(kinds: Column) -> Column:
+    """The least upper bound of an array of leaf types."""
+    return F.coalesce(*[F.when(F.size(F.array_except(kinds, F.array(*map(F.lit, sorted(held))))) == 0, t) for t, held in HOLDS.items()])
+
+
+def number_text(raw: str) -> str:
+    """A number without thousands marks, exponent, leading and trailing zeros; exact."""
+    raw = raw.replace(",", "").lstrip("+")
+    if "e" in raw or "E" in raw:
+        d = Decimal(raw).normalize()
+        return format(d, "f") if -400 < d.adjusted() < 400 else str(d)
+    sign, raw = ("-", raw[1:]) if raw[:1] == "-" else ("", raw)
+    whole, _, rest = raw.partition(".")
+    whole, rest = whole.lstrip("0") or "0", rest.rstrip("0")
+    return sign + whole + "." + rest if rest else "0" if whole == "0" else sign + whole
+
+
+def _native(value: object) -> object:
+    return Number(repr(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
 
 def meaning(value: object) -> str | None:
     """What a leaf says, whatever JSON type it has: 5, 5.0 and "5.00" say the same, as do true and "true",
     "2024-03-01" and 20240301, "v2" and 2. None for null."""
+    value = _native(value)
     if value is None:
         return None
     if isinstance(value, bool):
         return "true" if value else "false"
-    text = str(value).strip() if not isinstance(value, float) else repr(value)
-    if text.lower() in ("true", "false"):
-        return text.lower()
+    if isinstance(value, Number):
+        return number_text(value) if _NUMBER.fullmatch(value) else str(value)
+    text = value.strip()
+    if text[:1].isalpha():
+        if text.lower() in ("true", "false"):
+            return text.lower()
+        return number_text(m[1]) if (m := _VERSION.fullmatch(text)) else text
     if _DATE.fullmatch(text):
-        text = text.replace("-", "")
-    elif m := _VERSION.fullmatch(text):
-        text = m[1]
+        return text.replace("-", "")
     bare = text.lstrip("$€£¥").replace(" ", "")
-    if _NUMBER.fullmatch(bare):
-        return repr(float(bare.replace(",", "")))
-    return text
+    return number_text(bare) if _NUMBER.fullmatch(bare) else text
 
 
 def leaf_type(value: object) -> str:
+    value = _native(value)
     if value is None:
         return "null"
     if isinstance(value, bool):
         return "boolean"
-    if isinstance(value, int):
-        return "integer" if -(2**63) <= value < 2**63 else "number"
-    if isinstance(value, float):
-        return "number"
+    if isinstance(value, Number):
+        text = number_text(value) if _NUMBER.fullmatch(value) else "e"
+        whole, point, rest = text.lstrip("-").partition(".")
+        if "E" in text or not whole.isdigit() or len(whole) > WHOLE or len(rest) > FRACTION:
+            return "real"
+        return "integer" if not point and "." not in value and -(2**63) <= int(text) < 2**63 else "number"
     return "date" if _DATE.fullmatch(value) else "string"
 
 
@@ -74,28 +116,51 @@ def _walk(node: object, path: str, out: dict[str, list]) -> None:
         if isinstance(node, dict):
             todo += reversed([(v, f"{path}.{k}" if path else k) for k, v in node.items()])
         elif isinstance(node, list):
-            todo += reversed([(v, f"{path}[]") for v in node])
+            inner = f"{path}[]"
+            todo += reversed([(v, inner) for v in node])
         else:
             out.setdefault(path, []).append(node)
 
 
-def header(text: str | None) -> list[dict] | None:
-    """The leaves of one document; None if it is null or no JSON object or array."""
+def leaves_of(text: str | None) -> dict[str, list] | None:
+    """path -> values in their order; None if the text is null or no JSON object or array."""
     try:
-        doc = json.loads(text) if text is not None else None
+        doc = json.loads(text, parse_int=Number, parse_float=Number, parse_constant=Number) if text is not None else None
     except (ValueError, RecursionError):
         return None
     if not isinstance(doc, (dict, list)):
         return None
     leaves: dict[str, list] = {}
     _walk(doc, "", leaves)
+    return leaves
+
+
+_said: dict[tuple[type, object], tuple[str, str]] = {}
+
+
+def _read(value: object) -> tuple[str, str]:
+    """(type, meaning) of a leaf, remembered; the meaning of null is a mark of its own."""
+    key = (value.__class__, value)
+    if (known := _said.get(key)) is None:
+        if len(_said) >= REMEMBERED:
+            _said.clear()
+        known = _said[key] = (leaf_type(value), "\x00" if value is None else meaning(value))
+    return known
+
+
+def header(text: str | None) -> list[tuple] | None:
+    """The leaves of one document; None if it is null or no JSON object or array."""
+    leaves = leaves_of(text)
+    if leaves is None:
+        return None
     out = []
     for path in sorted(leaves):
-        values = leaves[path]
-        said = [meaning(v) for v in values]
-        kinds = sorted({{"integer": "number", "date": "string"}.get(t, t) for t in map(leaf_type, values)} - {"null"})
-        sig = hashlib.blake2b(json.dumps(said).encode(), digest_size=8).digest()
-        out.append({"path": path, "kind": "|".join(kinds), "sig": int.from_bytes(sig, "big", signed=True), "blank": not kinds})
+        read = [_read(v) for v in leaves[path]]
+        types = {t for t, _ in read}
+        kind = functools.reduce(promote, types)
+        classes = {JSON_KIND[t] for t in types} - {""}
+        sig = hashlib.blake2b("\x01".join([m for _, m in read]).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        out.append((path, kind, "|".join(sorted(classes)), int.from_bytes(sig, "big", signed=True), not classes))
     return out
 
 
@@ -111,6 +176,11 @@ def headers(df: DataFrame, id_: str, document: str) -> DataFrame:
     return df.select(F.col(id_).alias("id"), F.col(document).alias("document")).mapInPandas(read, f"id {kind}, leaves {LEAVES}")
 
 
+def folded(seen: DataFrame) -> DataFrame:
+    """(path, type, documents) of rows (path, type, n): the fold of each path's types."""
+    return seen.groupBy("path").agg(F.collect_set("type").alias("kinds"), F.sum("n").alias("documents")).select("path", promoted(F.col("kinds")).alias("type"), "documents")  # as many kinds as HOLDS has, at most
+
+
 def union_schema(df: DataFrame, document: str) -> DataFrame:
     """(path, type, documents): every leaf path of all documents with its promoted type.
 
@@ -121,57 +191,83 @@ def union_schema(df: DataFrame, document: str) -> DataFrame:
         seen: dict[tuple[str, str], int] = {}
         for b in batches:
             for text in b["document"]:
-                try:
-                    doc = json.loads(text) if text is not None else None
-                except (ValueError, RecursionError):
-                    continue
-                leaves: dict[str, list] = {}
-                if isinstance(doc, (dict, list)):
-                    _walk(doc, "", leaves)
-                for path, values in leaves.items():
+                for path, values in (leaves_of(text) or {}).items():
                     kind = "null"
                     for v in values:
-                        kind = promote(kind, leaf_type(v))
+                        kind = promote(kind, _read(v)[0])
                     seen[path, kind] = seen.get((path, kind), 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "kind", "n"])
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["path", "type", "n"])
 
-    seen = df.select(F.col(document).alias("document")).mapInPandas(read, "path string, kind string, n bigint")
-    totals = seen.groupBy("path", "kind").agg(F.sum("n").alias("n"))
-    kinds = totals.groupBy("path").agg(F.array_remove(F.collect_set("kind"), "null").alias("kinds"), F.sum("n").alias("documents"))  # six kinds at most
-    numbers = F.size(F.array_except("kinds", F.array(F.lit("integer"), F.lit("number")))) == 0
-    kind = F.when(F.size("kinds") == 0, "null").when(F.size("kinds") == 1, F.col("kinds")[0]).when(numbers, "number").otherwise("string")
-    return kinds.select("path", kind.alias("type"), "documents")
+    seen = df.select(F.col(document).alias("document")).mapInPandas(read, "path string, type string, n bigint")
+    return folded(seen.groupBy("path", "type").agg(F.sum("n").alias("n")))
 
 
-def consistent_rows(df: DataFrame, id_: str, document: str) -> DataFrame:
-    """(id, path, type, position, value): all documents as one table in the union schema.
+def typed_leaves(df: DataFrame, id_: str, document: str) -> DataFrame:
+    """(id, leaves) of each JSON document, with the values' texts; cut off from its lineage, so documents are read once."""
 
-    Each leaf is a row, its value written in the union schema's type for its path: numbers without
-    thousands marks, dates as yyyy-mm-dd, booleans as true or false. position counts the elements of
-    arrays in their order. A field that a document lacks has no row there; a null leaf has a null value.
-    """
+    def said(v: object) -> str | None:
+        return None if v is None else ("true" if v else "false") if isinstance(v, bool) else meaning(v) if isinstance(v, Number) else v
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, text in zip(b["id"], b["document"]):
-                try:
-                    doc = json.loads(text) if text is not None else None
-                except (ValueError, RecursionError):
+                leaves = leaves_of(text)
+                if leaves is None:
                     continue
-                leaves: dict[str, list] = {}
-                if isinstance(doc, (dict, list)):
-                    _walk(doc, "", leaves)
+                out = []
                 for path, values in leaves.items():
-                    rows += [(key, path, i, None if v is None else v if isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)]
-            yield pd.DataFrame(rows, columns=["id", "path", "position", "value"])
+                    kind = "null"
+                    for v in values:
+                        kind = promote(kind, _read(v)[0])
+                    out.append((path, kind, [said(v) for v in values]))
+                rows.append((key, out))
+            yield pd.DataFrame(rows, columns=["id", "leaves"])
 
     kind = dict(df.dtypes)[id_]
-    rows = df.select(F.col(id_).alias("id"), F.col(document).alias("document")).mapInPandas(read, f"id {kind}, path string, position int, value string")
-    typed = rows.join(union_schema(df, document).select("path", "type"), "path")
-    number = F.col("value").try_cast("double")
-    cast = F.when(F.col("type") == "number", number.cast("string")).when(F.col("type") == "date", F.col("value").try_cast("date").cast("string")).otherwise(F.col("value"))
-    return typed.select("id", "path", "type", "position", cast.alias("value"))
+    docs = df.select(F.col(id_).alias("id"), F.col(document).alias("document")).mapInPandas(read, f"id {kind}, leaves array<struct<path:string,type:string,said:array<string>>>")
+    return cut_lineage(docs)
+
+
+def schema_of(leaves: DataFrame) -> DataFrame:
+    """The union schema of typed leaves or headers, as union_schema gives it."""
+    return folded(leaves.select(F.explode("leaves").alias("x")).groupBy("x.path", "x.type").agg(F.count("*").alias("n")))
+
+
+def cast(text: Column, type_: str) -> Column:
+    """A leaf's text in a type of the lattice."""
+    return text.try_cast(SQL_TYPES[type_])
+
+
+def consistent_rows(df: DataFrame, id_: str, document: str) -> DataFrame:
+    """(id, path, type, position, value, as_boolean, as_integer, as_number, as_real, as_date): all documents as one table in the union schema.
+
+    Each leaf is a row; type is its path's in the union schema, and of the as_ columns the one of that
+    type holds its value, numbers exactly. value is the value's text, also for strings: numbers without
+    thousands marks and with a point unless the type is integer, dates as yyyy-mm-dd, booleans as true or
+    false. position counts the elements of arrays in their order. A field that a document lacks has no
+    row there; a null leaf has null values.
+    """
+    docs = typed_leaves(df, id_, document)
+    rows = docs.select("id", F.explode("leaves").alias("x")).select("id", "x.path", F.posexplode("x.said").alias("position", "said"))
+    typed = rows.join(schema_of(docs).select("path", "type"), "path")
+    pointed = F.when(F.col("type").isin("number", "real") & ~F.contains("said", F.lit(".")), F.concat("said", F.lit(".0"))).otherwise(F.col("said"))
+    own = [F.when(F.col("type") == t, cast(F.col("said"), t)).alias(f"as_{t}") for t in ("boolean", "integer", "number", "real", "date")]
+    return typed.select("id", "path", "type", "position", pointed.alias("value"), *own)
+
+
+def wide_table(df: DataFrame, id_: str, document: str) -> DataFrame:
+    """(id, a column for each path): all documents as one table with a typed column for each field.
+
+    A path with [] is an array of its type, in the order of the elements; other paths are values of their
+    type. Fields that a document lacks are null. The union schema's paths become the table's columns, so
+    it is collected: as many rows as the table has columns.
+    """
+    docs = typed_leaves(df, id_, document)
+    columns = sorted(schema_of(docs).collect(), key=lambda r: r["path"])
+    said = docs.select("id", F.map_from_entries(F.transform("leaves", lambda x: F.struct(x["path"], x["said"]))).alias("m"))
+    value = lambda r: F.transform(F.col("m")[r["path"]], lambda v: cast(v, r["type"]))
+    return said.select(F.col("id").alias(id_), *[(value(r) if "[]" in r["path"] else F.get(value(r), F.lit(0))).alias(r["path"]) for r in columns])
 
 
 def with_previous(df: DataFrame, id_: str, group: str, at: str) -> DataFrame:
@@ -214,6 +310,8 @@ def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> Data
     """
     heads = cut_lineage(headers(df, id_, document))  # read again for order, new and old
     usable = df.select(F.col(id_).alias("id"), F.col(group).alias("g"), F.col(at).alias("t")).join(heads.select("id", "leaves"), "id")
+    # Where the fold had to promote a field across JSON's own types; elsewhere none can have changed.
+    drifted = heads.select(F.explode("leaves").alias("x")).where("not x.blank").groupBy("x.path").agg((F.min("x.kind") != F.max("x.kind")).alias("drifts")).where("drifts").select("path")
     order = with_previous(usable, "id", "g", "t").where("prev is not null")
     both = order.join(heads.withColumnRenamed("leaves", "new"), "id").join(heads.select(F.col("id").alias("prev"), F.col("leaves").alias("old")), "prev")
     # Most leaves are as before: only what differs goes on.
@@ -240,5 +338,6 @@ def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> Data
     added = F.transform(F.filter("fresh", lambda x: ~F.exists(was, lambda r: r["new"] == x["path"])), lambda x: row(x["path"], F.lit("added")))
     removed = F.transform(F.filter("lost", lambda y: ~F.exists(was, lambda r: r["old"] == y["path"])), lambda y: row(y["path"], F.lit("removed")))
     moved = F.flatten(F.transform(was, lambda r: F.transform(r["kinds"], lambda k: row(r["new"], k))))
-    kept = F.transform("retyped", lambda p: row(p, F.lit("retyped")))
-    return done.select("id", F.explode(F.concat(added, removed, moved, kept)).alias("c")).select(F.col("id").alias(id_), "c.field_path", "c.change_kind")
+    out = done.select("id", F.explode(F.concat(added, removed, moved)).alias("c")).select("id", "c.field_path", "c.change_kind")
+    kept = both.select("id", F.explode("retyped").alias("path")).join(drifted, "path", "left_semi").select("id", F.col("path").alias("field_path"), F.lit("retyped").alias("change_kind"))
+    return out.unionByName(kept).withColumnRenamed("id", id_)

@@ -34,18 +34,37 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("run_id"), "field_path", "change_kind")
 
 
-@query()
+_LEAVES = r"""d AS (SELECT id, output_snapshot AS j FROM parse_runs WHERE status = 'success' AND json_valid(output_snapshot) AND json_type(output_snapshot) IN ('OBJECT', 'ARRAY')),
+leaf AS (SELECT d.id, regexp_replace(regexp_replace(t.fullkey, '^\$\.?', ''), '\[\d+\]', '[]', 'g') AS path, t.id AS place, json_extract_string(t.atom, '$') AS said,
+  CASE WHEN t.type = 'NULL' THEN 'null' WHEN t.type = 'BOOLEAN' THEN 'boolean' WHEN t.type IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN t.type = 'DOUBLE' THEN 'number' WHEN regexp_full_match(json_extract_string(t.atom, '$'), '\d{4}-\d\d-\d\d') THEN 'date' ELSE 'string' END AS kind
+  FROM d, json_tree(d.j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')),
+kinds AS (SELECT path, list(DISTINCT kind) FILTER (kind <> 'null') AS k, count(DISTINCT id) AS documents FROM leaf GROUP BY 1),
+folded AS (SELECT path, documents, CASE WHEN k IS NULL OR len(k) = 0 THEN 'null' WHEN len(k) = 1 THEN k[1] WHEN list_has_all(['integer', 'number'], k) THEN 'number' ELSE 'string' END AS type FROM kinds)"""
+
+
+@query(f"WITH {_LEAVES} SELECT path, type, documents FROM folded")
 def p3_schema(spark: SparkSession, folder: str) -> DataFrame:
     """The union schema of all snapshots."""
     return schema_drift.union_schema(_snapshots(spark, folder), "output_snapshot")
 
 
-@query()
+@query(rf"""WITH {_LEAVES},
+rows AS (SELECT leaf.id AS run_id, path, type, kind, row_number() OVER (PARTITION BY leaf.id, path ORDER BY place) - 1 AS position,
+  CASE WHEN kind = 'number' THEN regexp_replace(regexp_replace(CAST(CAST(said AS DECIMAL(38,12)) AS VARCHAR), '0+$', ''), '\.$', '') ELSE said END AS said FROM leaf JOIN folded USING (path))
+SELECT run_id, path, type, CAST(position AS INT) AS position, CASE WHEN type = 'number' AND NOT contains(said, '.') THEN said || '.0' ELSE said END AS value,
+  CASE WHEN type = 'boolean' THEN CAST(said AS BOOLEAN) END AS as_boolean, CASE WHEN type = 'integer' THEN CAST(said AS BIGINT) END AS as_integer, CASE WHEN type = 'number' THEN CAST(said AS DECIMAL(38,12)) END AS as_number,
+  CAST(NULL AS DOUBLE) AS as_real, CASE WHEN type = 'date' THEN CAST(said AS DATE) END AS as_date FROM rows""")
 def p3_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All snapshots as one table in the union schema."""
+    """All snapshots as one table in the union schema, a row for each leaf."""
     return schema_drift.consistent_rows(_snapshots(spark, folder), "id", "output_snapshot").withColumnRenamed("id", "run_id")
 
 
+@query()
+def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """All snapshots as one table in the union schema, a row for each snapshot and a typed column for each field."""
+    return schema_drift.wide_table(_snapshots(spark, folder), "id", "output_snapshot").withColumnRenamed("id", "run_id")
+
+
 @query("""
 WITH signed AS (SELECT account_id, date AS day, CASE WHEN lower(trim(direction)) = 'debit' THEN -abs(amount) ELSE abs(amount) END AS v FROM ledger_transactions),
 days AS (SELECT account_id, day, sum(v) AS v, count(*) AS n FROM signed GROUP BY 1, 2),

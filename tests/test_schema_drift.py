@@ -1,7 +1,8 @@
 import json
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
-from ledgerloom.operators.schema_drift import changes, consistent_rows, meaning, promote, union_schema, with_previous
+from ledgerloom.operators.schema_drift import changes, consistent_rows, leaf_type, meaning, promote, union_schema, wide_table, with_previous
 
 T0 = datetime(2024, 1, 1)
 
@@ -87,3 +88,27 @@ def test_deep_and_long_documents(spark):
     deep = '{"a": ' * 200 + "1" + "}" * 200
     long = {"t": "x" * 300_000}
     assert diff(spark, deep, deep) == [] and diff(spark, long, {**long, "n": 1}) == [("r1", "n", "added")]
+
+
+def test_numbers_stay_exact(spark):
+    df = table(spark, ['{"a": 12345678901234567890.12, "b": 9223372036854775808, "c": 7, "l": [{"x": 1}, {"x": 2.50}]}', '{"a": 1, "b": 2, "c": 8, "z": 1e300, "l": [{"x": null}]}'])
+    rows = {(r.id, r.path, r.position): r for r in consistent_rows(df, "id", "doc").collect()}
+    assert rows["r0", "a", 0].as_number == Decimal("12345678901234567890.12") and rows["r0", "a", 0].value == "12345678901234567890.12"
+    assert rows["r0", "b", 0].as_number == 2**63 and rows["r1", "b", 0].value == "2.0" and rows["r0", "c", 0].as_integer == 7 and rows["r1", "z", 0].as_real == 1e300
+    assert rows["r0", "l[].x", 1].as_number == Decimal("2.5") and rows["r1", "l[].x", 0].value is None
+
+
+def test_wide_table_is_typed(spark):
+    df = table(spark, [{"a": 1, "d": "2024-01-02", "l": [{"x": 1.5}, {"x": 2}], "k.v w": True}, {"a": 2.25, "d": None, "n": None}, "broken", None])
+    wide = wide_table(df, "id", "doc")
+    assert dict(wide.dtypes) == {"id": "string", "a": "decimal(38,12)", "d": "date", "k.v w": "boolean", "l[].x": "array<decimal(38,12)>", "n": "string"}
+    assert sorted(tuple(r) for r in wide.collect()) == [("r0", Decimal(1), date(2024, 1, 2), True, [Decimal("1.5"), Decimal(2)], None), ("r1", Decimal("2.25"), None, None, None, None)]
+    assert wide_table(df.limit(0), "id", "doc").columns == ["id"]
+
+
+def test_lattice_is_one():
+    kinds = ["null", "boolean", "integer", "number", "real", "date", "string"]
+    for a in kinds:
+        for b in kinds:
+            assert promote(a, b) == promote(b, a) and all(promote(promote(a, b), c) == promote(a, promote(b, c)) for c in kinds)
+    assert [leaf_type(x) for x in (None, True, 5, 2**63, 5.5, 1e300, "2024-01-02", "x")] == ["null", "boolean", "integer", "number", "number", "real", "date", "string"]
