@@ -10,14 +10,18 @@ suffices to find the rate at which they meet the target.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the hashed number in the histogram, and the largest number of sources it is taken for.
+from ledgerloom.llm.format_duplicates import spread
+from ledgerloom.session import cut_lineage
+
+#: Buckets of the hashed number in a source's histogram.
 BUCKETS = 4096
-MAX_SOURCES = 10_000
 
 
 def uniform(id_: Column, seed: int) -> Column:
@@ -59,37 +63,44 @@ def solve_rate(hist: list[tuple[int, int]], target: float, cap: int) -> float:
     return hi
 
 
-def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> list[dict]:
-    """A row per target source: available tokens, share, rate, target tokens and thresholds.
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rates, at = [], []
+        for hist, target, cap in zip(b.pop("hist"), b["target"], b["cap"]):
+            rate = solve_rate([(h["b"], h["n"]) for h in hist] if hist is not None else [], target, cap)
+            rates.append(rate)
+            at.append([t for t in thresholds(rate, cap) if t < 1.0] if 0 < rate < math.inf else [])
+        yield b.assign(rate=rates, at=at)
+
+
+def planned(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
+    """A row per target source: available tokens, share, target tokens, rate and thresholds.
 
     docs: source, id and n_tokens. Without `total`, the mix is as large as the caps allow at the exact
     shares; a larger total makes sources run into their caps and is then spread as it comes. Sources
-    without tokens get no share; weights of null, nan or below 0 count as 0, caps of null as 1.
+    without tokens get no share; weights of null, nan or below 0 count as 0, caps of null as 1. Rates are
+    solved where the histograms are, one source at a time; two numbers come to the driver.
     """
-    wanted = targets.groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("cap")).where("source is not null").limit(MAX_SOURCES + 1).collect()
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    names = targets.select("source").distinct()
+    w, cap = F.max("target_weight"), F.max("max_repeats")
+    wanted = targets.where("source is not null").groupBy("source").agg(F.when((w > 0) & ~F.isnan(w), w).otherwise(0.0).alias("weight"), F.greatest(F.coalesce(cap, F.lit(1)), F.lit(0)).cast("int").alias("cap"))
     u = uniform(F.col("id"), seed)
-    binned = docs.join(names, "source", "left_semi").groupBy("source", F.floor(u * BUCKETS).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n"))
-    hist: dict[str, list[tuple[int, int]]] = {}
-    for r in binned.toLocalIterator():
-        hist.setdefault(r["source"], []).append((r["b"], r["n"]))
-    rows = []
-    for r in sorted(wanted, key=lambda r: r["source"]):
-        w = r["w"] if r["w"] is not None and r["w"] > 0 else 0.0
-        h = sorted(hist.get(r["source"], []))
-        rows.append({"source": r["source"], "weight": w, "cap": max(0, 1 if r["cap"] is None else r["cap"]), "hist": h, "available": sum(n for _, n in h)})
-    usable = sum(r["weight"] for r in rows if r["available"] and r["cap"])
-    for r in rows:
-        r["share"] = r["weight"] / usable if usable and r["available"] and r["cap"] else 0.0
-    if total is None:
-        total = min((r["available"] * r["cap"] / r["share"] for r in rows if r["share"]), default=0.0)
-    for r in rows:
-        r["target"] = total * r["share"]
-        r["rate"] = solve_rate(r.pop("hist"), r["target"], r["cap"])
-        r["at"] = thresholds(r["rate"], r["cap"]) if r["rate"] else [2.0] * r["cap"]
-    return rows
+    names = wanted.select("source", F.lit(True).alias("listed"))
+    binned = spread(docs.select("id", "source", "n_tokens"), names, "source").groupBy("source", F.floor(u * BUCKETS).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n"))
+    hist = binned.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("hist"), F.sum("n").alias("available"))  # BUCKETS at most
+    rows = cut_lineage(wanted.join(hist, "source", "left").fillna(0, ["available"]))
+    usable = (F.col("available") > 0) & (F.col("cap") > 0) & (F.col("weight") > 0)
+    most = rows.where(usable).agg(F.sum("weight").alias("weight"), F.min(F.col("available") * F.col("cap") / F.col("weight")).alias("size")).first()
+    weights = most["weight"] or 0.0
+    total = (most["size"] or 0.0) * weights if total is None else total
+    share = F.when(usable, F.col("weight") / F.lit(weights or 1.0)).otherwise(0.0)
+    rows = rows.withColumn("share", share).withColumn("target", F.col("share") * F.lit(float(total)))
+    kinds = "source string, weight double, cap int, available bigint, share double, target double, rate double, at array<double>"
+    return cut_lineage(rows.mapInPandas(_solved, kinds))
+
+
+def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> list[dict]:
+    """The rows of planned(), for a look at a mix of few sources."""
+    return [r.asDict() for r in planned(docs, targets, total, seed).orderBy("source").collect()]
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
@@ -98,11 +109,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     docs: id, source, n_tokens. A document appears once for each of its copies, at most its source's
     cap; documents of a null or unlisted source do not appear. place is hashed from id, copy and seed.
     """
-    spark = docs.sparkSession
-    rows = [(r["source"], [float(t) for t in r["at"]]) for r in plan(docs, targets, total, seed)]
-    at = spark.createDataFrame(rows, "source string, at array<double>")  # at most MAX_SOURCES rows
-    drawn = docs.select("id", "source", "n_tokens").join(F.broadcast(at), "source").withColumn("u", uniform(F.col("id"), seed))
-    copies = F.size(F.filter("at", lambda t: F.col("u") >= t))
+    at = planned(docs, targets, total, seed).select("source", "cap", "rate", "at")
+    drawn = spread(docs.select("id", "source", "n_tokens"), at, "source").withColumn("u", uniform(F.col("id"), seed))
+    copies = F.when(F.col("rate") == float("inf"), F.col("cap")).otherwise(F.size(F.filter("at", lambda t: F.col("u") >= t)))
     drawn = drawn.withColumn("copies", copies).where("copies > 0")
     out = drawn.select("id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens")
     out = out.withColumn("place", F.xxhash64(F.col("id").cast("string"), "copy", F.lit(seed + 1)))
@@ -113,9 +122,11 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, tokens, records, documents, most_copies) for every target source."""
     got = mixed.groupBy("source", "id").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("t")).groupBy("source")
     got = got.agg(F.sum("t").alias("tokens"), F.sum("c").alias("records"), F.count("*").alias("documents"), F.max("c").alias("most_copies"))
-    want = targets.groupBy("source").agg(F.max(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("w")).where("source is not null")
-    all_ = want.join(got, "source", "left").fillna(0, ["tokens", "records", "documents", "most_copies"])
-    every = Window.partitionBy(F.lit(0))  # a row per target source
-    share = F.when(F.col("tokens") > 0, F.col("w") / F.sum(F.when(F.col("tokens") > 0, F.col("w"))).over(every)).otherwise(F.lit(0.0))
-    actual = F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(every)), F.lit(0.0))
-    return all_.select("source", share.alias("target_share"), actual.alias("actual_share"), "tokens", "records", "documents", "most_copies")
+    w = F.max("target_weight")
+    want = targets.where("source is not null").groupBy("source").agg(F.when((w > 0) & ~F.isnan(w), w).otherwise(0.0).alias("w"))
+    all_ = cut_lineage(want.join(got, "source", "left").fillna(0, ["tokens", "records", "documents", "most_copies"]))
+    sums = all_.agg(F.sum(F.when(F.col("tokens") > 0, F.col("w"))).alias("weights"), F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
+    both = all_.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one")  # one row
+    share = F.when(F.col("tokens") > 0, F.try_divide(F.col("w"), F.col("weights"))).otherwise(F.lit(0.0))
+    actual = F.coalesce(F.try_divide(F.col("tokens"), F.col("all_tokens")), F.lit(0.0))
+    return both.select("source", share.alias("target_share"), actual.alias("actual_share"), "tokens", "records", "documents", "most_copies")

@@ -73,3 +73,15 @@ def test_plan_keeps_rates_finite_where_caps_allow(spark):
     t = spark.createDataFrame([("web", 1.0, 2), ("chat", 1.0, 2)], TARGETS)
     rows = {r["source"]: r for r in plan(docs, t, total=50_000)}
     assert all(0 < r["rate"] < 2 for r in rows.values())
+
+
+def test_as_many_sources_as_there_are(spark):
+    """20,000 sources, a third of all tokens in one: every one gets its share."""
+    n = 20_000
+    small = spark.range(5 * n).selectExpr("id", "concat('s', id % 20000) as source", "cast(20 + id % 7 as int) as n_tokens")
+    docs = small.unionByName(spark.range(5 * n, 5 * n + n // 2).selectExpr("id", "'big' as source", "100 as n_tokens"))
+    t = spark.range(n).selectExpr("concat('s', id) as source", "cast(1 as double) as target_weight", "3 as max_repeats").unionByName(spark.createDataFrame([("big", float(n), 2)], TARGETS))
+    got = {r.source: r for r in shares(mix(docs, t), t).collect()}
+    assert len(got) == n + 1 and abs(got["big"].actual_share - 0.5) < 0.005
+    assert sum(r.records for s, r in got.items() if s != "big") > n / 2 and max(r.most_copies for r in got.values()) <= 3
+    assert max(abs(r.actual_share - r.target_share) for r in got.values()) < 0.005
