@@ -320,7 +320,7 @@ def changes(df: DataFrame, id_: str, group: str, at: str, document: str) -> Data
     fresh = F.filter("n", lambda x: ~F.exists("o", lambda y: y["path"] == x["path"]))
     said = lambda x, y: (x["sig"] == y["sig"]) & (x["kind"] != y["kind"]) & (x["kind"] != "") & (y["kind"] != "")
     retyped = F.transform(F.filter("n", lambda x: F.exists("o", lambda y: (y["path"] == x["path"]) & said(x, y))), lambda x: x["path"])
-    both = both.select("id", lost.alias("lost"), fresh.alias("fresh"), retyped.alias("retyped"))
+    both = cut_lineage(both.select("id", lost.alias("lost"), fresh.alias("fresh"), retyped.alias("retyped")))  # read for candidates, differences and types
 
     # Candidates for renaming: an added and a removed leaf that say the same.
     cand = both.select("id", "lost", F.explode("fresh").alias("x")).select("id", "x", F.explode(F.filter("lost", lambda y: y["sig"] == F.col("x.sig"))).alias("y"))
