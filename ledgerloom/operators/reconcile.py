@@ -27,39 +27,56 @@ ROUNDS_A_JOB = 4
 POINTS = {"amount": (0.4, 0.3), "date": (0.3, 0.2), "merchant": (0.3, 0.2)}
 
 
-def candidates(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE) -> DataFrame:
-    """(left_id, right_id) that share an account and a day within `days`, or nearly the amount; each once."""
-    a = left.select(F.col("id").alias("left_id"), "account", F.col("date").alias("l_date"), F.col("amount").cast("double").alias("l_amount"))
-    b = right.select(F.col("id").alias("right_id"), "account", F.col("date").alias("r_date"), F.abs(F.col("amount").cast("double")).alias("r_amount"))
+def _near(x: Column, y: Column, share: float) -> Column:
+    return (x == y) | ((x != 0) & (y != 0) & (F.abs(x - y) / ((F.abs(x) + F.abs(y)) / 2) <= share))
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """What comparing needs of a row, under names of its side."""
+    x, who, text = ("l", F.coalesce("merchant", "description"), "description") if side == "left" else ("r", F.coalesce("merchant_name", "name"), "name")
+    tidy = lambda c: F.lower(F.trim(c))
+    amount = F.col("amount").cast("double")
+    return rows.select(F.col("id").alias(f"{side}_id"), "account", F.col("date").alias(f"{x}_date"), (amount if side == "left" else F.abs(amount)).alias(f"{x}_amount"), who.alias(f"{x}_merchant"), tidy(who).alias(f"{x}1"), tidy(F.col(text)).alias(f"{x}2"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, days: int, share: float) -> DataFrame:
+    """Pairs of an account and a day within `days`, and those of nearly the same amount at other days; each once.
+
+    The two joins have no pair in common, so none has to be told apart, and their rows carry all that
+    comparing needs, so pairs are scored where they meet and only those that count go on.
+    """
     # Days: blocks as long as the tolerance spans, met by one or two keys of the other side.
     block = 2 * days + 1
     number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    al = a.withColumn("block", F.floor(number("l_date") / block))
-    bl = b.withColumn("block", F.explode(F.sequence(F.floor((number("r_date") - days) / block), F.floor((number("r_date") + days) / block))))
-    by_day = al.join(bl, ["account", "block"]).where(F.abs(F.datediff("l_date", "r_date")) <= days)
+    close = F.coalesce(F.abs(F.datediff("l_date", "r_date")) <= days, F.lit(False))
+    al = left.withColumn("block", F.floor(number("l_date") / block))
+    bl = right.withColumn("block", F.explode(F.sequence(F.floor((number("r_date") - days) / block), F.floor((number("r_date") + days) / block))))
+    by_day = al.join(bl, ["account", "block"]).where(close).drop("block")
     # Amounts: logarithmic classes as wide as the tolerance; a pair within it lies in the same or the next one.
     width = math.log1p(share) if share > 0 else 1e-9
     size = lambda c: F.when(c == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(c)) / width))
-    ac = a.withColumn("size", size(F.col("l_amount")))
-    bc = b.withColumn("size", F.explode(F.when(F.col("r_amount") == 0, F.array(F.lit(-(2**40)))).otherwise(F.sequence(size(F.col("r_amount")) - 2, size(F.col("r_amount")) + 2))))
-    by_amount = ac.join(bc, ["account", "size"]).where(_near(F.col("l_amount"), F.col("r_amount"), share))
-    return by_day.select("left_id", "right_id").unionByName(by_amount.select("left_id", "right_id")).distinct()
+    ac = left.withColumn("size", size(F.col("l_amount")))
+    bc = right.withColumn("size", F.explode(F.when(F.col("r_amount") == 0, F.array(F.lit(-(2**40)))).otherwise(F.sequence(size(F.col("r_amount")) - 2, size(F.col("r_amount")) + 2))))
+    by_amount = ac.join(bc, ["account", "size"]).where(_near(F.col("l_amount"), F.col("r_amount"), share) & ~close).drop("size")
+    return by_day.unionByName(by_amount)
 
 
-def _near(x: Column, y: Column, share: float) -> Column:
-    return (x == y) | ((x != 0) & (y != 0) & (F.abs(x - y) / ((F.abs(x) + F.abs(y)) / 2) <= share))
+def candidates(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE) -> DataFrame:
+    """(left_id, right_id) that share an account and a day within `days`, or nearly the amount; each once."""
+    return _pairs(_side(left, "left"), _side(right, "right"), days, share).select("left_id", "right_id")
 
 
-def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
-    """Pairs with confidence, match_type and differences; those under the floor are left out."""
-    tidy = lambda c: F.lower(F.trim(c))
-    l_who, r_who = F.coalesce("merchant", "description"), F.coalesce("merchant_name", "name")
-    a = left.select(F.col("id").alias("left_id"), F.col("date").alias("l_date"), F.col("amount").cast("double").alias("l_amount"), l_who.alias("l_merchant"), tidy(l_who).alias("l1"), tidy(F.col("description")).alias("l2"))
-    b = right.select(F.col("id").alias("right_id"), F.col("date").alias("r_date"), F.abs(F.col("amount").cast("double")).alias("r_amount"), r_who.alias("r_merchant"), tidy(r_who).alias("r1"), tidy(F.col("name")).alias("r2"))
-    x = pairs.join(a, "left_id").join(b, "right_id")
-    x = x.withColumn("like", F.greatest(*[similarity_from(p, q, likeness) for p in ("l1", "l2") for q in ("r1", "r2")]))
+def scored(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
+    """Candidates with confidence, match_type and differences; those under the floor are left out.
+
+    Where the amounts differ, two signals are left and both must be good, so names are compared only to
+    the likeness that can still reach the floor.
+    """
+    x = _pairs(_side(left, "left"), _side(right, "right"), days, share)
     same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
     same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
+    from_ = lambda least: F.greatest(*[similarity_from(p, q, least) for p in ("l1", "l2") for q in ("r1", "r2")])
+    x = x.withColumn("like", F.when(near_amount | same_day, from_(likeness)).otherwise(from_(ALIKE)))
     alike, likely = F.col("like") >= ALIKE, F.col("like") >= likeness
     points = lambda k, full, part: F.when(full, POINTS[k][0]).when(part, POINTS[k][1]).otherwise(0.0)
     confidence = points("amount", same_amount, near_amount) + points("date", same_day, near_day) + points("merchant", alike, likely)
@@ -71,8 +88,8 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, days: int = DAYS
         F.when(~same_day, note("Date", near_day, F.col("l_date").cast("string"), F.col("r_date").cast("string"))),
         F.when(~alike, note("Merchant", likely, F.col("l_merchant"), F.col("r_merchant"))),
     ))
-    out = x.select("left_id", "right_id", "l_date", "r_date", confidence.alias("confidence"), kind.alias("match_type"), notes.alias("differences"))
-    return out.where(F.col("confidence") >= FLOOR)
+    out = x.withColumn("confidence", confidence).where(F.col("confidence") >= FLOOR)
+    return out.select("left_id", "right_id", "l_date", "r_date", "confidence", kind.alias("match_type"), notes.alias("differences"))
 
 
 def assign(edges: DataFrame) -> DataFrame:
@@ -100,7 +117,7 @@ def assign(edges: DataFrame) -> DataFrame:
 
 def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
     """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest."""
-    edges = cut_lineage(scored(candidates(left, right, days, share), left, right, days, share, likeness))
+    edges = cut_lineage(scored(left, right, days, share, likeness))
     exact = assign(edges.where("match_type = 'exact'"))
     rest = edges.join(exact.select("left_id"), "left_id", "left_anti").join(exact.select("right_id"), "right_id", "left_anti")
     return exact.unionByName(assign(rest)).select("left_id", "right_id", "confidence", "match_type", "differences")
@@ -123,27 +140,48 @@ def unmatched(rows: DataFrame, found: DataFrame, side: str) -> DataFrame:
 
 
 def merged(left: DataFrame, right: DataFrame, found: DataFrame, mapping: Column, feed_confidence: float = 0.7) -> DataFrame:
-    """Both sides as one table: matched left rows enriched, unmatched feed rows added.
+    """Both sides as one table: matched left rows enriched, unmatched feed rows added. Every left row is kept.
 
     left also has category and confidence. mapping: struct of category and subcategory of a feed row. A
     feed category replaces a left row's only if its confidence is strictly higher. Added rows keep the
-    feed's sign, debits positive, and take 0.9 as confidence.
+    feed's sign, debits positive, and take 0.9 as confidence; where right has kind and mask they get the
+    key of a statement of their month, and a label.
     """
+    kind, mask = [F.col(c) if c in right.columns else F.lit(None).cast("string") for c in ("kind", "mask")]
     r = right.select(F.col("id").alias("right_id"), F.col("merchant_name").alias("feed_merchant"), F.col("authorized_date").alias("feed_posted"), mapping.alias("feed"))
     x = left.join(found.select(F.col("left_id").alias("id"), "right_id"), "id", "left").join(r, "right_id", "left")
     better = F.col("right_id").isNotNull() & (F.lit(feed_confidence) > F.coalesce("confidence", F.lit(0.0)))
     updated = x.select(
         "id", "account", "date", F.col("amount").cast("double").alias("amount"), "description", F.when(better, F.coalesce("feed.category", F.lit("Uncategorized"))).otherwise(F.col("category")).alias("category"),
         F.when(better, F.lit(feed_confidence)).otherwise(F.col("confidence")).alias("confidence"), "feed_merchant", F.coalesce("feed_posted", "posted_date").alias("posted_date"), F.when(F.col("right_id").isNull(), "ledger").otherwise("both").alias("origin"),
+        F.lit(None).cast("string").alias("statement_key"), F.lit(None).cast("string").alias("period_label"),
     )
     new = unmatched(right, found, "right")
     added = new.select(
         F.concat(F.lit("plaid_"), "id").alias("id"), "account", "date", F.col("amount").cast("double").alias("amount"), F.col("name").alias("description"), F.coalesce(mapping["category"], F.lit("Uncategorized")).alias("category"),
         F.lit(0.9).alias("confidence"), F.coalesce("merchant_name", "name").alias("feed_merchant"), F.coalesce("authorized_date", "date").alias("posted_date"), F.lit("feed").alias("origin"),
+        F.when(kind.isNotNull(), F.concat_ws("-", F.lit("PLAID"), kind, F.coalesce(mask, F.lit("0000")), F.date_format("date", "yyyy-MM"))).alias("statement_key"), F.when(kind.isNotNull(), F.concat(F.lit("Plaid "), kind, F.lit(" "), F.coalesce(mask, F.lit("")))).alias("period_label"),
     )
     return updated.unionByName(added)
 
 
+def created_accounts(right: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """(account, kind, mask, start, end, transactions): the accounts that unmatched feed rows need and `known` (account) lacks."""
+    new = unmatched(right, found, "right").join(known.select("account"), "account", "left_anti")
+    return new.groupBy("account").agg(F.min("kind").alias("kind"), F.min(F.coalesce("mask", F.lit("0000"))).alias("mask"), F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("transactions"))
+
+
+def merge_stats(left: DataFrame, right: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: rows of both sides, how many were updated and added, accounts created, left rows unmatched, and the rate."""
+    s = summary(left, right, found).select("matched", "total_left", "total_right", "match_rate", F.lit(1).alias("one"))
+    n = created_accounts(right, found, known).agg(F.count("*").alias("accounts_created")).withColumn("one", F.lit(1))
+    return s.join(n, "one").select("total_left", "total_right", F.col("matched").alias("updated"), (F.col("total_right") - F.col("matched")).alias("added"), "accounts_created", (F.col("total_left") - F.col("matched")).alias("unmatched_left"), F.round("match_rate", 6).alias("match_rate"))
+
+
+# Strategies of enrichment.
+STRATEGIES = ("pdf-primary", "plaid-primary", "union")
+
+
 def enriched(left: DataFrame, right: DataFrame, found: DataFrame, replace_merchant: bool = False) -> DataFrame:
     """Left rows with what the matched feed row says; with replace_merchant its name also takes the merchant's place."""
     r = right.select(F.col("id").alias("right_id"), F.coalesce("merchant_name", "name").alias("feed_merchant"))
@@ -152,10 +190,52 @@ def enriched(left: DataFrame, right: DataFrame, found: DataFrame, replace_mercha
     return x.select("id", "account", "date", "amount", merchant.alias("merchant"), F.col("right_id").alias("feed_id"), "match_type", "confidence", "differences")
 
 
+def by_strategy(left: DataFrame, right: DataFrame, found: DataFrame, strategy: str) -> DataFrame:
+    """enriched() by one of STRATEGIES: the ledger's own values first, the feed's merchant first, or also the feed's unmatched rows."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {STRATEGIES}")
+    out = enriched(left, right, found, strategy == "plaid-primary")
+    if strategy != "union":
+        return out
+    new = unmatched(right, found, "right").select(F.concat(F.lit("plaid_"), "id").alias("id"), "account", "date", "amount", F.coalesce("merchant_name", "name").alias("merchant"), F.col("id").alias("feed_id"))
+    return out.unionByName(new, allowMissingColumns=True)
+
+
+def match_payloads(right: DataFrame, found: DataFrame) -> DataFrame:
+    """(left_id, payload): of each match a struct of the feed id, confidence, type, differences, merchant, place and category; absent parts are null."""
+    place = F.when(F.coalesce("city", "region").isNotNull(), F.struct("city", F.col("region").alias("state")))
+    category = F.when(F.col("pfc_primary").isNotNull(), F.struct(F.col("pfc_primary").alias("primary"), F.col("pfc_detailed").alias("detailed")))
+    r = right.select(F.col("id").alias("right_id"), "merchant_name", place.alias("location"), category.alias("category"))
+    p = F.struct(F.col("right_id").alias("transactionId"), F.col("confidence").alias("matchConfidence"), F.col("match_type").alias("matchType"), "differences", F.col("merchant_name").alias("merchantName"), "location", "category")
+    return found.join(r, "right_id").select("left_id", p.alias("payload"))
+
+
+def warnings(of: DataFrame, added: int | Column | None = None) -> DataFrame:
+    """(place, warning) of a row of summary(): rows added, a match rate under a half, amounts that differ by more than a tenth."""
+    some = F.col("total_left") > 0
+    off = F.try_divide(F.abs("amount_difference"), F.col("amount_left"))
+    texts = F.array(
+        F.when(F.lit(added is not None), F.format_string("Added %d unmatched feed rows", added if isinstance(added, Column) else F.lit(added or 0))),
+        F.when(some & (F.col("match_rate") < 0.5), F.format_string("Low match rate: %.1f%%", F.col("match_rate") * 100)),
+        F.when(some & (off > 0.1), F.format_string("Significant amount difference: %.2f (%.1f%%)", F.abs("amount_difference"), off * 100)),
+    )
+    return of.select(F.posexplode(texts).alias("place", "warning")).where("warning is not null")
+
+
 def _feed_keys(feed_accounts: DataFrame) -> DataFrame:
     """(feed_account, kind, mask, feed_bank) of the feed accounts with a mask."""
-    kind = F.when(F.col("type") == "credit", "credit").when(F.lower("subtype") == "savings", "savings").otherwise("checking")
-    return feed_accounts.where("mask is not null").select(F.col("account_id").alias("feed_account"), kind.alias("kind"), "mask", _bank("institution_name").alias("feed_bank"))
+    return feed_accounts.where("mask is not null").select(F.col("account_id").alias("feed_account"), feed_kind().alias("kind"), "mask", _bank("institution_name").alias("feed_bank"))
+
+
+def feed_kind() -> Column:
+    return F.when(F.col("type") == "credit", "credit").when(F.lower("subtype") == "savings", "savings").otherwise("checking")
+
+
+def accounts_without_mask(accounts: DataFrame, feed_accounts: DataFrame) -> DataFrame:
+    """(feed_account, account): a feed account without mask fits any; the ledger's is taken if its institution has just one of the kind."""
+    only = accounts.groupBy(_bank("institution").alias("bank"), F.lower("account_type").alias("kind")).agg(F.count("*").alias("n"), F.min("id").alias("account")).where("n = 1 and bank != ''")
+    bare = feed_accounts.where("coalesce(mask, '') = ''").select(F.col("account_id").alias("feed_account"), feed_kind().alias("kind"), _bank("institution_name").alias("bank"))
+    return bare.join(only, ["bank", "kind"]).select("feed_account", "account")
 
 
 def _bank(c: str) -> Column:
