@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.category_rules import FEED_CATEGORIES, OLDER_RULES, RULES, entries
@@ -132,6 +132,37 @@ def _picked(place: Column, rows: list[tuple[str, str, float, str | None]]) -> Co
     return F.struct(of(0).alias("category"), of(1).cast("string").alias("subcategory"), of(2).alias("confidence"), of(3).cast("string").alias("rule_id"))
 
 
+def rules_table(spark: SparkSession) -> DataFrame:
+    """(rule_id, priority, category, subcategory, confidence, pattern, exclusion, channels) of every rule; channels are set apart by blanks."""
+    rows = [(r[0], int(r[1]), r[2], r[3], float(r[4]), r[5], r[6] or None, r[7] or None) for r in entries(RULES, 8)]
+    return spark.createDataFrame(rows, "rule_id string, priority int, category string, subcategory string, confidence double, pattern string, exclusion string, channels string")
+
+
+def rule(rule_id: str) -> list[str] | None:
+    """The rule of an id; None if there is none."""
+    return next((r for r in entries(RULES, 8) if r[0] == rule_id), None)
+
+
+def by_rules(df: DataFrame, description: str, rules: list[tuple[str, int, str, str, float, str, str, str]]) -> DataFrame:
+    """with_category() by rules of one's own, each (id, priority, category, subcategory, confidence, pattern, exclusion, channels)."""
+    text = F.lower(F.trim(even_spaces(F.col(description))))
+    rules = sorted(rules, key=lambda r: r[1])
+    hits = [(text.rlike(r[5]) & ~text.rlike(r[6]) if r[6] else text.rlike(r[5]), F.lit(i)) for i, r in enumerate(rules)]
+    place = _choice(hits, F.lit(len(rules))) if hits else F.lit(0)
+    return df.withColumn("_place", place).withColumn("_rule", _picked(F.col("_place"), [(r[2], r[3], float(r[4]), r[0]) for r in rules])).select(*df.columns, "_rule.*")
+
+
+def recategorized(rows: DataFrame, learned: str = "learned") -> DataFrame:
+    """rows, with category, subcategory and confidence of the struct `learned` (also source) where that is a learned one and better.
+
+    Only results whose source is ml or hybrid count, and only for rows that are uncategorized or less sure.
+    """
+    new = lambda c: F.col(f"{learned}.{c}")
+    better = F.coalesce(new("source").isin("ml", "hybrid") & ((F.col("category") == UNCATEGORIZED) | (new("confidence") > F.col("confidence"))), F.lit(False))
+    changed = {c: F.when(better, new(c)).otherwise(F.col(c)) for c in ("category", "subcategory", "confidence")}
+    return rows.withColumns(changed | {"recategorized": better}).drop(learned)
+
+
 def feed_category(primary: Column, detailed: Column) -> Column:
     """A struct of category, subcategory, confidence: by the detailed feed category, else the primary; null if neither is known."""
     rows = {r[0]: r[1:] for r in entries(FEED_CATEGORIES, 4)}

@@ -146,3 +146,24 @@ def tax_buckets(rows: DataFrame) -> DataFrame:
     part = lambda b: F.sum(F.when(bucket == b, deduct).otherwise(F.lit(0))).cast("double").alias(b)
     taxable = F.sum(F.when(F.col("relevance") == "income", F.col("income")).otherwise(F.lit(0))).cast("double").alias("taxable_income")
     return t.groupBy("owner", "tax_year").agg(taxable, F.sum(deduct).cast("double").alias("deductible"), *[part(b) for b in ("business", "medical", "charitable", "professional", "other")])
+
+
+def places(rows: DataFrame, group: str, day: str, id_: str) -> DataFrame:
+    """(id, group, place): each row's place in its group by day, then id.
+
+    Each day is ordered by itself and the counts of the days before are added, so no task orders a group.
+    """
+    per_day = rows.groupBy(group, day).agg(F.count("*").alias("n"))
+    before = per_day.select(F.col(group).alias("_g"), F.col(day).alias("_d"), (F.sum("n").over(Window.partitionBy(group).orderBy(day)) - F.col("n")).alias("before"))
+    inside = rows.withColumn("k", F.row_number().over(Window.partitionBy(group, day).orderBy(id_)))
+    return inside.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col(day).eqNullSafe(F.col("_d"))).select(id_, group, (F.col("k") + F.col("before")).alias("place"))
+
+
+def combined(rows: DataFrame) -> DataFrame:
+    """(owner, report, item, value): net cash flow by quarter, income and expenses, and the streak of months with income."""
+    quarters = quarterly_cash_flow(rows).select("owner", F.lit("quarterly_cash_flow").alias("report"), F.col("quarter").alias("item"), F.col("net_cash_flow").alias("value"))
+    totals = income_and_expenses(rows)
+    items = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("total_income", "total_expenses", "net_income")])
+    sums = totals.select("owner", F.lit("income_vs_expenses").alias("report"), F.explode(items).alias("x")).select("owner", "report", "x.*")
+    streak = income_streaks(rows).select("owner", F.lit("lender_summary").alias("report"), F.lit("consecutive_months").alias("item"), F.col("months").cast("double").alias("value"))
+    return quarters.unionByName(sums).unionByName(streak)

@@ -75,13 +75,6 @@ def categorize_v1(spark: SparkSession, folder: str) -> DataFrame:
     return classify.with_category(_ledger(spark, folder).select("id", "description"), "description", older=True).drop("description", "rule_id")
 
 
-@query()
-def categorize_by_channel(spark: SparkSession, folder: str) -> DataFrame:
-    """The rules with each line's channel, which then restricts them."""
-    t = _ledger(spark, folder).withColumn("channel_type", classify.channel(F.col("description"))["type"])
-    return classify.with_category(t.select("id", "description", "channel_type"), "description", "channel_type").drop("description")
-
-
 @query(_feed_sql())
 def plaid_category_map(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "plaid_transactions")
