@@ -55,6 +55,18 @@ FIELDS = {
     "debits_other": r"(?i)Total\s+other\s+subtractions\s*-?\$?([0-9,]+\.\d{2})",
     "debits_fees": r"(?i)Total\s+service\s+fees\s*-?\$?([0-9,]+\.\d{2})",
 }
+# What a credit card's statement prints; a closing day alone stands for the month before it.
+CREDIT_FIELDS = {
+    "account": r"(?im)(?:Account|Card)\s*(?:number|#|:)?.*?(\d{4})\s*$",
+    "period_start": rf"(?i)(?:Statement|Billing)\s+period\s*[:\s]*({_DAY})\s*(?:to|-|through)",
+    "period_end": rf"(?i)(?:Statement|Billing)\s+period\s*[:\s]*{_DAY}\s*(?:to|-|through)\s*({_DAY})",
+    "closing": rf"(?i)(?:Statement\s+(?:closing\s+)?date|Closing\s+date)\s*[:\s]*({_DAY})",
+    "starting_balance": r"(?i)(?:Previous|Prior|Last)\s+(?:statement\s+)?balance\s*[:\s$]*(-?[0-9,]+\.\d{2})",
+    "ending_balance": r"(?i)(?:New|Current|Statement)\s+balance\s*[:\s$]*(-?[0-9,]+\.\d{2})",
+    "credits": r"(?i)(?:Payments|Credits)(?:\s+and\s+(?:other\s+)?credits)?\s*[:\s$]*(-?[0-9,]+\.\d{2})",
+    "debits": r"(?i)(?:Purchases|Charges)(?:\s+and\s+adjustments)?\s*[:\s$]*(-?[0-9,]+\.\d{2})",
+}
+# Amounts and the forms of printed rows.
 AMOUNT = r"-?[0-9,]+\.\d{2}"
 CHECK_ROW = rf"^(\d{{2}}/\d{{2}}/\d{{2}})\s*(\d{{1,6}})({AMOUNT})$"
 ROWS = (rf"^(\d{{1,2}}/\d{{1,2}})\s+(.+?)\s+({AMOUNT})$", rf"^(\d{{1,2}}/\d{{1,2}}/\d{{2,4}})\s+(.+?)\s+({AMOUNT})$", rf"^(\d{{2}}/\d{{2}}/\d{{2}})(.+?)({AMOUNT})$")
@@ -91,14 +103,22 @@ def headers(lines: DataFrame) -> DataFrame:
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_index", "line"))), lambda x: x["line"])
     text = lines.groupBy("file").agg(F.array_join(ordered, "\n").alias("text"))
-    f = {k: extract(F.col("text"), p) for k, p in FIELDS.items()}
-    money = lambda k: F.coalesce(parse_amount(f[k]), F.lit(0.0))
-    missing = [F.when(f["account"].isNull(), "no account number"), F.when(f["period_start"].isNull(), "no statement period"), F.when(f["starting_balance"].isNull(), "no beginning balance"), F.when(f["ending_balance"].isNull(), "no ending balance")]
-    kind = account_kind(F.col("text"))
+    text = text.withColumn("kind", account_kind(F.col("text")))
+    f, c = ({k: extract(F.col("text"), p) for k, p in fields.items()} for fields in (FIELDS, CREDIT_FIELDS))
+    card = F.col("kind") == "credit"
+    pick = lambda k: F.when(card, c[k]).otherwise(f[k])
+    money = lambda x: F.coalesce(parse_amount(x), F.lit(0.0))
+    closing = _long_day(c["closing"])
+    start = F.when(card, F.coalesce(_long_day(c["period_start"]), F.date_add(F.add_months(closing, -1), 1))).otherwise(_long_day(f["period_start"]))
+    end = F.when(card, F.coalesce(_long_day(c["period_end"]), closing)).otherwise(_long_day(f["period_end"]))
+    balances = [pick(k) for k in ("starting_balance", "ending_balance")]
+    missing = [F.when(pick("account").isNull(), "no account number"), F.when(start.isNull(), "no statement period"), F.when(balances[0].isNull(), "no beginning balance"), F.when(balances[1].isNull(), "no ending balance")]
+    debits = money(f["debits_card"]) + money(f["debits_other"]) + money(f["debits_fees"])
     return text.select(
-        "file", F.when(kind == "unknown", "checking").otherwise(kind).alias("kind"), F.concat(F.lit("****"), F.coalesce(f["account"], F.lit("0000"))).alias("account_number_masked"),
-        _long_day(f["period_start"]).alias("period_start"), _long_day(f["period_end"]).alias("period_end"), money("starting_balance").alias("starting_balance"), money("ending_balance").alias("ending_balance"),
-        money("credits").alias("total_credits"), (money("debits_card") + money("debits_other") + money("debits_fees")).alias("total_debits"), F.array_compact(F.array(*missing, F.when(kind == "unknown", "unknown account kind"))).alias("warnings"),
+        "file", F.when(F.col("kind") == "unknown", "checking").otherwise(F.col("kind")).alias("kind"), F.concat(F.lit("****"), F.coalesce(pick("account"), F.lit("0000"))).alias("account_number_masked"),
+        start.alias("period_start"), end.alias("period_end"), money(balances[0]).alias("starting_balance"), money(balances[1]).alias("ending_balance"),
+        F.when(card, F.abs(money(c["credits"]))).otherwise(money(f["credits"])).alias("total_credits"), F.when(card, F.abs(money(c["debits"]))).otherwise(debits).alias("total_debits"),
+        F.array_compact(F.array(*missing, F.when(F.col("kind") == "unknown", "unknown account kind"))).alias("warnings"),
     )
 
 
