@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.classify import CSV_TYPES
+from ledgerloom.functions.classify import CSV_TYPES, OFX_CHECK, OFX_TYPES
 from ledgerloom.operators import upsert
 from ledgerloom.plans.registry import query
 from ledgerloom.sinks import exports
+from ledgerloom.sinks.exports import OFX_MEMO, OFX_NAME
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import sync
 
@@ -35,19 +36,56 @@ def csv_lines(spark: SparkSession, folder: str) -> DataFrame:
     return exports.csv_lines(_rows(spark, folder)).select("id", "line")
 
 
-@query()
+_OFX_WORDS = "".join("WHEN " + " OR ".join(f"contains(u, '{w}')" for w in words) + f" THEN '{n}'\n" for n, words in OFX_TYPES)
+_XML = lambda c, n: f"""substr(regexp_replace(replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;'), '[^\\x20-\\x7E]', '?', 'g'), 1, {n})"""
+
+
+@query(f"""WITH l AS (SELECT t.*, upper(t.description) AS u, lower(trim(t.direction)) AS d, json_extract_string(t.merchant, '$.name') AS m FROM ledger_transactions t JOIN accounts a ON a.id = t.account_id WHERE t.statement_db_id IS NOT NULL),
+k AS (SELECT *, coalesce(nullif(regexp_extract(u, '{OFX_CHECK}', 1), ''), nullif(regexp_extract(u, '{OFX_CHECK}', 2), '')) AS num FROM l),
+y AS (SELECT *, CASE WHEN num IS NOT NULL THEN 'CHECK' {_OFX_WORDS} WHEN d = 'credit' THEN 'CREDIT' ELSE 'DEBIT' END AS kind FROM k),
+x AS (SELECT statement_db_id, date, id, '<STMTTRN>' || chr(10) || '<TRNTYPE>' || CASE WHEN kind = 'FEE' AND d <> 'debit' THEN 'CREDIT' ELSE kind END || '</TRNTYPE>' || chr(10) || '<DTPOSTED>' || strftime(coalesce(posted_date, date), '%Y%m%d') || '</DTPOSTED>' || chr(10)
+  || '<TRNAMT>' || CAST(CASE WHEN d = 'credit' OR amount = 0 THEN abs(amount) ELSE -abs(amount) END AS VARCHAR) || '</TRNAMT>' || chr(10) || '<FITID>' || id || '</FITID>' || chr(10) || coalesce('<CHECKNUM>' || num || '</CHECKNUM>' || chr(10), '')
+  || '<NAME>' || {_XML("CASE WHEN coalesce(m, '') <> '' THEN m ELSE description END", OFX_NAME)} || '</NAME>' || chr(10) || '<MEMO>' || {_XML('description', OFX_MEMO)} || '</MEMO>' || chr(10) || '</STMTTRN>' AS t FROM y),
+b AS (SELECT statement_db_id, string_agg(t, chr(10) ORDER BY date, id) AS list FROM x GROUP BY 1)
+SELECT s.account_id, s.id AS statement_id, s.period_end, '<STMTRS>' || chr(10) || '<CURDEF>' || coalesce(a.currency, 'USD') || '</CURDEF>' || chr(10) || '<BANKACCTFROM><ACCTID>' || replace(a.account_number_masked, '*', '0') || '</ACCTID><ACCTTYPE>'
+  || CASE lower(a.account_type) WHEN 'savings' THEN 'SAVINGS' WHEN 'credit' THEN 'CREDITLINE' ELSE 'CHECKING' END || '</ACCTTYPE></BANKACCTFROM>' || chr(10) || '<BANKTRANLIST><DTSTART>' || strftime(s.period_start, '%Y%m%d') || '</DTSTART><DTEND>' || strftime(s.period_end, '%Y%m%d') || '</DTEND>' || chr(10)
+  || b.list || chr(10) || '</BANKTRANLIST>' || chr(10) || '<LEDGERBAL><BALAMT>' || CAST(coalesce(s.ending_balance, 0)::DECIMAL(14,2) AS VARCHAR) || '</BALAMT><DTASOF>' || strftime(s.period_end, '%Y%m%d') || '</DTASOF></LEDGERBAL>' || chr(10) || '</STMTRS>' AS block
+FROM statements s JOIN accounts a ON a.id = s.account_id JOIN b ON b.statement_db_id = s.id""")
 def ofx_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return exports.ofx_blocks(_rows(spark, folder), _statements(spark, folder))
 
 
-@query()
+_OBJECT = lambda pairs: "'{' || array_to_string(list_filter([" + ", ".join(f"""CASE WHEN {v} IS NOT NULL THEN '"{k}":' || {t} END""" for k, v, t in pairs) + "], lambda x: x IS NOT NULL), ',') || '}'"
+_TEXT = lambda k, v: (k, v, f"CAST(to_json({v}) AS VARCHAR)")
+_PLAIN = lambda k, v: (k, v, f"CAST({v} AS VARCHAR)")
+_V1_ROW = _OBJECT([_TEXT("date", "CAST(t.date AS VARCHAR)"), _TEXT("id", "t.id"), _TEXT("posted_date", "CAST(t.posted_date AS VARCHAR)"), _TEXT("description", "t.description"), _TEXT("merchant", "json_extract_string(t.merchant, '$.name')"), _PLAIN("amount", "t.amount"),
+                   _TEXT("direction", "lower(trim(t.direction))"), _TEXT("category", "t.category"), _TEXT("subcategory", "t.subcategory"), ("confidence", "t.confidence", """CASE WHEN isnan(t.confidence) THEN '"NaN"' ELSE CAST(to_json(t.confidence) AS VARCHAR) END""")])
+_V1 = _OBJECT([("schemaVersion", "'v1'", """'"v1"'"""), ("account", "a.id", _OBJECT([_TEXT(c, f"a.{c}") for c in ("institution", "account_type", "account_number_masked", "currency")])), ("period", "s.id", _OBJECT([_TEXT(c, f"CAST(s.{c} AS VARCHAR)") for c in ("period_start", "period_end")])),
+               ("summary", "s.id", _OBJECT([_PLAIN(c, f"s.{c}") for c in ("starting_balance", "ending_balance", "total_credits", "total_debits")])), ("transactions", "s.id", "'[' || coalesce(r.list, '') || ']'")])
+
+
+@query(f"""WITH r AS (SELECT t.statement_db_id, string_agg({_V1_ROW}, ',' ORDER BY t.date, t.id) AS list FROM ledger_transactions t JOIN accounts b ON b.id = t.account_id WHERE t.statement_db_id IS NOT NULL GROUP BY 1)
+SELECT s.id AS key, {_V1} AS document FROM statements s JOIN accounts a ON a.id = s.account_id LEFT JOIN r ON r.statement_db_id = s.id""")
 def json_statements_v1(spark: SparkSession, folder: str) -> DataFrame:
     return exports.nested(_statements(spark, folder), _rows(spark, folder), "v1")
 
 
-@query()
+_JSON = lambda pairs: "'{' || " + " || ',' || ".join(f"""'"{k}":' || coalesce(CAST(to_json({v}) AS VARCHAR), 'null')""" for k, v in pairs) + " || '}'"
+_HEAD = [("schemaVersion", "'v2'"), *[(c, c) for c in ("institution", "account_type", "account_number_masked", "currency")], ("start", "CAST(period_a AS VARCHAR)"), ("end", "CAST(period_b AS VARCHAR)"), *[(c, c) for c in ("startingBalance", "endingBalance", "totalCredits", "totalDebits", "totalStatements", "totalTransactions")]]
+_ITEM = [("transactionId", "id"), ("statementId", "statement_db_id"), ("date", "CAST(date AS VARCHAR)"), ("postedDate", "CAST(posted_date AS VARCHAR)"), ("description", "description"), ("merchant", "json_extract_string(merchant, '$.name')"), ("amount", "CAST(amount AS DOUBLE)"),
+         ("direction", "lower(trim(direction))"), ("category", "category"), ("subcategory", "subcategory"), ("confidence", "CASE WHEN isnan(confidence) THEN NULL ELSE confidence END")]
+
+
+@query(f"""WITH n AS (SELECT account_id, count(*) AS totalTransactions FROM ledger_transactions GROUP BY 1),
+s AS (SELECT account_id, min(period_start) AS period_a, max(period_end) AS period_b, CAST(arg_min_null(starting_balance, (period_start, id)) AS DOUBLE) AS startingBalance, CAST(arg_max_null(ending_balance, (period_start, id)) AS DOUBLE) AS endingBalance,
+  CAST(sum(total_credits) AS DOUBLE) AS totalCredits, CAST(sum(total_debits) AS DOUBLE) AS totalDebits, count(*) AS totalStatements FROM statements GROUP BY 1),
+x AS (SELECT coalesce(s.account_id, n.account_id) AS account_id, CASE WHEN s.account_id IS NOT NULL THEN a.institution END AS institution, CASE WHEN s.account_id IS NOT NULL THEN a.account_type END AS account_type, CASE WHEN s.account_id IS NOT NULL THEN a.account_number_masked END AS account_number_masked,
+  CASE WHEN s.account_id IS NOT NULL THEN a.currency END AS currency, period_a, period_b, startingBalance, endingBalance, totalCredits, totalDebits, coalesce(totalStatements, 0) AS totalStatements, coalesce(totalTransactions, 0) AS totalTransactions
+  FROM s FULL JOIN n ON n.account_id = s.account_id LEFT JOIN accounts a ON a.id = coalesce(s.account_id, n.account_id))
+SELECT account_id, NULL::DATE AS date, NULL AS id, {_JSON(_HEAD)} AS line FROM x UNION ALL SELECT account_id, date, id, {_JSON(_ITEM)} FROM ledger_transactions""")
 def json_accounts_v2(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.nested(_statements(spark, folder), _rows(spark, folder), "v2")
+    """Every account as JSON lines: what it is, then its rows, those without a statement too."""
+    return exports.account_lines(_statements(spark, folder), _rows(spark, folder))
 
 
 @query("""WITH late AS (SELECT * FROM plaid_transactions WHERE synced_at >= TIMESTAMP '2025-01-01'), early AS (SELECT DISTINCT transaction_id FROM plaid_transactions WHERE synced_at < TIMESTAMP '2025-01-01')

@@ -99,6 +99,8 @@ OFX_FOOTER = "</BANKMSGSRSV1>\n</OFX>"
 def nested(statements: DataFrame, rows: DataFrame, version: str = "v2") -> DataFrame:
     """(key, document): JSON of one statement (v1) or of one account with all its statements' rows (v2).
 
+    v2 is for accounts whose rows fit a document; account_lines has no such bound.
+
     statements: id, account_id, institution, account_type, account_number_masked, currency, period and
     balances; rows: statement_db_id, id, date, posted_date, description, merchant, amount, direction,
     category, subcategory, confidence.
@@ -122,10 +124,36 @@ def nested(statements: DataFrame, rows: DataFrame, version: str = "v2") -> DataF
     return a.select(F.col("account_id").alias("key"), F.to_json(doc).alias("document"))
 
 
+def account_lines(statements: DataFrame, rows: DataFrame) -> DataFrame:
+    """(account_id, date, id, line): each account as JSON lines, a line that describes it (without date and id) and one for each of its rows.
+
+    Rows without a statement are there too. No line grows with the account, so one that holds a third of
+    all rows is written by many tasks.
+    """
+    text = lambda doc: F.to_json(doc, {"ignoreNullFields": "false"})
+    double = lambda c: F.col(c).cast("double")
+    key = F.struct("period_start", "id")
+    n = rows.groupBy("account_id").agg(F.count("*").alias("totalTransactions"))
+    about = [F.any_value(c).alias(c) for c in ("institution", "account_type", "account_number_masked", "currency")]
+    a = statements.groupBy("account_id").agg(*about, F.min("period_start").alias("start"), F.max("period_end").alias("end"), F.min_by(double("starting_balance"), key).alias("startingBalance"), F.max_by(double("ending_balance"), key).alias("endingBalance"),
+        F.sum("total_credits").cast("double").alias("totalCredits"), F.sum("total_debits").cast("double").alias("totalDebits"), F.count("*").alias("totalStatements"))
+    a = a.join(n, "account_id", "full").withColumn("totalTransactions", F.coalesce("totalTransactions", F.lit(0))).withColumn("totalStatements", F.coalesce("totalStatements", F.lit(0)))
+    head = F.struct(F.lit("v2").alias("schemaVersion"), "institution", "account_type", "account_number_masked", "currency", "start", "end", "startingBalance", "endingBalance", "totalCredits", "totalDebits", "totalStatements", "totalTransactions")
+    item = F.struct(
+        F.col("id").alias("transactionId"), F.col("statement_db_id").alias("statementId"), "date", F.col("posted_date").alias("postedDate"), "description", "merchant", double("amount").alias("amount"), "direction", "category", "subcategory", F.nanvl("confidence", F.lit(None).cast("double")).alias("confidence")
+    )
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return a.select("account_id", none("date", "date"), none("string", "id"), text(head).alias("line")).unionByName(rows.select("account_id", "date", "id", text(item).alias("line")))
+
+
 def write_lines(lines: DataFrame, path: str, by: str | None = None) -> None:
-    """Text files of a `line` column in the order of date and id within each file; one folder for each `by`."""
-    out = lines.sortWithinPartitions("date", "id")
+    """Text files of a `line` column in the order of date and id, also from one file to the next; one folder for each `by`.
+
+    Files are cut by ranges of their order, so what is frequent is spread over several.
+    """
+    keys = [*([by] if by else []), "date", "id"]
+    out = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
     if by:
-        lines.repartition(by).sortWithinPartitions(by, "date", "id").select(by, F.col("line").alias("value")).write.partitionBy(by).mode("overwrite").text(path)
+        out.select(by, F.col("line").alias("value")).write.partitionBy(by).mode("overwrite").text(path)
     else:
         out.select(F.col("line").alias("value")).write.mode("overwrite").text(path)

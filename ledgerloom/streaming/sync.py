@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.upsert import new_rows
+from ledgerloom.operators.upsert import new_rows, tombstoned
 
 # The state an event puts an item into.
 STATES = {"error": "error", "login_required": "login_required", "pending_expiration": "login_required", "login_repaired": "active", "new_accounts": "active", "sync_updates": "active"}
@@ -37,16 +37,45 @@ def apply_changes(changes: DataFrame, ledger: DataFrame, removed: DataFrame) ->
     return new_rows(last, ledger, ["id"]), new_rows(gone, removed, ["id"])
 
 
-def start_sync(changes: DataFrame, ledger_path: str, removed_path: str, checkpoint: str, on_batch: Callable[[int, int], None] | None = None, interval: str | None = None) -> StreamingQuery:
-    """Run the sync; without an interval it takes what is there and ends. Both paths must hold tables already."""
+#: Parts of a bucketed ledger table; the part of a row is a hash of its id.
+BUCKETS = 256
+
+
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with the part of the table that their id belongs to, as its partition column."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def write_bucketed(rows: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    bucketed(rows, buckets).repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(path)
+
+
+def ledger_view(ledger: DataFrame, removed: DataFrame) -> DataFrame:
+    """The ledger as it is read: rows that were removed keep their place and are flagged."""
+    return tombstoned(ledger if "flags" in ledger.columns else ledger.withColumn("flags", F.lit("{}")), removed, "id")
+
+
+def start_sync(changes: DataFrame, ledger_path: str, removed_path: str, checkpoint: str, on_batch: Callable[[int, int], None] | None = None, interval: str | None = None, buckets: int | None = None) -> StreamingQuery:
+    """Run the sync; without an interval it takes what is there and ends. Both paths must hold tables already.
+
+    buckets: both tables are partitioned by `bucket` (write_bucketed), and a batch reads only the parts
+    that its ids belong to; their numbers, at most so many, are what comes to the driver.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            add, gone = apply_changes(batch, spark.read.parquet(ledger_path), spark.read.parquet(removed_path))
-            add.write.mode("append").parquet(ledger_path)
-            gone.write.mode("append").parquet(removed_path)
+            ledger, removed = spark.read.parquet(ledger_path), spark.read.parquet(removed_path)
+            if buckets:
+                touched = [r["bucket"] for r in bucketed(batch.select("id"), buckets).select("bucket").distinct().collect()]
+                ledger, removed = (x.where(F.col("bucket").isin(touched)).drop("bucket") for x in (ledger, removed))
+            add, gone = apply_changes(batch, ledger, removed)
+            for rows, path in ((add, ledger_path), (gone, removed_path)):
+                if buckets:
+                    write_bucketed(rows, path, buckets)
+                else:
+                    rows.write.mode("append").parquet(path)
             if on_batch:
                 on_batch(number, batch.count())
         finally:
