@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.category_rules import FEED_CATEGORIES, OLDER_RULES, RULES, entries
+from ledgerloom.functions.literals import matches
 from ledgerloom.functions.scalars import even_spaces
 
 # Channels by pattern, first match first; `section` names the statement section that also decides.
@@ -59,7 +60,7 @@ BRANDS = (
     ("COSTCO", "Costco"), ("UBER", "Uber"), ("LYFT", "Lyft"), ("DOORDASH", "DoorDash"), ("GRUBHUB", "Grubhub"), ("NETFLIX", "Netflix"), ("SPOTIFY", "Spotify"), ("APPLE", "Apple"), ("GOOGLE", "Google"),
     ("PAYPAL", "PayPal"), ("VENMO", "Venmo"), ("ZELLE", "Zelle"),
 )
-ONLINE = r"(?i)\.com\b|\.net\b|\.org\b|\*[A-Z0-9]+|AMZN|AMAZON|PAYPAL|GOOGLE\s*\*|NETFLIX|SPOTIFY|UBER\s*\*?EATS|DOORDASH|GRUBHUB|INSTACART"
+ONLINE = r"\.COM\b|\.NET\b|\.ORG\b|\*[A-Z0-9]+|AMZN|AMAZON|PAYPAL|GOOGLE\s*\*|NETFLIX|SPOTIFY|UBER\s*\*?EATS|DOORDASH|GRUBHUB|INSTACART"
 NETWORKS = (("VISA", r"\bVISA\b"), ("MASTERCARD", r"\bMASTERCARD\b"), ("AMEX", r"\bAMEX\b|\bAMERICAN\s*EXPRESS\b"), ("DISCOVER", r"\bDISCOVER\b"))
 PHONE = r"\b(\d{3}[-.]?\d{3}[-.]?\d{4})\b"
 LINE_PREFIXES = (r"^CHECKCARD\s+\d{4}\s+", r"^PURCHASE\s+", r"^POS\s+", r"^DEBIT\s+", r"^RECURRING\s+", r"^PREAUTHORIZED\s+")
@@ -86,9 +87,9 @@ def _rule_place(description: Column, channel: Column | None) -> tuple[Column, li
     rules = sorted(entries(RULES, 8), key=lambda r: int(r[1]))
     cases = []
     for i, r in enumerate(rules):
-        hit = text.rlike(r[5])
+        hit = matches(text, r[5])
         if r[6]:
-            hit &= ~text.rlike(r[6])
+            hit &= ~matches(text, r[6])
         if r[7] and channel is not None:
             hit &= channel.isNull() | channel.isin(*r[7].split())
         cases.append((hit, F.lit(i)))
@@ -98,7 +99,7 @@ def _rule_place(description: Column, channel: Column | None) -> tuple[Column, li
 def _older_place(description: Column) -> tuple[Column, list[tuple]]:
     text = F.lower(F.trim(even_spaces(description)))
     rules = entries(OLDER_RULES, 4)
-    return _choice([(text.rlike(r[3]), F.lit(i)) for i, r in enumerate(rules)], F.lit(len(rules))), [(r[0], r[1], float(r[2]), str(i)) for i, r in enumerate(rules)]
+    return _choice([(matches(text, r[3]), F.lit(i)) for i, r in enumerate(rules)], F.lit(len(rules))), [(r[0], r[1], float(r[2]), str(i)) for i, r in enumerate(rules)]
 
 
 def categorize(description: Column, channel: Column | None = None) -> Column:
@@ -145,11 +146,11 @@ def rule(rule_id: str) -> list[str] | None:
 
 def by_rules(df: DataFrame, description: str, rules: list[tuple[str, int, str, str, float, str, str, str]]) -> DataFrame:
     """with_category() by rules of one's own, each (id, priority, category, subcategory, confidence, pattern, exclusion, channels)."""
-    text = F.lower(F.trim(even_spaces(F.col(description))))
     rules = sorted(rules, key=lambda r: r[1])
-    hits = [(text.rlike(r[5]) & ~text.rlike(r[6]) if r[6] else text.rlike(r[5]), F.lit(i)) for i, r in enumerate(rules)]
+    text = F.col("_line")
+    hits = [(matches(text, r[5]) & ~matches(text, r[6]) if r[6] else matches(text, r[5]), F.lit(i)) for i, r in enumerate(rules)]
     place = _choice(hits, F.lit(len(rules))) if hits else F.lit(0)
-    return df.withColumn("_place", place).withColumn("_rule", _picked(F.col("_place"), [(r[2], r[3], float(r[4]), r[0]) for r in rules])).select(*df.columns, "_rule.*")
+    return df.withColumn("_line", F.lower(F.trim(even_spaces(F.col(description))))).withColumn("_place", place).withColumn("_rule", _picked(F.col("_place"), [(r[2], r[3], float(r[4]), r[0]) for r in rules])).select(*df.columns, "_rule.*")
 
 
 def recategorized(rows: DataFrame, learned: str = "learned") -> DataFrame:
@@ -242,7 +243,8 @@ def with_merchant(df: DataFrame, description: str) -> DataFrame:
     out = out.withColumn("name", F.when(F.length("_lead") > 2, F.col("_lead")).when(F.length("_words") > 2, F.col("_words")))
     out = out.withColumn("_upper", F.upper("name"))
     brand = _choice([(F.contains(F.col("_upper"), F.lit(k)), F.lit(v)) for k, v in BRANDS], F.initcap(F.regexp_replace(name, r"\s+", " ")))
-    line = F.upper(description)
-    network = _choice([(line.rlike(p), F.lit(n)) for n, p in NETWORKS], F.lit(None).cast("string"))
-    out = out.withColumns({"normalized_name": F.when(name.isNotNull(), brand), "online": F.col(description).rlike(ONLINE), "network": network})
-    return out.drop("_text", "_at", "_rest", "_lead", "_words", "_upper")
+    line = F.col("_line")
+    network = _choice([(matches(line, p), F.lit(n)) for n, p in NETWORKS], F.lit(None).cast("string"))
+    out = out.withColumn("_line", F.upper(description))
+    out = out.withColumns({"normalized_name": F.when(name.isNotNull(), brand), "online": matches(line, ONLINE), "network": network})
+    return out.drop("_line", "_text", "_at", "_rest", "_lead", "_words", "_upper")
