@@ -51,13 +51,14 @@ def _pairs(left: DataFrame, right: DataFrame, days: int, share: float) -> DataFr
     close = F.coalesce(F.abs(F.datediff("l_date", "r_date")) <= days, F.lit(False))
     al = left.withColumn("block", F.floor(number("l_date") / block))
     bl = right.withColumn("block", F.explode(F.sequence(F.floor((number("r_date") - days) / block), F.floor((number("r_date") + days) / block))))
-    by_day = al.join(bl, ["account", "block"]).where(close).drop("block")
+    # Merge joins: a broadcast would leave the comparing to as few tasks as the left side's files.
+    by_day = al.join(bl.hint("merge"), ["account", "block"]).where(close).drop("block")
     # Amounts: logarithmic classes as wide as the tolerance; a pair within it lies in the same or the next one.
     width = math.log1p(share) if share > 0 else 1e-9
     size = lambda c: F.when(c == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(c)) / width))
     ac = left.withColumn("size", size(F.col("l_amount")))
     bc = right.withColumn("size", F.explode(F.when(F.col("r_amount") == 0, F.array(F.lit(-(2**40)))).otherwise(F.sequence(size(F.col("r_amount")) - 2, size(F.col("r_amount")) + 2))))
-    by_amount = ac.join(bc, ["account", "size"]).where(_near(F.col("l_amount"), F.col("r_amount"), share) & ~close).drop("size")
+    by_amount = ac.join(bc.hint("merge"), ["account", "size"]).where(_near(F.col("l_amount"), F.col("r_amount"), share) & ~close).drop("size")
     return by_day.unionByName(by_amount)
 
 
@@ -76,7 +77,8 @@ def scored(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = A
     same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
     same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
     from_ = lambda least: F.greatest(*[similarity_from(p, q, least) for p in ("l1", "l2") for q in ("r1", "r2")])
-    x = x.withColumn("like", F.when(near_amount | same_day, from_(likeness)).otherwise(from_(ALIKE)))
+    # Made by a generator, so that no condition on it is pushed down and works it out again for each mention.
+    x = x.withColumn("like", F.explode(F.array(F.when(near_amount | same_day, from_(likeness)).otherwise(from_(ALIKE)))))
     alike, likely = F.col("like") >= ALIKE, F.col("like") >= likeness
     points = lambda k, full, part: F.when(full, POINTS[k][0]).when(part, POINTS[k][1]).otherwise(0.0)
     confidence = points("amount", same_amount, near_amount) + points("date", same_day, near_day) + points("merchant", alike, likely)
