@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import gaps, importing, reconcile
+from ledgerloom.operators import gaps, importing, positions, reconcile, validation
 from ledgerloom.plans.reconciled import MATCHED
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.reports import _A, _B, GAPS
@@ -145,3 +145,28 @@ def detected_kinds(spark: SparkSession, folder: str) -> DataFrame:
     kinds = statement_lines.headers(lines).select("file", "kind")
     parts = batch.segments(lines).groupBy(F.col("source").alias("file")).agg(F.count_distinct("part").alias("statements"))
     return kinds.join(parts, "file")
+
+
+@query()
+def snapshot_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """What breaks the schema in the documents of all runs."""
+    return validation.violations(table(spark, folder, "parse_runs"), "id", "output_snapshot").withColumnRenamed("id", "run_id")
+
+
+@query("""WITH h AS (SELECT o.o_custkey AS account_id, l.l_partkey AS security_id, sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS quantity, sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS value, sum(CAST(CAST(l.l_quantity AS DECIMAL(18,2)) * CAST(p.p_retailprice AS DECIMAL(18,2)) AS DECIMAL(18,2))) AS cost
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1, 2)
+SELECT h.account_id, c.c_name AS account, h.security_id, p.p_name AS security, CAST(quantity AS DOUBLE) AS quantity, CAST(value AS DOUBLE) AS value, CAST(cost AS DOUBLE) AS cost_basis, CAST(value - cost AS DOUBLE) AS gain, CASE WHEN cost > 0 THEN round(CAST(value - cost AS DOUBLE) / CAST(cost AS DOUBLE) * 100, 2) END AS gain_percent
+FROM h LEFT JOIN part p ON p.p_partkey = h.security_id LEFT JOIN customer c ON c.c_custkey = h.account_id""")
+def holdings_gain_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """Holdings with their gains: parts stand for securities, customers for accounts, what they ordered for holdings."""
+    item, order, part, customer = (table(spark, folder, n) for n in ("lineitem", "orders", "part", "customer"))
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    x = item.join(order, item["l_orderkey"] == order["o_orderkey"]).join(part, item["l_partkey"] == part["p_partkey"])
+    cost = (money("l_quantity") * money("p_retailprice")).cast("decimal(18,2)")
+    held = x.groupBy(F.col("o_custkey").alias("account_id"), F.col("l_partkey").alias("security_id")).agg(F.sum(money("l_quantity")).alias("quantity"), F.sum(money("l_extendedprice")).alias("value"), F.sum(cost).alias("cost_basis"))
+    held = held.withColumn("exact", (F.col("value") - F.col("cost_basis")).cast("double")).withColumns({c: F.col(c).cast("double") for c in ("quantity", "value", "cost_basis")})
+    securities = part.select(F.col("p_partkey").alias("security_id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("ticker"))
+    accounts = customer.select(F.col("c_custkey").alias("account_id"), F.col("c_name").alias("name"))
+    gains = positions.holding_gains(held, securities, accounts)
+    percent = F.when(F.col("cost_basis") > 0, F.round(F.col("exact") / F.col("cost_basis") * 100, 2))
+    return gains.select("account_id", "account", "security_id", "security", "quantity", "value", "cost_basis", F.col("exact").alias("gain"), percent.alias("gain_percent"))
