@@ -92,7 +92,29 @@ def bank_reference(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("id", classify.bank_reference(F.col("description"), F.col("kind")).alias("r")).select("id", "r.*")
 
 
-@query()
+def _merchant_sql() -> str:
+    c = classify
+    states = "|".join(c.STATES)
+    slash, end = rf"\b([A-Z][A-Za-z\s]+)/({states})\b", rf"\b([A-Z][A-Za-z\s]+)\s+({states})\s*$"
+    lead = r"(?i)^([A-Z][A-Z0-9\s&'.\-#]+?)(?:\s+\d|$)"
+    text = f"trim({EVEN})"
+    for prefix in c.LINE_PREFIXES:
+        text = f"regexp_replace({text}, {_q('(?i)' + prefix)}, '', 'g')"
+    text = f"trim(regexp_replace({text}, {_q('(?i)' + '|'.join(f'(?:{p})' for p in c.LINE_SUFFIXES))}, '', 'g'))"
+    brands = "".join(f"WHEN contains(upper(name), {_q(k)}) THEN {_q(v)} " for k, v in c.BRANDS)
+    networks = "".join(f"WHEN regexp_matches(u, {_q(p)}) THEN '{n}' " for n, p in c.NETWORKS)
+    part = lambda group: f"CASE place WHEN 1 THEN regexp_extract(t, {_q(slash)}, {group}) WHEN 2 THEN regexp_extract(t, {_q(end)}, {group}) END"
+    return rf"""WITH a AS (SELECT id, upper(description) AS u, {text} AS t FROM ledger_transactions),
+b AS (SELECT *, CASE WHEN contains(t, '/') AND regexp_matches(t, {_q(slash)}) THEN 1 WHEN right(rtrim(t), 2) IN ({', '.join(map(_q, c.STATES))}) AND regexp_matches(t, {_q(end)}) THEN 2 ELSE 0 END AS place FROM a),
+d AS (SELECT *, trim({part(1)}) AS city, {part(2)} AS state, nullif(regexp_extract(t, {_q(c.PHONE)}, 1), '') AS phone, trim(CASE place WHEN 1 THEN regexp_replace(t, {_q(slash)}, '', 'g') WHEN 2 THEN regexp_replace(t, {_q(end)}, '', 'g') ELSE t END) AS r FROM b),
+e AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN r = '' THEN t ELSE r END, '\d{{2}}/\d{{2}}|\*+\d+', '', 'g'), '\s{{2,}}', ' ', 'g'), {_q(c.PHONE)}, '', 'g')) AS rest FROM d),
+f AS (SELECT *, trim(regexp_extract(rest, {_q(lead)}, 1)) AS l, trim(regexp_replace(array_to_string(list_slice(regexp_split_to_array(rest, '\s+'), 1, 5), ' '), '[^A-Za-z0-9\s&''.\-#]', '', 'g')) AS w FROM e),
+g AS (SELECT *, CASE WHEN length(l) > 2 THEN l WHEN length(w) > 2 THEN w END AS name FROM f)
+SELECT id, city, state, phone, name, CASE WHEN name IS NULL THEN NULL {brands} ELSE array_to_string(list_transform(string_split(lower(regexp_replace(name, '\s+', ' ', 'g')), ' '), lambda x: upper(x[1:1]) || x[2:]), ' ') END AS normalized_name,
+regexp_matches(u, {_q(c.ONLINE)}) AS online, CASE {networks} END AS network FROM g"""
+
+
+@query(_merchant_sql())
 def merchant_extract(spark: SparkSession, folder: str) -> DataFrame:
     return classify.with_merchant(_ledger(spark, folder).select("id", "description"), "description").drop("description")
 

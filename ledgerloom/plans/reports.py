@@ -153,7 +153,9 @@ def recurring_summary(spark: SparkSession, folder: str) -> DataFrame:
     return recurring.summary(recurring.patterns(rows), rows).select("owner", "patterns", "recurring", "subscriptions", "monthly")
 
 
-@query()
+@query(f"""WITH {RECURRING}, x AS (SELECT k.id, k.direction, p.subscription, list_reduce(list_transform(string_split(k.merchant_key, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: (a * 31 + c) & 4294967295) AS h
+FROM k JOIN p ON p.owner = k.owner AND p.merchant_key = k.merchant_key AND p.direction = k.direction)
+SELECT id, 'rec_' || direction || '_' || format('{{:08x}}', CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END) AS pattern_id, subscription FROM x""")
 def recurring_flags(spark: SparkSession, folder: str) -> DataFrame:
     rows = owned(spark, folder)
     return recurring.flagged(rows, recurring.patterns(rows))
