@@ -151,3 +151,14 @@ def pattern_hash(key: Column) -> Column:
     h = F.aggregate(codes, F.lit(0).cast("bigint"), lambda acc, x: (acc * 31 + x).bitwiseAND(F.lit(4294967295)))
     signed = F.when(h >= 2147483648, 4294967296 - h).otherwise(h)
     return F.lpad(F.lower(F.hex(signed)), 8, "0")
+
+
+def month_number(name: Column) -> Column:
+    """1 to 12 from a month's name or its first three letters, whatever their case; null if it is none."""
+    place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.trim(name), 1, 3)))
+    return F.when(place > 0, place.cast("int"))
+
+
+def statement_year(period_end: Column) -> Column:
+    """The year that a statement's days without a year are of."""
+    return F.year(period_end)
