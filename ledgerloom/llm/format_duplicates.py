@@ -60,7 +60,7 @@ def classed(df: DataFrame, id_: str, cell: list[Column], text: str, carry: dict[
     rows = cut_lineage(rows)  # the texts are read once; their keys three times
     # Rows whose letters agree but whose fields are cut differently tie two field keys together.
     tied = rows.groupBy("in_order").agg(F.min("by_field").alias("least"), F.max("by_field").alias("most")).where("least < most").select("in_order", "least")
-    links = spread(rows.select("in_order", "by_field"), tied, "in_order").where("by_field != least").select("by_field", "least").distinct()
+    links = spread(rows.select("id", "in_order", "by_field"), tied, "in_order").where("by_field != least").select("by_field", "least").distinct()
     moved = roots(links, "by_field", "least")
     out = spread(rows, moved.select(F.col("node").alias("by_field"), "root"), "by_field", "left")
     return cut_lineage(out.select("id", F.coalesce("root", "by_field").alias("class"), *(carry or {})))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.format_duplicates import classed, ledger_cell
+from ledgerloom.llm.format_duplicates import classed, hot_classes, ledger_cell, spread, with_lines
 from ledgerloom.llm.label_model import LabelModel, fit
 from ledgerloom.session import cut_lineage
 
@@ -142,7 +142,7 @@ def ledger_rows(ledger: DataFrame) -> DataFrame:
 
 def own_lines(rows: DataFrame, ledger: DataFrame, linked: DataFrame) -> DataFrame:
     """(class, account_id, date, cents, credit, description) of each line of the linked accounts, as its least id has it."""
-    mine = rows.join(linked.select("account_id").distinct(), "account_id", "left_semi")
+    mine = spread(rows, linked.select("account_id").distinct(), "account_id", "left_semi")
     least = mine.groupBy("class").agg(F.min("id").alias("id"))
     return mine.join(least, ["class", "id"]).join(ledger.select("id", "description"), "id").drop("id")
 
@@ -209,11 +209,11 @@ def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, ledger: DataFra
         return cut_lineage(agreed.join(counts, "feed_account").where(enough).groupBy("feed_account").agg(F.max_by("account_id", F.struct("agree", "account_id")).alias("account_id")))
 
     bare = lines.drop("description").distinct()
-    masked = best(agreeing(bare.join(ours.where("mask != ''"), "account_id"), distinct.select("*", blocks).join(theirs, "feed_account"), [*key, "mask"]), 1)
+    masked = best(agreeing(spread(bare, ours.where("mask != ''"), "account_id"), distinct.select("*", blocks).join(theirs, "feed_account"), [*key, "mask"]), 1)
 
     open_ours, open_theirs = ours.drop("mask").join(masked, "account_id", "left_anti"), theirs.drop("mask").join(masked, "feed_account", "left_anti")
     word = lambda c: F.explode(_starts(_words(c, common), _kind(F.coalesce(c, F.lit(""))))).alias("word")
-    left = cut_lineage(lines.join(open_ours, "account_id").select(*key, "account_id", "day", word(F.col("description"))).distinct())
+    left = cut_lineage(spread(lines, open_ours, "account_id").select(*key, "account_id", "day", word(F.col("description"))).distinct())
     right = paid.join(open_theirs.select("feed_account").distinct(), "feed_account").select(*one, word(F.concat_ws(" ", "merchant_name", "name"))).distinct()
     right = cut_lineage(right.select("*", blocks).join(open_theirs, "feed_account"))
     # How many lines each payment would meet, from counts alone; then the rarest n - t + k of each feed account.
@@ -263,7 +263,7 @@ def numbered(rows: DataFrame, of: DataFrame, key: str, member: str) -> DataFrame
     """(key, member, rank): the members of each kind numbered from 1. Kinds of several are numbered within hash
     buckets, and the buckets' counts added up, so that no task orders a kind."""
     n = f"n_{key[0]}"
-    several = rows.select(key, member).join(of.where(F.col(n) > 1).select(key), key).withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
+    several = spread(rows.select(member, key), of.where(F.col(n) > 1).select(key), key).withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)))
     before = several.groupBy(key, "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy(key).orderBy("salt")) - F.col("count")).drop("count")
     inside = several.withColumn("rank", F.row_number().over(Window.partitionBy(key, "salt").orderBy(member)))
     return of.where(F.col(n) == 1).select(key, member, F.lit(1).cast("bigint").alias("rank")).unionByName(inside.join(before, [key, "salt"]).select(key, member, (F.col("rank") + F.col("before")).alias("rank")))
@@ -392,12 +392,15 @@ def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts:
     payments, ids = feed_payments(feed)
     common = common_words(ledger, payments)
     linked = cut_lineage(link_accounts(accounts, feed_accounts, ledger, payments, common, rules))
-    theirs = payments.withColumnRenamed("account_id", "feed_account").join(linked, "feed_account").drop("feed_account")
+    theirs = spread(payments.withColumnRenamed("account_id", "feed_account"), linked, "feed_account", id_="payment").drop("feed_account")
     a, b = features(own_lines(rows, ledger, linked), theirs, common, rules)
     of_a, of_b = kinds(a, "l_key", "class"), kinds(b, "p_key", "payment")
     took = matched(cut_lineage(vote(candidates(of_a, of_b, rules), of_a, of_b)), rules.confidence)
     l_rank, p_rank = numbered(a, of_a, "l_key", "class"), numbered(b, of_b, "p_key", "payment").withColumnRenamed("rank", "p_rank")
     mine = took.join(l_rank, "l_key").where((F.col("rank") > F.col("l_from")) & (F.col("rank") <= F.col("l_from") + F.col("took"))).withColumn("p_rank", F.col("rank") - F.col("l_from") + F.col("p_from"))
     pairs = mine.join(p_rank, ["p_key", "p_rank"]).select("class", "payment", "confidence")
-    out = pairs.join(rows.select("class", "id"), "class").join(ids, "payment")
+    # Copies of a line may be many: hot classes are few enough to broadcast, and their rows meet the pair by class and salt.
+    heavy = F.broadcast(hot_classes(rows).select("class", F.lit(True).alias("hot")))
+    marked = lambda df: df.join(heavy, "class", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    out = with_lines(marked(rows.select("class", "id")), marked(pairs)).join(ids, "payment")
     return out.select(F.col("id").alias("ledger_id"), F.col("transaction_id").alias("plaid_transaction_id"), "confidence")
