@@ -57,6 +57,29 @@ def feed_rows(raw: DataFrame, column: str = "value") -> DataFrame:
     return x.select("*", F.col("date").try_cast("date").alias("day"), "personal_finance_category.primary", "personal_finance_category.detailed", "location.city", "location.region").drop("date", "personal_finance_category", "location").withColumnRenamed("day", "date")
 
 
+def account_rows(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Feed accounts from JSON lines, with their balances; a missing currency is USD."""
+    schema = "account_id string, item_id string, name string, official_name string, type string, subtype string, mask string, balances struct<available:double,current:double,limit:double,iso_currency_code:string>"
+    x = raw.select(F.from_json(column, schema).alias("t")).select("t.*").where("account_id is not null")
+    balances = [F.col(f"balances.{c}").alias(n) for c, n in (("available", "balance_available"), ("current", "balance_current"), ("limit", "balance_limit"))]
+    return x.select("account_id", "item_id", "name", "official_name", "type", "subtype", "mask", *balances, F.coalesce("balances.iso_currency_code", F.lit("USD")).alias("iso_currency_code"))
+
+
+def holding_rows(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Holdings from JSON lines as holding_gains takes them."""
+    schema = "account_id string, security_id string, quantity double, institution_value double, institution_price double, cost_basis double, iso_currency_code string"
+    x = raw.select(F.from_json(column, schema).alias("t")).select("t.*").where("account_id is not null and security_id is not null")
+    return x.select("account_id", "security_id", "quantity", F.coalesce("institution_value", F.col("quantity") * F.col("institution_price")).alias("value"), "cost_basis", "iso_currency_code")
+
+
+def investment_rows(raw: DataFrame, first: Column | None = None, last: Column | None = None, column: str = "value") -> DataFrame:
+    """Investment transactions from JSON lines, those of a closed range of days if one is given."""
+    schema = "investment_transaction_id string, account_id string, security_id string, date string, name string, quantity double, amount double, price double, fees double, type string, subtype string, iso_currency_code string"
+    x = raw.select(F.from_json(column, schema).alias("t")).select("t.*").where("investment_transaction_id is not null").withColumn("date", F.col("date").try_cast("date"))
+    x = x.where(F.col("date") >= first) if first is not None else x
+    return x.where(F.col("date") <= last) if last is not None else x
+
+
 def earliest_days(feed: DataFrame) -> DataFrame:
     """(account_id, first_day): how far back each feed account reaches."""
     return feed.groupBy("account_id").agg(F.min("date").alias("first_day"))

@@ -30,6 +30,22 @@ def statement_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, name string, length bigint").withColumn("skipped", reason)
 
 
+def folder_problem(spark: SparkSession, folder: str) -> str | None:
+    """Why a folder cannot be scanned: missing, no folder, or not readable; None if it can."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return "missing"
+    if not fs.getFileStatus(path).isDirectory():
+        return "no folder"
+    try:
+        fs.access(path, jvm.org.apache.hadoop.fs.permission.FsAction.READ_EXECUTE)
+    except Exception:  # noqa: BLE001  the file system says no in its own way
+        return "not readable"
+    return None
+
+
 def text_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(file, page, line_index, line) of extracted text files, pages set apart by a form feed."""
     files = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
@@ -54,6 +70,12 @@ def page_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file", "page").agg(F.array_join(ordered, "\n").alias("text"))
 
 
+def document_text(lines: DataFrame) -> DataFrame:
+    """(file, pages, text): each file's pages one after the other, set apart by a line break; a file is bounded by its size."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
+    return page_text(lines).groupBy("file").agg(F.max("page").alias("pages"), F.array_join(ordered, "\n").alias("text"))
+
+
 # ---- tokens with positions ----
 
 TOKEN_ROWS = "file string, page int, row int, y double, text string, items array<struct<str:string,x:double,width:double>>"

@@ -1,5 +1,6 @@
 from ledgerloom.functions.scalars import month_number, statement_year
-from ledgerloom.sources import parsers
+from ledgerloom.operators import positions
+from ledgerloom.sources import files, parsers
 from ledgerloom.streaming import progress
 from pyspark.sql import functions as F
 from test_statement_files import FEB, lines
@@ -44,3 +45,22 @@ def test_syncs_are_watched_and_stopped(spark, tmp_path):
 def test_month_and_year(spark):
     r = spark.createDataFrame([("January", "2024-02-28"), ("dec", None), ("x", None)], "m string, d string").select(month_number(F.col("m")).alias("m"), statement_year(F.col("d").cast("date")).alias("y")).collect()
     assert [tuple(x) for x in r] == [(1, 2024), (12, None), (None, None)]
+
+
+def test_folders_and_whole_texts(spark, tmp_path):
+    (tmp_path / "f").write_text("x")
+    assert [files.folder_problem(spark, str(tmp_path / x)) for x in ("", "f", "none")] == [None, "no folder", "missing"]
+    df = spark.createDataFrame([("a", 2, 0, "c"), ("a", 1, 1, "b"), ("a", 1, 0, "a"), ("e", 1, 0, "")], "file string, page int, line_index int, line string")
+    assert {r.file: (r.pages, r.text) for r in files.document_text(df).collect()} == {"a": (2, "a\nb\nc"), "e": (1, "")}
+
+
+def test_feed_documents(spark):
+    raw = lambda *x: spark.createDataFrame([(t,) for t in x], "value string")
+    a = positions.account_rows(raw('{"account_id": "a", "type": "credit", "balances": {"current": 5.5}}', "{", '{"name": "none"}')).collect()
+    assert [(r.account_id, r.balance_current, r.balance_limit, r.iso_currency_code) for r in a] == [("a", 5.5, None, "USD")]
+    h = positions.holding_rows(raw('{"account_id": "a", "security_id": "s", "quantity": 2, "institution_price": 3}', '{"account_id": "a"}')).collect()
+    assert [(r.value, r.cost_basis) for r in h] == [(6.0, None)]
+    rows = raw(*[f'{{"investment_transaction_id": "{i}", "date": "2024-01-0{i}", "amount": {i}}}' for i in range(1, 5)], '{"investment_transaction_id": "x", "date": "no"}')
+    day = lambda d: F.lit(d).cast("date")
+    assert positions.investment_rows(rows).count() == 5
+    assert sorted(r.amount for r in positions.investment_rows(rows, day("2024-01-02"), day("2024-01-03")).collect()) == [2.0, 3.0]
