@@ -140,11 +140,15 @@ def ledger_rows(ledger: DataFrame) -> DataFrame:
     return classed(ledger, "id", ledger_cell(), "description", carry).where("account_id is not null and date is not null and cents is not null")
 
 
-def own_lines(rows: DataFrame, ledger: DataFrame, linked: DataFrame) -> DataFrame:
-    """(class, account_id, date, cents, credit, description) of each line of the linked accounts, as its least id has it."""
-    mine = spread(rows, linked.select("account_id").distinct(), "account_id", "left_semi")
-    least = mine.groupBy("class").agg(F.min("id").alias("id"))
-    return mine.join(least, ["class", "id"]).join(ledger.select("id", "description"), "id").drop("id")
+def of_linked(ledger: DataFrame, linked: DataFrame) -> DataFrame:
+    """The ledger's rows of linked accounts, with the columns that matching needs."""
+    return spread(ledger.select("id", "account_id", "date", "amount", "direction", "description"), linked.select("account_id").distinct(), "account_id", "left_semi")
+
+
+def own_lines(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(class, account_id, date, cents, credit, description) of each line, as its least id has it."""
+    least = rows.groupBy("class").agg(F.min("id").alias("id"))
+    return rows.join(least, ["class", "id"]).join(ledger.select("id", "description"), "id").drop("id")
 
 
 def feed_payments(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -388,12 +392,14 @@ def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts:
 
     Empty tables, payments without text, ties and repeated rows are all allowed; extra columns are ignored.
     """
-    rows = ledger_rows(ledger)
     payments, ids = feed_payments(feed)
     common = common_words(ledger, payments)
     linked = cut_lineage(link_accounts(accounts, feed_accounts, ledger, payments, common, rules))
+    # Copies stand in one account, so those of other accounts need not be told apart.
+    mine = cut_lineage(of_linked(ledger, linked))
+    rows = ledger_rows(mine)
     theirs = spread(payments.withColumnRenamed("account_id", "feed_account"), linked, "feed_account", id_="payment").drop("feed_account")
-    a, b = features(own_lines(rows, ledger, linked), theirs, common, rules)
+    a, b = features(own_lines(rows, mine), theirs, common, rules)
     of_a, of_b = kinds(a, "l_key", "class"), kinds(b, "p_key", "payment")
     took = matched(cut_lineage(vote(candidates(of_a, of_b, rules), of_a, of_b)), rules.confidence)
     l_rank, p_rank = numbered(a, of_a, "l_key", "class"), numbered(b, of_b, "p_key", "payment").withColumnRenamed("rank", "p_rank")

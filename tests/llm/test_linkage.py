@@ -100,7 +100,7 @@ def test_equal_fares_grow_linearly_and_each_is_taken_once(spark, planted):
         ledger, feed = fares(n)
         t = [spark.createDataFrame(r, s) for r, s in ((ledger, LEDGER), (feed, FEED), (accounts, ACCOUNTS))]
         payments, _ = feed_payments(t[1])
-        a, b = features(own_lines(ledger_rows(t[0]), t[0], t[2].selectExpr("id as account_id")), payments.replace("FA", "A", "account_id"))
+        a, b = features(own_lines(ledger_rows(t[0]), t[0]), payments.replace("FA", "A", "account_id"))
         assert a.count() == b.count() == n
         seen[n] = candidates(kinds(a, "l_key", "class"), kinds(b, "p_key", "payment")).count()
     assert seen[300] == seen[600] <= 9  # three days on either side
