@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from ledgerloom.session import cut_lineage
 DAYS, AMOUNT_SHARE, LIKENESS = 3, 0.01, 0.6
 ALIKE = 0.9
 FLOOR = 0.5
+#: An account of more edges than this is settled by rounds instead of in one pass; the result is the same.
+EDGES_A_TASK = 200_000
 #: Rounds of assignment in one job before it is seen whether any edge was lost.
 ROUNDS_A_JOB = 4
 # Points of each signal.
@@ -91,12 +94,44 @@ def scored(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = A
         F.when(~alike, note("Merchant", likely, F.col("l_merchant"), F.col("r_merchant"))),
     ))
     out = x.withColumn("confidence", confidence).where(F.col("confidence") >= FLOOR)
-    return out.select("left_id", "right_id", "l_date", "r_date", "confidence", kind.alias("match_type"), notes.alias("differences"))
+    return out.select("account", "left_id", "right_id", "l_date", "r_date", "confidence", kind.alias("match_type"), notes.alias("differences"))
 
 
-def assign(edges: DataFrame) -> DataFrame:
+def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
+    """One account's left rows in their order, each with the best right row still free."""
+    edges = edges.sort_values(["confidence", "r_date", "right_id"], ascending=[False, True, True], na_position="first", kind="stable").sort_values(["l_date", "left_id"], na_position="first", kind="stable")
+    used: set[str] = set()
+    chosen, last = [], None
+    for left, right in zip(edges["left_id"], edges["right_id"]):
+        if left != last and right not in used:
+            used.add(right)
+            chosen.append((left, right))
+            last = left
+    return pd.DataFrame(chosen, columns=["left_id", "right_id"])
+
+
+def assign(edges: DataFrame, most: int = EDGES_A_TASK) -> DataFrame:
     """One right row at most for each left row: left rows choose in order of date and id, each the best still free.
 
+    edges also has account. No edge leads from one account to another, so an account of at most `most`
+    edges is settled in one pass by itself; larger ones take rounds that gather nothing, with the same
+    result.
+    """
+    edges = cut_lineage(edges)
+    large = edges.groupBy("account").count().where(F.col("count") > most).select("account")
+    large = cut_lineage(large)
+    kinds = ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in ("left_id", "right_id"))
+    few = edges.select("account", "left_id", "right_id", "confidence", "l_date", "r_date").join(large, "account", "left_anti")
+    chosen = few.groupBy("account").applyInPandas(lambda x: _greedy(x), kinds)
+    out = edges.join(chosen, ["left_id", "right_id"], "left_semi")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_by_rounds(edges.join(large, "account", "left_semi")))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """assign() of accounts of any size.
+
     Since all right rows prefer left rows in the same order, this is deferred acceptance: each left row
     asks for its best remaining edge, each right row keeps the first of those that ask, the others lose
     that edge and ask again, until no edge is lost. Every step is a pair of windows over single rows'
@@ -106,7 +141,6 @@ def assign(edges: DataFrame) -> DataFrame:
     asks = Window.partitionBy("left_id").orderBy(F.desc("confidence"), "r_date", "right_id")
     keeps = Window.partitionBy("right_id", F.col("n") == 1).orderBy("l_date", "left_id")
     lost = (F.col("n") == 1) & (F.col("m") > 1)
-    edges = cut_lineage(edges)
     while True:
         for _ in range(ROUNDS_A_JOB):
             edges = edges.select(cols).withColumn("n", F.row_number().over(asks)).withColumn("m", F.row_number().over(keeps)).where(~lost)

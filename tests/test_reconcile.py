@@ -101,6 +101,18 @@ def test_one_for_one_among_many_equals(spark):
     assert len(got) == 20 and {v[0] for v in got.values()} == {f"r{i:02}" for i in range(20)} and set(got) == {f"l{i:02}" for i in range(20)}
 
 
+def test_passes_and_rounds_give_the_same(spark):
+    rnd = random.Random(9)
+    edges = {(f"l{rnd.randrange(40):02}", f"r{rnd.randrange(40):02}") for _ in range(240)}
+    rows = [("a", l, r, round(rnd.choice([0.5, 0.6, 0.7, 0.9]), 1), D0 + timedelta(int(l[1:]) % 7), D0 + timedelta(int(r[1:]) % 5)) for l, r in sorted(edges)]  # noqa: E741
+    # A chain: every left row would rather have what the one before it takes.
+    rows += [("b", f"c{i:03}", f"d{j:03}", 0.9 - 0.1 * (j - i + 1), D0, D0) for i in range(200) for j in (i - 1, i) if j >= 0]
+    df = spark.createDataFrame(rows, "account string, left_id string, right_id string, confidence double, l_date date, r_date date")
+    got = [sorted((r.left_id, r.right_id) for r in rc.assign(df, most).collect()) for most in (10**6, 300, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 200
+    assert rc.assign(df.limit(0)).count() == 0
+
+
 def test_nulls_and_empty(spark):
     hole = ("n", "a", None, None, None, None, None, None, None)
     assert run(spark, [hole, left("1")], [right("x"), ("m", "a", None, None, None, None, None, None)]) == {"1": ("x", "exact", 1.0)}
