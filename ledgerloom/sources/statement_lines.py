@@ -42,6 +42,7 @@ SECTIONS = {
         ("interest", r"interest\s+charged"),
     ),
 }
+# Sections of outflows by kind, and what a statement's head prints.
 NEGATIVE = {"checking": ("withdrawals", "checks", "fees"), "savings": ("withdrawals", "fees"), "credit": ("payments",)}
 _DAY = r"[A-Za-z]+\s+\d{1,2},?\s+\d{4}"
 FIELDS = {
@@ -71,7 +72,7 @@ AMOUNT = r"-?[0-9,]+\.\d{2}"
 CHECK_ROW = rf"^(\d{{2}}/\d{{2}}/\d{{2}})\s*(\d{{1,6}})({AMOUNT})$"
 ROWS = (rf"^(\d{{1,2}}/\d{{1,2}})\s+(.+?)\s+({AMOUNT})$", rf"^(\d{{1,2}}/\d{{1,2}}/\d{{2,4}})\s+(.+?)\s+({AMOUNT})$", rf"^(\d{{2}}/\d{{2}}/\d{{2}})(.+?)({AMOUNT})$")
 MANY_CHECKS = rf"(\d{{2}}/\d{{2}}/\d{{2}})\s+(\d{{1,6}})\s+({AMOUNT})"
-#: Numbers that run into an amount: a ten-digit confirmation, a trace of 17 to 25 digits before at most four.
+# Numbers that run into an amount: a ten-digit confirmation, a trace of 17 to 25 digits before at most four.
 CONFIRMATION = r"(?i)(Confirmation#\s*\d{10})(\d*,?\d*\.\d{2})$"
 TRACE = r"(\s\d{19,23})(\d{1,4}\.\d{2})$"
 PERSON_CODE = r"(?i)^(.*Zelle.*Conf#\s*)(\S+)$"
