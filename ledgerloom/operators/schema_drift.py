@@ -256,18 +256,32 @@ def consistent_rows(df: DataFrame, id_: str, document: str) -> DataFrame:
     return typed.select("id", "path", "type", "position", pointed.alias("value"), *own)
 
 
+def column_names(paths: list[str], id_: str) -> list[str]:
+    """A name for each path; as Spark takes names that differ in case alone for one, the second such path is named with (2), and so on."""
+    taken, names = {id_.lower()}, []
+    for path in paths:
+        name, n = path, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{path} ({n})"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
 def wide_table(df: DataFrame, id_: str, document: str) -> DataFrame:
     """(id, a column for each path): all documents as one table with a typed column for each field.
 
     A path with [] is an array of its type, in the order of the elements; other paths are values of their
     type. Fields that a document lacks are null. The union schema's paths become the table's columns, so
-    it is collected: as many rows as the table has columns.
+    it is collected: as many rows as the table has columns. They are named as column_names() says.
     """
     docs = typed_leaves(df, id_, document)
     columns = sorted(schema_of(docs).collect(), key=lambda r: r["path"])
     said = docs.select("id", F.map_from_entries(F.transform("leaves", lambda x: F.struct(x["path"], x["said"]))).alias("m"))
     value = lambda r: F.transform(F.col("m")[r["path"]], lambda v: cast(v, r["type"]))
-    return said.select(F.col("id").alias(id_), *[(value(r) if "[]" in r["path"] else F.get(value(r), F.lit(0))).alias(r["path"]) for r in columns])
+    names = column_names([r["path"] for r in columns], id_)
+    return said.select(F.col("id").alias(id_), *[(value(r) if "[]" in r["path"] else F.get(value(r), F.lit(0))).alias(name) for r, name in zip(columns, names)])
 
 
 def with_previous(df: DataFrame, id_: str, group: str, at: str) -> DataFrame:

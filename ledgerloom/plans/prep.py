@@ -62,7 +62,7 @@ def p3_table(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
     """All snapshots as one table in the union schema, a row for each snapshot and a typed column for each field."""
-    return schema_drift.wide_table(_snapshots(spark, folder), "id", "output_snapshot").withColumnRenamed("id", "run_id")
+    return schema_drift.wide_table(_snapshots(spark, folder).withColumnRenamed("id", "run_id"), "run_id", "output_snapshot")
 
 
 @query("""

@@ -106,6 +106,14 @@ def test_wide_table_is_typed(spark):
     assert wide_table(df.limit(0), "id", "doc").columns == ["id"]
 
 
+def test_wide_table_of_names_that_differ_in_case(spark, tmp_path):
+    df = table(spark, [{"l": [{"subCategory": "a"}], "ID": 7}, {"l": [{"subcategory": "b"}], "Id": True}])
+    wide_table(df, "id", "doc").write.parquet(f"{tmp_path}/wide")
+    rows = spark.read.parquet(f"{tmp_path}/wide")
+    assert rows.columns == ["id", "ID (2)", "Id (3)", "l[].subCategory", "l[].subcategory (2)"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("r0", 7, None, ["a"], None), ("r1", None, True, None, ["b"])]
+
+
 def test_lattice_is_one():
     kinds = ["null", "boolean", "integer", "number", "real", "date", "string"]
     for a in kinds:
