@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,15 +114,48 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
-def similarity_from(a: str, b: str, least: float) -> Column:
-    """The similarity of two columns that are trimmed and in lower case already, 0 where it is under `least`.
+def similarity_from(a: str, b: str, least: float | str, measured: bool = False) -> Column:
+    """The similarity of two columns that are trimmed and in lower case already, 0 where it is under `least`, a number or a column's name.
 
-    The edit distance stops as soon as it is too large.
+    The edit distance stops as soon as it is too large. measured: their lengths and letters are at hand,
+    as can_be_similar() wants them, and tell most texts apart without it.
     """
-    longest = F.greatest(F.length(a), F.length(b))
-    distance = F.expr(f"levenshtein(`{a}`, `{b}`, cast(floor(greatest(length(`{a}`), length(`{b}`)) * {1 - least!r} + 1e-9) as int))")
-    close = F.least(F.length(a), F.length(b)) >= longest * (least - 1e-9)
-    return F.when(F.col(a) == F.col(b), 1.0).when((F.length(a) > 0) & (F.length(b) > 0) & close, F.when(distance >= 0, 1 - distance / longest).otherwise(0.0)).otherwise(0.0)
+    edits = f"(1 - `{least}`)" if isinstance(least, str) else f"{1 - least!r}"
+    length = (lambda c: f"`{c}_length`") if measured else (lambda c: f"length(`{c}`)")
+    longest = F.expr(f"greatest({length(a)}, {length(b)})")
+    distance = F.expr(f"levenshtein(`{a}`, `{b}`, cast(floor(greatest({length(a)}, {length(b)}) * {edits} + 1e-9) as int))")
+    close = can_be_similar(a, b, F.expr(edits)) if measured else F.expr(f"abs({length(a)} - {length(b)}) <= greatest({length(a)}, {length(b)}) * {edits} + 1e-9")
+    # Too large a distance comes as -1, which the remainder makes larger than any text is.
+    return F.when(F.col(a) == F.col(b), 1.0).when(close, F.greatest(1 - F.pmod(distance, F.lit(2**31 - 1)) / longest, F.lit(0.0))).otherwise(0.0)
+
+
+#: Characters that letters() counts, and how far; others count for nothing. They fill 63 bits.
+COUNTED = [*[(c, 3 if c in "ae" else 2) for c in "abcdefghijklmnopqrstuvwxyz"], (" ", 3), ("0123456789", 6)]
+
+
+def letters(texts: pa.Array) -> pa.Array:
+    """How often each text has each of COUNTED, a bit for each time."""
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    place = np.full(256, len(COUNTED))
+    for i, (chars, _) in enumerate(COUNTED):
+        place[list(chars.encode())] = i
+    at = place[np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]]
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
+    counts = np.bincount(row * (len(COUNTED) + 1) + at, minlength=len(texts) * (len(COUNTED) + 1)).reshape(len(texts), -1)
+    out, bit = np.zeros(len(texts), np.int64), 0
+    for i, (_, most) in enumerate(COUNTED):
+        out |= ((np.int64(1) << np.minimum(counts[:, i], most)) - 1) << bit
+        bit += most
+    return pa.array(out)
+
+
+def can_be_similar(a: str, b: str, edits: Column) -> Column:
+    """False only where two columns differ by more than `edits` times the longer length; beside them are a_length, a_letters and so on."""
+    x, y, p, q = (F.col(f"{c}_{k}") for k in ("length", "letters") for c in (a, b))
+    most = F.greatest(x, y) * edits + 1e-9
+    return F.greatest(F.abs(x - y), F.bit_count(p.bitwiseAND(F.bitwise_not(q))), F.bit_count(q.bitwiseAND(F.bitwise_not(p)))) <= most
 
 
 def csv_field(c: Column, delimiter: str = ",") -> Column:

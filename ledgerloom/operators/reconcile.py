@@ -10,20 +10,23 @@ date, amount, name, merchant_name. Amounts are compared as given, the feed's by
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerloom.functions.scalars import similarity_from
+from ledgerloom.functions.scalars import can_be_similar, letters, similarity_from
 from ledgerloom.session import cut_lineage
 
 DAYS, AMOUNT_SHARE, LIKENESS = 3, 0.01, 0.6
 ALIKE = 0.9
 FLOOR = 0.5
-#: An account of more edges than this is settled by rounds instead of in one pass; the result is the same.
-EDGES_A_TASK = 200_000
+#: An account of more right rows with edges than this is settled by rounds instead of in one pass, which remembers them; the result is the same.
+RIGHT_ROWS_A_TASK = 1_000_000
 #: Rounds of assignment in one job before it is seen whether any edge was lost.
 ROUNDS_A_JOB = 4
 # Points of each signal.
@@ -42,11 +45,33 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(F.col("id").alias(f"{side}_id"), "account", F.col("date").alias(f"{x}_date"), (amount if side == "left" else F.abs(amount)).alias(f"{x}_amount"), who.alias(f"{x}_merchant"), tidy(who).alias(f"{x}1"), tidy(F.col(text)).alias(f"{x}2"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, days: int, share: float) -> DataFrame:
+def _measured(side: DataFrame, x: str) -> DataFrame:
+    """A side with the length and the letters of its texts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *[letters(b.column(f"{x}{n}")) for n in (1, 2)]], [*b.schema.names, *[f"{x}{n}_letters" for n in (1, 2)]])
+
+    side = side.withColumns({f"{x}{n}_length": F.length(f"{x}{n}") for n in (1, 2)})
+    return side.mapInArrow(add, StructType([*side.schema.fields, *[StructField(f"{x}{n}_letters", LongType()) for n in (1, 2)]]))
+
+
+def _like(least: str | float, measured: bool = True) -> Column:
+    """The greatest similarity of a pair's texts, 0 where it is under `least`."""
+    return F.greatest(*[similarity_from(p, q, least, measured) for p in ("l1", "l2") for q in ("r1", "r2")])
+
+
+def _can_be_like(edits: Column) -> Column:
+    """False only if no two texts of a pair differ by at most `edits` of their length; lengths and letters tell it without comparing."""
+    return functools.reduce(Column.__or__, [can_be_similar(p, q, edits) for p in ("l1", "l2") for q in ("r1", "r2")])
+
+
+def _pairs(left: DataFrame, right: DataFrame, days: int, share: float, by_day_too: Column | None = None, by_amount_too: Column | None = None) -> DataFrame:
     """Pairs of an account and a day within `days`, and those of nearly the same amount at other days; each once.
 
     The two joins have no pair in common, so none has to be told apart, and their rows carry all that
-    comparing needs, so pairs are scored where they meet and only those that count go on.
+    comparing needs, so pairs are scored where they meet and only those that count go on. by_day_too and
+    by_amount_too: what else must hold of the pairs of either join.
     """
     # Days: blocks as long as the tolerance spans, met by one or two keys of the other side.
     block = 2 * days + 1
@@ -55,13 +80,14 @@ def _pairs(left: DataFrame, right: DataFrame, days: int, share: float) -> DataFr
     al = left.withColumn("block", F.floor(number("l_date") / block))
     bl = right.withColumn("block", F.explode(F.sequence(F.floor((number("r_date") - days) / block), F.floor((number("r_date") + days) / block))))
     # Merge joins: a broadcast would leave the comparing to as few tasks as the left side's files.
-    by_day = al.join(bl.hint("merge"), ["account", "block"]).where(close).drop("block")
-    # Amounts: logarithmic classes as wide as the tolerance; a pair within it lies in the same or the next one.
-    width = math.log1p(share) if share > 0 else 1e-9
+    by_day = al.join(bl.hint("merge"), ["account", "block"]).where(close if by_day_too is None else close & by_day_too).drop("block")
+    # Amounts: logarithmic classes, a little wider than the tolerance, so that a pair within it lies in the same or the next one.
+    width = math.log((2 + share) / (2 - share)) * (1 + 1e-6) if share > 0 else 1e-9
     size = lambda c: F.when(c == 0, F.lit(-(2**40))).otherwise(F.floor(F.log(F.abs(c)) / width))
     ac = left.withColumn("size", size(F.col("l_amount")))
-    bc = right.withColumn("size", F.explode(F.when(F.col("r_amount") == 0, F.array(F.lit(-(2**40)))).otherwise(F.sequence(size(F.col("r_amount")) - 2, size(F.col("r_amount")) + 2))))
-    by_amount = ac.join(bc.hint("merge"), ["account", "size"]).where(_near(F.col("l_amount"), F.col("r_amount"), share) & ~close).drop("size")
+    bc = right.withColumn("size", F.explode(F.when(F.col("r_amount") == 0, F.array(F.lit(-(2**40)))).otherwise(F.sequence(size(F.col("r_amount")) - 1, size(F.col("r_amount")) + 1))))
+    near = _near(F.col("l_amount"), F.col("r_amount"), share) & ~close
+    by_amount = ac.join(bc.hint("merge"), ["account", "size"]).where(near if by_amount_too is None else near & by_amount_too).drop("size")
     return by_day.unionByName(by_amount)
 
 
@@ -70,22 +96,44 @@ def candidates(left: DataFrame, right: DataFrame, days: int = DAYS, share: float
     return _pairs(_side(left, "left"), _side(right, "right"), days, share).select("left_id", "right_id")
 
 
-def scored(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
-    """Candidates with confidence, match_type and differences; those under the floor are left out.
+def _scored(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float) -> DataFrame:
+    """Edges: candidates of two measured sides with confidence and match_type; those under the floor are left out.
 
     Where the amounts differ, two signals are left and both must be good, so names are compared only to
-    the likeness that can still reach the floor.
+    the likeness that can still reach the floor, and not at all where their letters rule it out.
     """
-    x = _pairs(_side(left, "left"), _side(right, "right"), days, share)
     same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
     same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
-    from_ = lambda least: F.greatest(*[similarity_from(p, q, least) for p in ("l1", "l2") for q in ("r1", "r2")])
+    # Short: the JVM compiles no method of more than 8000 bytes, and pairs run through these by the million.
+    x = _pairs(a, b, days, share, near_amount | _can_be_like(F.when(same_day, 1 - likeness).otherwise(1 - ALIKE)), _can_be_like(F.lit(1 - likeness)))
+    points = lambda k, full, part: F.when(full, POINTS[k][0]).when(part, POINTS[k][1]).otherwise(0.0)
+    texts = [f"{t}{k}" for t in ("l1", "l2", "r1", "r2") for k in ("", "_length", "_letters")]
+    least = F.when(near_amount | same_day, likeness).otherwise(ALIKE)
+    x = x.select("account", "left_id", "right_id", "l_date", "r_date", *texts, points("amount", same_amount, near_amount).alias("of_amount"), points("date", same_day, near_day).alias("of_date"), least.alias("least"))
     # Made by a generator, so that no condition on it is pushed down and works it out again for each mention.
-    x = x.withColumn("like", F.explode(F.array(F.when(near_amount | same_day, from_(likeness)).otherwise(from_(ALIKE)))))
+    x = x.withColumn("like", F.explode(F.array(_like("least"))))
+    alike, likely, full = F.col("like") >= ALIKE, F.col("like") >= likeness, {k: F.col(f"of_{k}") == POINTS[k][0] for k in ("amount", "date")}
+    confidence = F.col("of_amount") + F.col("of_date") + points("merchant", alike, likely)
+    near = (F.col("of_amount") > 0) & (F.col("of_date") > 0)
+    kind = F.when(full["amount"] & full["date"] & alike, "exact").when(near & likely, "fuzzy").when(near, "amount_date").otherwise("amount_only")
+    return x.withColumn("confidence", confidence).where(F.col("confidence") >= FLOOR).select("account", "left_id", "right_id", "l_date", "r_date", "confidence", kind.alias("match_type"))
+
+
+def _exact(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The exact ones of _scored()'s edges: they share account, amount and day, so no other pair is looked at."""
+    b = b.withColumnsRenamed({"account": "r_account"})
+    same = (F.col("account") == F.col("r_account")) & (F.col("l_amount") == F.col("r_amount")) & (F.col("l_date") == F.col("r_date"))
+    full = F.lit(POINTS["amount"][0]) + F.lit(POINTS["date"][0]) + F.lit(POINTS["merchant"][0])
+    return a.join(b, same).where(_like(ALIKE, measured=False) >= ALIKE).select("account", "left_id", "right_id", "l_date", "r_date", full.alias("confidence"), F.lit("exact").alias("match_type"))
+
+
+def _noted(found: DataFrame, a: DataFrame, b: DataFrame, days: int, share: float, likeness: float) -> DataFrame:
+    """Matches with what differs between their sides."""
+    x = found.select("left_id", "right_id", "confidence", "match_type").join(a.drop("account"), "left_id").join(b.drop("account"), "right_id")
+    same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
+    same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
+    x = x.withColumn("like", F.explode(F.array(_like(likeness, measured=False))))
     alike, likely = F.col("like") >= ALIKE, F.col("like") >= likeness
-    points = lambda k, full, part: F.when(full, POINTS[k][0]).when(part, POINTS[k][1]).otherwise(0.0)
-    confidence = points("amount", same_amount, near_amount) + points("date", same_day, near_day) + points("merchant", alike, likely)
-    kind = F.when(same_amount & same_day & alike, "exact").when(near_amount & near_day & likely, "fuzzy").when(near_amount & near_day, "amount_date").otherwise("amount_only")
     money = lambda c: F.format_string("%.2f", F.col(c))
     note = lambda word, ok, l, r: F.concat(F.lit(word), F.when(ok, F.lit(": ")).otherwise(F.lit(" mismatch: ")), l, F.lit(" / "), r)  # noqa: E731, E741
     notes = F.array_compact(F.array(
@@ -93,42 +141,54 @@ def scored(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = A
         F.when(~same_day, note("Date", near_day, F.col("l_date").cast("string"), F.col("r_date").cast("string"))),
         F.when(~alike, note("Merchant", likely, F.col("l_merchant"), F.col("r_merchant"))),
     ))
-    out = x.withColumn("confidence", confidence).where(F.col("confidence") >= FLOOR)
-    return out.select("account", "left_id", "right_id", "l_date", "r_date", "confidence", kind.alias("match_type"), notes.alias("differences"))
-
+    return x.select("left_id", "right_id", "confidence", "match_type", notes.alias("differences"))
 
-def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
-    """One account's left rows in their order, each with the best right row still free."""
-    edges = edges.sort_values(["confidence", "r_date", "right_id"], ascending=[False, True, True], na_position="first", kind="stable").sort_values(["l_date", "left_id"], na_position="first", kind="stable")
-    used: set[str] = set()
-    chosen, last = [], None
-    for left, right in zip(edges["left_id"], edges["right_id"]):
-        if left != last and right not in used:
-            used.add(right)
-            chosen.append((left, right))
-            last = left
-    return pd.DataFrame(chosen, columns=["left_id", "right_id"])
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges sorted by account, left row and preference: each left row's best right row still free.
 
-def assign(edges: DataFrame, most: int = EDGES_A_TASK) -> DataFrame:
+    What is remembered is the right rows taken in one account.
+    """
+    account, last, used = None, None, set()
+    for b in batches:
+        chosen = []
+        for i, (of, left, right) in enumerate(zip(*[b.column(c).to_pylist() for c in ("account", "left_id", "right_id")])):
+            if of != account:
+                account, last, used = of, None, set()
+            if left != last and right not in used:
+                used.add(right)
+                chosen.append(i)
+                last = left
+        yield b.take(pa.array(chosen, pa.int64()))
+
+
+def assign(edges: DataFrame, most: int = RIGHT_ROWS_A_TASK) -> DataFrame:
     """One right row at most for each left row: left rows choose in order of date and id, each the best still free.
 
     edges also has account. No edge leads from one account to another, so an account of at most `most`
-    edges is settled in one pass by itself; larger ones take rounds that gather nothing, with the same
-    result.
+    right rows is settled in one pass over its sorted edges; larger ones take rounds that remember
+    nothing, with the same result. Rows without date come last.
     """
     edges = cut_lineage(edges)
-    large = edges.groupBy("account").count().where(F.col("count") > most).select("account")
+    large = edges.select("account", "right_id").distinct().groupBy("account").count().where(F.col("count") > most).select("account")
     large = cut_lineage(large)
-    kinds = ", ".join(f"{c} {dict(edges.dtypes)[c]}" for c in ("left_id", "right_id"))
-    few = edges.select("account", "left_id", "right_id", "confidence", "l_date", "r_date").join(large, "account", "left_anti")
-    chosen = few.groupBy("account").applyInPandas(lambda x: _greedy(x), kinds)
-    out = edges.join(chosen, ["left_id", "right_id"], "left_semi")
-    if large.isEmpty():
+    none = large.isEmpty()
+    few = edges if none else edges.join(large, "account", "left_anti")
+    order = ["account", *_first_left(), *_best_right()]
+    out = few.repartition("account").sortWithinPartitions(*order).mapInArrow(lambda x: _greedy(x), edges.schema)
+    if none:
         return out
     return out.unionByName(_by_rounds(edges.join(large, "account", "left_semi")))
 
 
+def _first_left() -> list[Column]:
+    return [F.asc_nulls_last("l_date"), F.asc("left_id")]
+
+
+def _best_right() -> list[Column]:
+    return [F.desc("confidence"), F.asc_nulls_last("r_date"), F.asc("right_id")]
+
+
 def _by_rounds(edges: DataFrame) -> DataFrame:
     """assign() of accounts of any size.
 
@@ -138,8 +198,8 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
     edges; nothing is gathered by account.
     """
     cols = edges.columns
-    asks = Window.partitionBy("left_id").orderBy(F.desc("confidence"), "r_date", "right_id")
-    keeps = Window.partitionBy("right_id", F.col("n") == 1).orderBy("l_date", "left_id")
+    asks = Window.partitionBy("left_id").orderBy(*_best_right())
+    keeps = Window.partitionBy("right_id", F.col("n") == 1).orderBy(*_first_left())
     lost = (F.col("n") == 1) & (F.col("m") > 1)
     while True:
         for _ in range(ROUNDS_A_JOB):
@@ -152,11 +212,15 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
 
 
 def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
-    """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest."""
-    edges = cut_lineage(scored(left, right, days, share, likeness))
-    exact = assign(edges.where("match_type = 'exact'"))
-    rest = edges.join(exact.select("left_id"), "left_id", "left_anti").join(exact.select("right_id"), "right_id", "left_anti")
-    return exact.unionByName(assign(rest)).select("left_id", "right_id", "confidence", "match_type", "differences")
+    """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest.
+
+    Rows matched exactly are left out before the rest is compared.
+    """
+    a, b = cut_lineage(_measured(_side(left, "left"), "l")), cut_lineage(_measured(_side(right, "right"), "r"))
+    exact = cut_lineage(assign(_exact(a, b)))
+    a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
+    rest = assign(_scored(a_rest, b_rest, days, share, likeness))
+    return _noted(exact.unionByName(rest), a, b, days, share, likeness)
 
 
 def summary(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:

@@ -113,6 +113,26 @@ def test_passes_and_rounds_give_the_same(spark):
     assert rc.assign(df.limit(0)).count() == 0
 
 
+def test_an_account_of_many_edges_takes_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(rc, "_by_rounds", lambda edges: 1 / 0)
+    n = F.col("id")
+    df = spark.range(700 * 300).select(F.lit("a").alias("account"), F.format_string("l%03d", F.floor(n / 300)).alias("left_id"), F.format_string("r%03d", n % 300).alias("right_id"), F.lit(0.5).alias("confidence"), F.lit(D0).alias("l_date"), F.lit(D0).alias("r_date"))
+    assert sorted((r.left_id, r.right_id) for r in rc.assign(df).collect()) == [(f"l{i:03}", f"r{i:03}") for i in range(300)]
+
+
+def test_letters_rule_out_no_similar_texts(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("aabe 17#é") for _ in range(rnd.randrange(14)))
+    texts = [(x := word(), "".join(rnd.choice("ab1 ") if rnd.random() < 0.2 else c for c in x)) for _ in range(400)] + [("", ""), ("a", ""), (None, "a")]
+    from ledgerloom.functions.scalars import letters, similarity_from
+    import pyarrow as pa
+
+    bits = [letters(pa.array([t[i] for t in texts], pa.string())).to_pylist() for i in (0, 1)]
+    df = spark.createDataFrame([(*t, *b) for t, b in zip(texts, zip(*bits))], "p string, q string, p_letters bigint, q_letters bigint").selectExpr("*", "length(p) p_length", "length(q) q_length")
+    for r in df.select("p", "q", similarity_from("p", "q", 0.6, True).alias("fast"), similarity_from("p", "q", 0.6).alias("slow")).collect():
+        assert r.fast == r.slow == (like(r.p, r.q) if r.p is not None and (r.p == r.q or like(r.p, r.q) >= 0.6) else 0.0) or r.p is None or r.p != r.p.strip() or r.q != r.q.strip()
+
+
 def test_nulls_and_empty(spark):
     hole = ("n", "a", None, None, None, None, None, None, None)
     assert run(spark, [hole, left("1")], [right("x"), ("m", "a", None, None, None, None, None, None)]) == {"1": ("x", "exact", 1.0)}
