@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ledgerloom.functions.scalars import can_be_similar, letters, similarity_from
+from ledgerloom.operators.settle import settled
 from ledgerloom.session import cut_lineage
 
 DAYS, AMOUNT_SHARE, LIKENESS = 3, 0.01, 0.6
@@ -27,6 +28,8 @@ ALIKE = 0.9
 FLOOR = 0.5
 #: An account of more right rows with edges than this is settled by rounds instead of in one pass, which remembers them; the result is the same.
 RIGHT_ROWS_A_TASK = 1_000_000
+#: Bytes of an account, texts and 100 for each row, up to which a task holds it whole; pairs of a larger one are made by joins, with the same result.
+BYTES_A_TASK = 150_000_000
 #: Rounds of assignment in one job before it is seen whether any edge was lost.
 ROUNDS_A_JOB = 4
 # Points of each signal.
@@ -211,15 +214,37 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
         edges = edges.where(~lost)
 
 
+def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float, most: int = BYTES_A_TASK) -> DataFrame:
+    """assign() of _scored()'s edges, of which only those are made that can be taken when their left row chooses.
+
+    An account of up to `most` bytes is held by one task; the rows of larger ones are joined and assigned.
+    """
+    one = lambda side, rows, x, k: rows.where("account is not null").select("account", F.lit(k).alias("side"), F.datediff(f"{x}_date", F.lit("1970-01-01").cast("date")).alias("day"), F.col(f"{side}_id").alias("id"), F.col(f"{x}_amount").alias("amount"), F.col(f"{x}1").alias("text1"), F.col(f"{x}2").alias("text2"))
+    rows = one("left", a, "l", 0).unionByName(one("right", b, "r", 1))
+    size = F.lit(100) + F.coalesce(F.length("text1"), F.lit(0)) + F.coalesce(F.length("text2"), F.lit(0))
+    large = cut_lineage(rows.groupBy("account").agg(F.sum(size).alias("size")).where(F.col("size") > most).select("account"))
+    none = large.isEmpty()
+    few = rows if none else rows.join(large, "account", "left_anti")
+    rules = {"days": days, "share": share, "likeness": likeness, "alike": ALIKE, "floor": FLOOR, "points": POINTS}
+    fields = {f.name: f for side in (a, b) for f in side.schema.fields}
+    schema = StructType([*[fields[c] for c in ("account", "left_id", "right_id", "l_date", "r_date")], StructField("confidence", DoubleType()), StructField("match_type", StringType())])
+    names = schema.names
+    out = few.repartition("account").sortWithinPartitions("account", F.asc_nulls_last("day"), "id").mapInArrow(lambda x: settled(x, names, **rules), schema)
+    if none:
+        return out
+    a, b = (_measured(rows.join(large, "account", "left_semi"), x) for rows, x in ((a, "l"), (b, "r")))
+    return out.unionByName(assign(_scored(a, b, days, share, likeness)))
+
+
 def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
     """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest.
 
     Rows matched exactly are left out before the rest is compared.
     """
-    a, b = cut_lineage(_measured(_side(left, "left"), "l")), cut_lineage(_measured(_side(right, "right"), "r"))
+    a, b = cut_lineage(_side(left, "left")), cut_lineage(_side(right, "right"))
     exact = cut_lineage(assign(_exact(a, b)))
     a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
-    rest = assign(_scored(a_rest, b_rest, days, share, likeness))
+    rest = _settled(a_rest, b_rest, days, share, likeness)
     return _noted(exact.unionByName(rest), a, b, days, share, likeness)
 
 
