@@ -130,13 +130,15 @@ def _exact(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, same).where(_like(ALIKE, measured=False) >= ALIKE).select("account", "left_id", "right_id", "l_date", "r_date", full.alias("confidence"), F.lit("exact").alias("match_type"))
 
 
-def _noted(found: DataFrame, a: DataFrame, b: DataFrame, days: int, share: float, likeness: float) -> DataFrame:
-    """Matches with what differs between their sides."""
-    x = found.select("left_id", "right_id", "confidence", "match_type").join(a.drop("account"), "left_id").join(b.drop("account"), "right_id")
+def _noted(found: DataFrame, a: DataFrame, b: DataFrame, days: int, share: float) -> DataFrame:
+    """Matches with what differs between their sides. How alike their texts are is told by the points that amount and date leave of the confidence."""
+    side = lambda rows, k, x: rows.select(f"{k}_id", f"{x}_date", f"{x}_amount", f"{x}_merchant")
+    x = found.select("left_id", "right_id", "confidence", "match_type").join(side(a, "left", "l"), "left_id").join(side(b, "right", "r"), "right_id")
     same_amount, near_amount = F.col("l_amount") == F.col("r_amount"), _near(F.col("l_amount"), F.col("r_amount"), share)
     same_day, near_day = F.col("l_date") == F.col("r_date"), F.abs(F.datediff("l_date", "r_date")) <= days
-    x = x.withColumn("like", F.explode(F.array(_like(likeness, measured=False))))
-    alike, likely = F.col("like") >= ALIKE, F.col("like") >= likeness
+    points = lambda k, full, part: F.when(full, POINTS[k][0]).when(part, POINTS[k][1]).otherwise(0.0)
+    of_texts = F.col("confidence") - points("amount", same_amount, near_amount) - points("date", same_day, near_day)
+    alike, likely = (of_texts > least - 1e-6 for least in POINTS["merchant"])
     money = lambda c: F.format_string("%.2f", F.col(c))
     note = lambda word, ok, l, r: F.concat(F.lit(word), F.when(ok, F.lit(": ")).otherwise(F.lit(" mismatch: ")), l, F.lit(" / "), r)  # noqa: E731, E741
     notes = F.array_compact(F.array(
@@ -214,15 +216,17 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
         edges = edges.where(~lost)
 
 
-def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float, most: int = BYTES_A_TASK) -> DataFrame:
+def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float, most: int = BYTES_A_TASK, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """assign() of _scored()'s edges, of which only those are made that can be taken when their left row chooses.
 
     An account of up to `most` bytes is held by one task; the rows of larger ones are joined and assigned.
+    of: sides that a and b are part of and that are cheaper to measure.
     """
+    of = of or (a, b)
     one = lambda side, rows, x, k: rows.where("account is not null").select("account", F.lit(k).alias("side"), F.datediff(f"{x}_date", F.lit("1970-01-01").cast("date")).alias("day"), F.col(f"{side}_id").alias("id"), F.col(f"{x}_amount").alias("amount"), F.col(f"{x}1").alias("text1"), F.col(f"{x}2").alias("text2"))
     rows = one("left", a, "l", 0).unionByName(one("right", b, "r", 1))
-    size = F.lit(100) + F.coalesce(F.length("text1"), F.lit(0)) + F.coalesce(F.length("text2"), F.lit(0))
-    large = cut_lineage(rows.groupBy("account").agg(F.sum(size).alias("size")).where(F.col("size") > most).select("account"))
+    size = lambda side, x: side.select("account", (F.lit(100) + F.coalesce(F.length(f"{x}1"), F.lit(0)) + F.coalesce(F.length(f"{x}2"), F.lit(0))).alias("size")).groupBy("account").agg(F.sum("size").alias("size"))
+    large = cut_lineage(size(of[0], "l").unionByName(size(of[1], "r")).groupBy("account").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("account"))
     none = large.isEmpty()
     few = rows if none else rows.join(large, "account", "left_anti")
     rules = {"days": days, "share": share, "likeness": likeness, "alike": ALIKE, "floor": FLOOR, "points": POINTS}
@@ -244,8 +248,8 @@ def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float =
     a, b = cut_lineage(_side(left, "left")), cut_lineage(_side(right, "right"))
     exact = cut_lineage(assign(_exact(a, b)))
     a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
-    rest = _settled(a_rest, b_rest, days, share, likeness)
-    return _noted(exact.unionByName(rest), a, b, days, share, likeness)
+    rest = _settled(a_rest, b_rest, days, share, likeness, of=(a, b))
+    return _noted(exact.unionByName(rest), a, b, days, share)
 
 
 def summary(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
