@@ -243,9 +243,10 @@ def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: floa
 def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
     """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest.
 
-    Rows matched exactly are left out before the rest is compared.
+    Rows matched exactly are left out before the rest is compared. Both sides are read several times, so
+    what is costly to make should be cut before.
     """
-    a, b = cut_lineage(_side(left, "left")), cut_lineage(_side(right, "right"))
+    a, b = _side(left, "left"), _side(right, "right")
     exact = cut_lineage(assign(_exact(a, b)))
     a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
     rest = _settled(a_rest, b_rest, days, share, likeness, of=(a, b))

@@ -87,10 +87,9 @@ edges AS MATERIALIZED (SELECT * FROM scored WHERE confidence >= 0.5::DOUBLE),
 found AS MATERIALIZED (SELECT e.left_id, e.right_id, e.confidence, e.match_type, e.differences FROM edges e JOIN (SELECT * FROM exact UNION ALL SELECT * FROM rest) m ON m.left_id = e.left_id AND m.right_id = e.right_id)"""
 
 def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both sides whole, and their matches; only rows of accounts that both have are compared."""
+    """Both sides whole, and their matches."""
     left, right = (cut_lineage(x) for x in sides(spark, folder))
-    both = right.select("account").distinct().join(left.select("account").distinct(), "account", "left_semi")
-    return left, right, cut_lineage(reconcile.matches(left.join(both, "account", "left_semi"), right.join(both, "account", "left_semi")))
+    return left, right, cut_lineage(reconcile.matches(left, right))
 
 
 def _flat(df: DataFrame) -> DataFrame:
