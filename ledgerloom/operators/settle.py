@@ -17,7 +17,7 @@ from ledgerloom.functions.edits import Texts, distances
 from ledgerloom.functions.scalars import letters
 
 #: Accounts are settled together up to so many rows; pairs of a chunk of left rows, unless one row has more.
-ROWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 400_000
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 2_000_000
 #: Of rows without date: no two are near.
 NO_DAY = {0: 2**40, 1: 2**41}
 KINDS = np.array(["exact", "fuzzy", "amount_date", "amount_only"])
@@ -157,7 +157,9 @@ class _Accounts:
                 close = (np.abs(x - y) <= most) & (x >= 0)
                 some, most = some[close], most[close]
                 a, b = self.letters[p[some]], self.letters[q[some]]
-                some = some[np.maximum(np.bitwise_count(a & ~b), np.bitwise_count(b & ~a)) <= most]
+                close = np.maximum(np.bitwise_count(a & ~b), np.bitwise_count(b & ~a)) <= most
+                some, most = some[close], most[close]
+                some = some[self.texts.fewest(p[some], q[some]) <= most]
                 pairs.append(some)
                 keys.append(p[some].astype(np.int64) * total + q[some])
         pairs, (keys, back) = np.concatenate(pairs), np.unique(np.concatenate(keys), return_inverse=True)

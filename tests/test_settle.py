@@ -21,6 +21,27 @@ def test_distances_are_those_of_the_plain_matrix():
     assert distances(Texts(texts), p, q).tolist() == [edit(texts[i], texts[j]) for i, j in zip(p, q)]
 
 
+def test_the_least_distance_is_never_too_great():
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("aab 1é\U0001f600Z") for _ in range(rnd.choice([0, 1, 8, 40]))) for _ in range(60)]
+    p, q = np.array([[rnd.randrange(60) for _ in range(300)] for _ in range(2)])
+    least, true = Texts(texts).fewest(p, q), distances(Texts(texts), p, q)
+    assert (least <= true).all() and (least > 0).sum() > 200 and Texts(["", "abc"]).fewest(np.array([0, 1]), np.array([1, 1])).tolist() == [3, 0]
+
+
+def test_texts_of_other_characters_are_not_compared(monkeypatch):
+    """Characters that letters() doesn't count rule texts out, too."""
+    compared = []
+    monkeypatch.setattr(settle, "distances", lambda texts, p, q: (compared.extend(zip(p.tolist(), q.tolist())), distances(texts, p, q))[1])
+    rows = [("a", k, 0, f"{k}{i}", 5.0, text, text) for k, own in ((0, ("αβγδεζηθικ", "жзийклмно")), (1, ("אבגדהוזחטי", "жзийклмнα"))) for i, text in enumerate(own)]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["account", "side", "day", "id", "amount", "text1", "text2"])
+    rules = {"days": rc.DAYS, "share": rc.AMOUNT_SHARE, "likeness": rc.LIKENESS, "alike": rc.ALIKE, "floor": rc.FLOOR, "points": rc.POINTS}
+    got = [r for x in settle.settled(iter([batch]), ["account", "left_id", "right_id", "l_date", "r_date", "confidence", "match_type"], **rules) for r in x.to_pylist()]
+    assert [(r["left_id"], r["right_id"], r["match_type"]) for r in got] == [("00", "10", "amount_date"), ("01", "11", "fuzzy")]
+    assert len(compared) == 1
+
+
 def busy(rnd, n, side):
     """Few days, amounts and texts, so that left rows take what others want; some are null."""
     names, amounts = ["Blue Cafe", "Blue Caffe", "Amber Books", "Amber Book Co", "Copper Fuel", "Q", ""], ["5.00", "5.04", "10.00", "0.00", "10.05", None]
