@@ -240,17 +240,19 @@ def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: floa
     return out.unionByName(assign(_scored(a, b, days, share, likeness)))
 
 
-def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float = AMOUNT_SHARE, likeness: float = LIKENESS, noted: bool = True) -> DataFrame:
     """(left_id, right_id, confidence, match_type, differences): exact matches first, then the best of the rest.
 
     Rows matched exactly are left out before the rest is compared. Both sides are read several times, so
-    what is costly to make should be cut before.
+    what is costly to make should be cut before. Without `noted` there are no differences, for which all
+    matches meet the texts of both sides again.
     """
     a, b = _side(left, "left"), _side(right, "right")
     exact = cut_lineage(assign(_exact(a, b)))
     a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
     rest = _settled(a_rest, b_rest, days, share, likeness, of=(a, b))
-    return _noted(exact.unionByName(rest), a, b, days, share)
+    found = exact.unionByName(rest)
+    return _noted(found, a, b, days, share) if noted else found.select("left_id", "right_id", "confidence", "match_type")
 
 
 def summary(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:

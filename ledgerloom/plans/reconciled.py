@@ -86,10 +86,10 @@ edges AS MATERIALIZED (SELECT * FROM scored WHERE confidence >= 0.5::DOUBLE),
 {_TAKE('rest', '(SELECT * FROM edges WHERE left_id NOT IN (SELECT left_id FROM exact) AND right_id NOT IN (SELECT right_id FROM exact))')},
 found AS MATERIALIZED (SELECT e.left_id, e.right_id, e.confidence, e.match_type, e.differences FROM edges e JOIN (SELECT * FROM exact UNION ALL SELECT * FROM rest) m ON m.left_id = e.left_id AND m.right_id = e.right_id)"""
 
-def _matched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both sides whole, and their matches."""
+def _matched(spark: SparkSession, folder: str, noted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides whole, and their matches; noted: with what differs."""
     left, right = (cut_lineage(x) for x in sides(spark, folder))
-    return left, right, cut_lineage(reconcile.matches(left, right))
+    return left, right, cut_lineage(reconcile.matches(left, right, noted=noted))
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def merge_accounts_created(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {MATCHED}, {_CREATED}, c AS (SELECT (SELECT count(*) FROM l) AS total_left, (SELECT count(*) FROM r) AS total_right, (SELECT count(*) FROM found) AS updated, (SELECT count(*) FROM created) AS accounts_created)
 SELECT total_left, total_right, updated, total_right - updated AS added, accounts_created, total_left - updated AS unmatched_left, round(updated / total_left::DOUBLE, 6) AS match_rate FROM c""")
 def merge_stats(spark: SparkSession, folder: str) -> DataFrame:
-    left, right, found = _matched(spark, folder)
+    left, right, found = _matched(spark, folder, noted=False)
     return reconcile.merge_stats(left, right, found, table(spark, folder, "accounts").select(F.col("id").alias("account")))
 
 

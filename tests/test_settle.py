@@ -110,3 +110,12 @@ def test_queries_make_no_pairs_by_joins(spark, tmp_path, monkeypatch, name):
     assert len(rows) == want[name]
     if name in ("reconcile_matches", "match_breakdown", "match_payloads"):
         assert rows[0].match_type == "fuzzy"
+
+
+@pytest.mark.parametrize("name", ["merge_stats"])
+def test_queries_without_differences_note_none(spark, folder, monkeypatch, name):
+    from ledgerloom.plans.registry import QUERIES
+    import ledgerloom.plans.reconciled  # noqa: F401
+
+    monkeypatch.setattr(rc, "_noted", lambda *x: 1 / 0)
+    assert QUERIES[name](spark, folder).count() > 0
