@@ -105,7 +105,7 @@ def reconcile_matches(spark: SparkSession, folder: str) -> DataFrame:
 m AS (SELECT count(*) AS matched, count(*) FILTER (match_type = 'exact') AS exact, count(*) FILTER (match_type = 'fuzzy') AS fuzzy, count(*) FILTER (match_type = 'amount_date') AS amount_date, count(*) FILTER (match_type = 'amount_only') AS amount_only FROM found)
 SELECT m.*, total_left, CAST(amount_left AS DOUBLE) AS amount_left, total_right, CAST(amount_right AS DOUBLE) AS amount_right, matched / total_left::DOUBLE AS match_rate, CAST(amount_left - amount_right AS DOUBLE) AS amount_difference FROM m, a, b""")
 def reconcile_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return reconcile.summary(*_matched(spark, folder))
+    return reconcile.summary(*_matched(spark, folder, noted=False))
 
 
 @query(f"WITH RECURSIVE {MATCHED} SELECT match_type, count(*) AS matches, round(avg(confidence), 6) AS mean_confidence FROM found GROUP BY 1")

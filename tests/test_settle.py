@@ -112,7 +112,7 @@ def test_queries_make_no_pairs_by_joins(spark, tmp_path, monkeypatch, name):
         assert rows[0].match_type == "fuzzy"
 
 
-@pytest.mark.parametrize("name", ["merge_stats", "enrich_warnings", "merge_union"])
+@pytest.mark.parametrize("name", ["merge_stats", "enrich_warnings", "merge_union", "reconcile_summary"])
 def test_queries_without_differences_note_none(spark, folder, monkeypatch, name):
     from ledgerloom.plans.registry import QUERIES
     import ledgerloom.plans.reconciled  # noqa: F401
