@@ -216,17 +216,19 @@ def _by_rounds(edges: DataFrame) -> DataFrame:
         edges = edges.where(~lost)
 
 
-def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float, most: int = BYTES_A_TASK, of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: float, most: int = BYTES_A_TASK, taken: DataFrame | None = None) -> DataFrame:
     """assign() of _scored()'s edges, of which only those are made that can be taken when their left row chooses.
 
     An account of up to `most` bytes is held by one task; the rows of larger ones are joined and assigned.
-    of: sides that a and b are part of and that are cheaper to measure.
+    taken: matches whose rows are left out. The tasks do that, so rows meet them by account, not once more by id.
     """
-    of = of or (a, b)
     one = lambda side, rows, x, k: rows.where("account is not null").select("account", F.lit(k).alias("side"), F.datediff(f"{x}_date", F.lit("1970-01-01").cast("date")).alias("day"), F.col(f"{side}_id").alias("id"), F.col(f"{x}_amount").alias("amount"), F.col(f"{x}1").alias("text1"), F.col(f"{x}2").alias("text2"))
     rows = one("left", a, "l", 0).unionByName(one("right", b, "r", 1))
+    if taken is not None:
+        for k, side in ((2, "left"), (3, "right")):
+            rows = rows.unionByName(taken.select("account", F.lit(k).alias("side"), F.col(f"{side}_id").alias("id")), allowMissingColumns=True)
     size = lambda side, x: side.select("account", (F.lit(100) + F.coalesce(F.length(f"{x}1"), F.lit(0)) + F.coalesce(F.length(f"{x}2"), F.lit(0))).alias("size")).groupBy("account").agg(F.sum("size").alias("size"))
-    large = cut_lineage(size(of[0], "l").unionByName(size(of[1], "r")).groupBy("account").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("account"))
+    large = cut_lineage(size(a, "l").unionByName(size(b, "r")).groupBy("account").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("account"))
     none = large.isEmpty()
     few = rows if none else rows.join(large, "account", "left_anti")
     rules = {"days": days, "share": share, "likeness": likeness, "alike": ALIKE, "floor": FLOOR, "points": POINTS}
@@ -236,6 +238,8 @@ def _settled(a: DataFrame, b: DataFrame, days: int, share: float, likeness: floa
     out = few.repartition("account").sortWithinPartitions("account", F.asc_nulls_last("day"), "id").mapInArrow(lambda x: settled(x, names, **rules), schema)
     if none:
         return out
+    if taken is not None:
+        a, b = (rows.join(taken.select(c), c, "left_anti") for rows, c in ((a, "left_id"), (b, "right_id")))
     a, b = (_measured(rows.join(large, "account", "left_semi"), x) for rows, x in ((a, "l"), (b, "r")))
     return out.unionByName(assign(_scored(a, b, days, share, likeness)))
 
@@ -249,8 +253,7 @@ def matches(left: DataFrame, right: DataFrame, days: int = DAYS, share: float =
     """
     a, b = _side(left, "left"), _side(right, "right")
     exact = cut_lineage(assign(_exact(a, b)))
-    a_rest, b_rest = (x.join(exact.select(c), c, "left_anti") for x, c in ((a, "left_id"), (b, "right_id")))
-    rest = _settled(a_rest, b_rest, days, share, likeness, of=(a, b))
+    rest = _settled(a, b, days, share, likeness, taken=exact)
     found = exact.unionByName(rest)
     return _noted(found, a, b, days, share) if noted else found.select("left_id", "right_id", "confidence", "match_type")
 
@@ -317,7 +320,7 @@ STRATEGIES = ("pdf-primary", "plaid-primary", "union")
 def enriched(left: DataFrame, right: DataFrame, found: DataFrame, replace_merchant: bool = False) -> DataFrame:
     """Left rows with what the matched feed row says; with replace_merchant its name also takes the merchant's place."""
     r = right.select(F.col("id").alias("right_id"), F.coalesce("merchant_name", "name").alias("feed_merchant"))
-    x = left.select("id", "account", "date", "amount", "merchant").join(found.withColumnRenamed("left_id", "id"), "id", "left").join(r, "right_id", "left")
+    x = left.select("id", "account", "date", "amount", "merchant").join(found.withColumnRenamed("left_id", "id").join(r, "right_id", "left"), "id", "left")
     merchant = F.coalesce("feed_merchant", "merchant") if replace_merchant else F.col("merchant")
     return x.select("id", "account", "date", "amount", merchant.alias("merchant"), F.col("right_id").alias("feed_id"), "match_type", "confidence", "differences")
 

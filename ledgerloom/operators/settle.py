@@ -238,9 +238,23 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.arange(len(at)) + np.repeat(begin - (np.cumsum(many) - many), many)
 
 
+def _left_over(table: pa.Table) -> pa.Table:
+    """The rows of sides 0 and 1 but for those that sides 2 and 3 name as taken."""
+    side = np.asarray(table["side"])
+    if not (side > 1).any():
+        return table
+    key = _numbered(pc.binary_join_element_wise(table["account"].cast(pa.string()), table["id"].cast(pa.string()), "\0", null_handling="replace")) * 2 + side % 2
+    return table.filter(pa.array(~np.isin(key, key[side > 1])))
+
+
 def settled(batches: Iterator[pa.RecordBatch], names: list[str], **rules) -> Iterator[pa.RecordBatch]:
-    """Of rows (account, side, day, id, amount, text1, text2) sorted by account, day and id, no account split: the matches, its columns called `names`."""
-    for table in whole_accounts(batches):
+    """Of rows (account, side, day, id, amount, text1, text2) sorted by account, day and id, no account split: the matches, its columns called `names`.
+
+    Sides 2 and 3 have the ids of left and right rows that are taken already.
+    """
+    for table in map(_left_over, whole_accounts(batches)):
+        if not table.num_rows:
+            continue
         x = _Accounts(table, **rules)
         left, right, confidence, kind = x.matches()
         a, b = (x.table.take(pa.array(at[np.array(k, np.int64)])) for at, k in zip(x.at, (left, right)))

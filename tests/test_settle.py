@@ -119,3 +119,14 @@ def test_queries_without_differences_note_none(spark, folder, monkeypatch, name)
 
     monkeypatch.setattr(rc, "_noted", lambda *x: 1 / 0)
     assert QUERIES[name](spark, folder).count() > 0
+
+
+def test_taken_rows_leave_in_the_tasks(spark):
+    """Both ways of settling leave out what is taken, an account that is taken whole too, and rows meet no matches by id."""
+    a = [left("1", amount="5.00"), left("2", amount="5.00"), left("3", account="b")]
+    b = [right("x", 1, "5.00"), right("y", 2, "5.00"), right("z", account="b")]
+    taken = spark.createDataFrame([("a", "1", "x"), ("b", "3", "z")], "account string, left_id string, right_id string")
+    sides = [rc._side(x, k) for x, k in zip(frames(spark, a, b), ("left", "right"))]
+    few, large = (rc._settled(*sides, rc.DAYS, rc.AMOUNT_SHARE, rc.LIKENESS, most, taken) for most in (10**9, 0))
+    assert [[(r.left_id, r.right_id) for r in x.collect()] for x in (few, large)] == [[("2", "y")]] * 2
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
