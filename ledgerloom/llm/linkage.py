@@ -162,7 +162,7 @@ def feed_payments(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = feed.where("transaction_id is not null").groupBy("transaction_id").agg(F.max_by(F.struct(*cols[1:]), "feed_seq").alias("x")).select("transaction_id", "x.*")
     last = cut_lineage(last)
     names = last.where("pending_transaction_id is not null").groupBy(F.col("pending_transaction_id").alias("pending_id")).agg(F.min("transaction_id").alias("posted"))
-    rows = last.join(names, last["transaction_id"] == names["pending_id"], "left").withColumn("payment", F.coalesce("posted", "transaction_id"))
+    rows = cut_lineage(last.join(names, last["transaction_id"] == names["pending_id"], "left").withColumn("payment", F.coalesce("posted", "transaction_id")))
     payments = rows.where("posted is null and account_id is not null and date is not null and amount is not null")
     payments = payments.withColumn("cents", F.abs(F.col("amount") * 100).cast("bigint")).withColumn("credit", F.col("amount") < 0)
     return payments.drop("posted", "pending_id", "transaction_id", "pending_transaction_id", "amount"), rows.select("payment", "transaction_id")
@@ -221,7 +221,7 @@ def link_accounts(accounts: DataFrame, feed_accounts: DataFrame, ledger: DataFra
     right = paid.join(open_theirs.select("feed_account").distinct(), "feed_account").select(*one, word(F.concat_ws(" ", "merchant_name", "name"))).distinct()
     right = cut_lineage(right.select("*", blocks).join(open_theirs, "feed_account"))
     # How many lines each payment would meet, from counts alone; then the rarest n - t + k of each feed account.
-    met = right.join(left.groupBy(*key, "word").agg(F.count("*").alias("lines")), [*key, "word"]).groupBy(*one).agg(F.sum("lines").alias("lines"))
+    met = cut_lineage(right.join(left.groupBy(*key, "word").agg(F.count("*").alias("lines")), [*key, "word"]).groupBy(*one).agg(F.sum("lines").alias("lines")))
     k, t = rules.least_agreeing, F.greatest(F.ceil(F.col("n") * rules.least_share), F.lit(rules.least_agreeing))
     by_lines = met.groupBy("feed_account", "lines").agg(F.count("*").alias("c"))
     so_far = F.sum("c").over(Window.partitionBy("feed_account").orderBy("lines"))
@@ -404,9 +404,14 @@ def link(ledger: DataFrame, accounts: DataFrame, feed: DataFrame, feed_accounts:
     took = matched(cut_lineage(vote(candidates(of_a, of_b, rules), of_a, of_b)), rules.confidence)
     l_rank, p_rank = numbered(a, of_a, "l_key", "class"), numbered(b, of_b, "p_key", "payment").withColumnRenamed("rank", "p_rank")
     mine = took.join(l_rank, "l_key").where((F.col("rank") > F.col("l_from")) & (F.col("rank") <= F.col("l_from") + F.col("took"))).withColumn("p_rank", F.col("rank") - F.col("l_from") + F.col("p_from"))
-    pairs = mine.join(p_rank, ["p_key", "p_rank"]).select("class", "payment", "confidence")
-    # Copies of a line may be many: hot classes are few enough to broadcast, and their rows meet the pair by class and salt.
-    heavy = F.broadcast(hot_classes(rows).select("class", F.lit(True).alias("hot")))
-    marked = lambda df: df.join(heavy, "class", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    out = with_lines(marked(rows.select("class", "id")), marked(pairs)).join(ids, "payment")
+    # Cut, since the driver holds each plan several times while it runs: one of all that follows took more of its memory than all others.
+    pairs = cut_lineage(mine.join(p_rank, ["p_key", "p_rank"]).select("class", "payment", "confidence"))
+    members, heavy = rows.select("class", "id"), cut_lineage(hot_classes(rows).select("class", F.lit(True).alias("hot")))
+    if heavy.isEmpty():
+        out = members.join(pairs, "class")
+    else:
+        # Copies of a line may be many: hot classes are few enough to broadcast, and their rows meet the pair by class and salt.
+        marked = lambda df: df.join(F.broadcast(heavy), "class", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        out = with_lines(marked(members), marked(pairs))
+    out = out.join(ids, "payment")
     return out.select(F.col("id").alias("ledger_id"), F.col("transaction_id").alias("plaid_transaction_id"), "confidence")
